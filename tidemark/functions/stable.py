@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def comparable(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -12,12 +11,12 @@ def comparable(df: DataFrame, keys: list[str]) -> DataFrame:
     Sums of doubles depend on their order in the last bits. Small numbers go to
     a grid of 1e-6 first (shifted off the decimal ties), then to float32.
     """
-    def reduce_one(name: str):
-        x = F.col(name).cast("double")
-        grid = F.floor(x * F.lit(1e6) + F.lit(0.5137)).cast("double") / F.lit(1e6)
-        return F.when(F.abs(x) < 1e5, grid).otherwise(x).cast("float").cast("double").alias(name)
+    def reduce_one(name: str) -> str:
+        x = f"cast(`{name}` as double)"
+        return (f"cast(cast(if(abs({x}) < 1e5D, cast(floor({x} * 1e6D + 0.5137D) as double) / 1e6D, {x}) as float) as double)"
+                f" AS `{name}`")
 
-    return df.select(*keys, *[reduce_one(c) for c in df.columns if c not in keys])
+    return df.selectExpr(*keys, *[reduce_one(c) for c in df.columns if c not in keys])
 
 
 def comparable_sql(sql: str, keys: list[str]) -> str:

@@ -102,13 +102,13 @@ def fit_bgnbd(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str =
     spark = rfm.sparkSession
     counts = cut_lineage(
         rfm.where(F.col(frequency).isNotNull() & F.col(recency).isNotNull() & F.col(age).isNotNull())
-        .groupBy(F.col(frequency).alias("x"), F.col(recency).alias("t"), F.col(age).alias("T"))
+        .groupBy(F.col(frequency).alias("x"), F.col(recency).alias("t"), F.col(age).alias("life"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     w = F.col("n")
     m = counts.agg(
         F.sum(w).alias("n"), (F.sum(F.col("x") * w) / F.sum(w)).alias("mean"),
-        (F.sum(F.col("x") * F.col("x") * w) / F.sum(w)).alias("square"), (F.sum(F.col("T") * w) / F.sum(w)).alias("age"),
+        (F.sum(F.col("x") * F.col("x") * w) / F.sum(w)).alias("square"), (F.sum(F.col("life") * w) / F.sum(w)).alias("age"),
     ).first()
     if not m["n"]:
         raise ValueError("no users to fit on")
@@ -120,7 +120,7 @@ def fit_bgnbd(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str =
         grid = [[min(max(v, -12.0), 12.0) for v in point] for point in grid]
         table = spark.createDataFrame([(i, *map(math.exp, p)) for i, p in enumerate(grid)],
                                       "candidate int, r double, alpha double, a double, b double")
-        ll = log_likelihood(*(F.col(c) for c in ("x", "t", "T", "r", "alpha", "a", "b")))
+        ll = log_likelihood(*(F.col(c) for c in ("x", "t", "life", "r", "alpha", "a", "b")))
         scores = counts.crossJoin(F.broadcast(table)).groupBy("candidate").agg((F.sum(ll * w) / F.sum(w)).alias("ll")).collect()
         cost = {row["candidate"]: penalty * sum(math.exp(v) ** 2 for v in grid[row["candidate"]]) - row["ll"] for row in scores}
         winner = min(cost, key=lambda i: (cost[i], i))
@@ -167,21 +167,20 @@ def bgnbd_predict(rfm: DataFrame, model: BgNbd, horizons=(7, 14, 30), exact: boo
     Users with equal (x, t, T) share one evaluation: the distinct triples are
     scored and joined back, so the series does not run once per user.
     """
-    names = {"btyd_frequency": "x", "btyd_recency": "t", "btyd_T": "T"}
     filled = rfm.withColumns({
         "_x": F.coalesce("btyd_frequency", F.lit(0.0)), "_t": F.coalesce("btyd_recency", F.lit(0.0)),
-        "_T": F.coalesce("btyd_T", F.lit(0.0)),
+        "_life": F.coalesce("btyd_T", F.lit(0.0)),
     })
-    x, t, T = (F.col(f"_{n}") for n in names.values())
+    x, t, T = F.col("_x"), F.col("_t"), F.col("_life")
     alive = clip(p_alive(x, t, T, model), 0, 1)
-    scored = filled.select("_x", "_t", "_T").distinct().withColumns({
+    scored = filled.select("_x", "_t", "_life").distinct().withColumns({
         "_alive": alive, "_logit": logit(alive, 1e-7),
         **{f"_e{h}": expected_purchases(x, t, T, model, h, exact) for h in horizons},
     })
     available = F.col("btyd_available") > 0
     if_bought = lambda v, other=0.0: F.when(available, v).otherwise(F.lit(other))
     zero = lambda h: F.exp(-clip(if_bought(F.col(f"_e{h}")), 0, 50))
-    out = filled.join(scored, ["_x", "_t", "_T"], "left")
+    out = filled.join(scored, ["_x", "_t", "_life"], "left")
     return out.select(
         *rfm.columns,
         if_bought(F.col("_alive")).alias("btyd_p_alive"),

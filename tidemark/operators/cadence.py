@@ -10,7 +10,7 @@ from tidemark.operators.anchors import calendar_context
 from tidemark.operators.derived import decay_intent, missing_flags
 from tidemark.operators.history import KEYS, aggregate, fill, history, past, within
 from tidemark.operators.labels import transition_state
-from tidemark.operators.windows import SHORT_METRICS, last_seen, positive, purchase, recency_exprs, short_window_exprs
+from tidemark.operators.windows import SHORT_METRICS, positive, purchase, recency_exprs, short_window_exprs
 
 SMOOTHING = {"k5": 5.0, "k20": 20.0}
 

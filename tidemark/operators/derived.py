@@ -18,17 +18,17 @@ TARGETS = ["target", "will_buy_30d", "z_target", "target_z"]
 
 def rates_ratios(df: DataFrame, bases=RATE_BASES, days=(7, 14, 30, 60, 90), eps: float = 1e-5) -> DataFrame:
     """Daily rates, rate differences, short/long ratios and their zero-denominator flags."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for base in bases:
         name = base.removesuffix("_sum")
-        at = lambda n: F.col(f"{base}_{n}d")
+        at = lambda n: f"{base}_{n}d"
         for n in days:
-            out[f"{name}_rate_{n}d"] = at(n) / F.lit(float(n))
+            out[f"{name}_rate_{n}d"] = f"{at(n)} / {float(n)}D"
         for short, long in RATE_PAIRS:
-            out[f"{name}_rate_diff_{short}_{long}d"] = at(short) / F.lit(float(short)) - at(long) / F.lit(float(long))
-            out[f"{name}_ratio_{short}_{long}d"] = ratio(at(short), at(long), eps)
-            out[f"{name}_is_zero_denom_{short}_{long}d"] = flag(at(long) == 0, "double")
-    return df.select("*", *[c.alias(n) for n, c in out.items()])
+            out[f"{name}_rate_diff_{short}_{long}d"] = f"{at(short)} / {float(short)}D - {at(long)} / {float(long)}D"
+            out[f"{name}_ratio_{short}_{long}d"] = f"{at(short)} / ({at(long)} + {eps}D)"
+            out[f"{name}_is_zero_denom_{short}_{long}d"] = f"if({at(long)} = 0, 1D, 0D)"
+    return df.selectExpr("*", *[f"{x} AS {n}" for n, x in out.items()])
 
 
 def interval_vs_platform(df: DataFrame, n_users: float, eps: float = 1e-5) -> DataFrame:

@@ -66,10 +66,10 @@ def target_window(horizon: int) -> Column:
 
 def fill(df: DataFrame, recency: float = 999.0, recency_names=(), other: float = 0.0) -> DataFrame:
     """Replace nulls: recency columns by a sentinel, every other non-key column by ``other``."""
-    def one(c: str) -> Column:
+    def one(c: str) -> str:
         if c in KEYS:
-            return F.col(c)
+            return c
         is_recency = c.startswith("days_since_") or c in recency_names
-        return F.coalesce(F.col(c).cast("double"), F.lit(recency if is_recency else other)).alias(c)
+        return f"coalesce(cast({c} as double), {float(recency if is_recency else other)}D) AS {c}"
 
-    return df.select(*[one(c) for c in df.columns])
+    return df.selectExpr(*[one(c) for c in df.columns])

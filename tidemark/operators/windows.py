@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import count_where, flag, sum_where
+from tidemark.functions.exprs import flag
 from tidemark.operators.anchors import holiday_distance
-from tidemark.operators.history import aggregate, fill, history, past, within
+from tidemark.operators.history import aggregate, fill, history, within
 
 # Window names with their first and last day before the anchor.
 FOLD_WINDOWS = {"30d": (29, 0), "60d": (59, 0), "90d": (89, 0), "30_60d": (59, 30), "60_90d": (89, 60)}
@@ -28,149 +28,151 @@ SHORT_DAYS = (3, 7, 14, 30, 60)
 SHORT_METRICS = {"searches": "searches", "to_cart": "carts", "to_ord": "orders", "gmv": "gmv"}
 
 
-def positive(c: str) -> Column:
-    return F.col(c) > 0
+# The wide aggregate lists are written as SQL text: one parsed expression per column
+# instead of a dozen driver calls each.
+ANY_ACTIVITY = "searches > 0 or to_cart > 0 or to_ord > 0 or gmv > 0"
+ANY_ACTIVITY_WITH_CATALOGUE = ANY_ACTIVITY + " or cat > 0"
+PURCHASE = "to_ord > 0 or gmv > 0"
 
 
-def any_activity(with_catalogue: bool = False) -> Column:
-    cond = positive("searches") | positive("to_cart") | positive("to_ord") | positive("gmv")
-    return cond | positive("cat") if with_catalogue else cond
+def positive(c: str) -> Column:
+    return F.col(c) > 0
 
 
 def purchase() -> Column:
-    return positive("to_ord") | positive("gmv")
+    return F.expr(PURCHASE)
 
 
-def last_seen(cond: Column) -> Column:
+def last_seen(cond: str = "true") -> Column:
     """Days since the last past row with ``cond`` (the smallest age)."""
-    return F.min(F.when(past() & cond, F.col("age")))
+    return F.expr(f"min(if(age >= 0 and ({cond}), age, null))")
+
+
+def sum_in(metric: str, n: int, skip: int = 0, cond: str = "true") -> str:
+    """Sum over the window of ``n`` days that ends ``skip`` days before the anchor, 0 when empty."""
+    return f"cast(coalesce(sum(if(age between {skip} and {skip + n - 1} and ({cond}), {metric}, null)), 0) as double)"
+
+
+def days_in(cond: str, n: int) -> str:
+    return f"count_if(age between 0 and {n - 1} and ({cond}))"
+
+
+def named(text: str, name: str) -> Column:
+    return F.expr(text).alias(name)
 
 
 # --- aggregate lists ------------------------------------------------------------------------
 
 def window_agg_exprs(windows=FOLD_WINDOWS, metrics=FOLD_METRICS, aggs=FOLD_AGGS) -> list[Column]:
     """metric x aggregate x window; empty windows give null except for sum and count."""
-    build = {
-        "sum": lambda w, m: sum_where(w, m),
-        "max": lambda w, m: F.max(F.when(w, F.col(m))).cast("double"),
-        "std": lambda w, m: F.stddev_samp(F.when(w, F.col(m))),
-        "mean": lambda w, m: F.avg(F.when(w, F.col(m))),
-        "count": lambda w, m: count_where(w),
-    }
-    unknown = set(aggs) - set(build)
+    forms = {"sum": "cast(coalesce(sum({x}), 0) as double)", "max": "cast(max({x}) as double)", "std": "stddev_samp({x})",
+             "mean": "avg({x})", "count": "count({x})"}
+    unknown = set(aggs) - set(forms)
     if unknown:
         raise ValueError(f"unknown aggregates: {sorted(unknown)}")
-    return [build[g](F.col("age").between(last, first), m).alias(f"{m}_{g}_{name}")
+    return [named(forms[g].format(x=f"if(age between {last} and {first}, {m}, null)"), f"{m}_{g}_{name}")
             for name, (first, last) in windows.items() for m in metrics for g in aggs]
 
 
 def recency_exprs() -> list[Column]:
-    conds = {"activity": F.lit(True), "search": positive("searches"), "cart": positive("to_cart"),
-             "order": positive("to_ord")}
+    conds = {"activity": "true", "search": "searches > 0", "cart": "to_cart > 0", "order": "to_ord > 0"}
     return [last_seen(c).alias(f"days_since_last_{name}") for name, c in conds.items()]
 
 
 def fold_recency_exprs() -> list[Column]:
     return recency_exprs() + [
-        last_seen(positive("gmv")).alias("days_since_last_positive_gmv"),
-        count_where(within(30)).alias("active_days_30d"),
-        count_where(within(90)).alias("active_days_90d"),
+        last_seen("gmv > 0").alias("days_since_last_positive_gmv"),
+        *[named(days_in("true", n), f"active_days_{n}d") for n in (30, 90)],
     ]
 
 
 def window_activity_exprs(days=SNAPSHOT_DAYS, metrics=SNAPSHOT_METRICS, eps: float = 1e-5) -> list[Column]:
     """Day counts and five aggregates per metric; max and std are 0 on an empty window."""
-    kinds = {"active": any_activity(), "purchase": purchase(), "search": positive("searches"), "cart": positive("to_cart")}
+    kinds = {"active": ANY_ACTIVITY, "purchase": PURCHASE, "search": "searches > 0", "cart": "to_cart > 0"}
     out: list[Column] = []
     for n in days:
-        w = within(n)
-        out += [count_where(w & cond).alias(f"{kind}_days_{n}d") for kind, cond in kinds.items()]
+        out += [named(days_in(cond, n), f"{kind}_days_{n}d") for kind, cond in kinds.items()]
         for m in metrics:
-            s = sum_where(w, m)
+            total, inside = sum_in(m, n), f"if(age between 0 and {n - 1}, {m}, null)"
             out += [
-                s.alias(f"{m}_sum_{n}d"),
-                (s / F.lit(float(n))).alias(f"{m}_mean_cal_{n}d"),
-                (s / (count_where(w & positive(m)) + F.lit(eps))).alias(f"{m}_mean_act_{n}d"),
-                F.greatest(F.max(F.when(w, F.col(m))).cast("double"), F.lit(0.0)).alias(f"{m}_max_{n}d"),
-                F.coalesce(F.stddev_samp(F.when(w, F.col(m))), F.lit(0.0)).alias(f"{m}_std_cal_{n}d"),
+                named(total, f"{m}_sum_{n}d"),
+                named(f"{total} / {float(n)}D", f"{m}_mean_cal_{n}d"),
+                named(f"{total} / ({days_in(m + ' > 0', n)} + {eps}D)", f"{m}_mean_act_{n}d"),
+                named(f"greatest(cast(max({inside}) as double), 0D)", f"{m}_max_{n}d"),
+                named(f"coalesce(stddev_samp({inside}), 0D)", f"{m}_std_cal_{n}d"),
             ]
     return out
 
 
 def sparse_window_exprs(days=SPARSE_DAYS, metrics=SPARSE_METRICS) -> list[Column]:
-    kinds = {"active": any_activity(True), "order": purchase(), "cart": positive("to_cart"), "cat": positive("cat")}
+    kinds = {"active": ANY_ACTIVITY_WITH_CATALOGUE, "order": PURCHASE, "cart": "to_cart > 0", "cat": "cat > 0"}
     out: list[Column] = []
     for n in days:
-        out += [count_where(within(n) & cond).alias(f"{kind}_days_{n}d") for kind, cond in kinds.items()]
-        out += [sum_where(within(n), m).alias(f"{name}_sum_{n}d") for m, name in metrics.items()]
+        out += [named(days_in(cond, n), f"{kind}_days_{n}d") for kind, cond in kinds.items()]
+        out += [named(sum_in(m, n), f"{name}_sum_{n}d") for m, name in metrics.items()]
     return out
 
 
 def direct_window_exprs(days=SPARSE_DAYS, metrics=DIRECT_METRICS) -> list[Column]:
-    kinds = {"active": any_activity(), "order": positive("to_ord"), "cart": positive("to_cart"), "search": positive("searches")}
+    kinds = {"active": ANY_ACTIVITY, "order": "to_ord > 0", "cart": "to_cart > 0", "search": "searches > 0"}
     out: list[Column] = []
     for n in days:
-        out += [sum_where(within(n), m).alias(f"direct_{m}_sum_{n}d") for m in metrics]
-        out += [count_where(within(n) & cond).alias(f"direct_{kind}_days_{n}d") for kind, cond in kinds.items()]
+        out += [named(sum_in(m, n), f"direct_{m}_sum_{n}d") for m in metrics]
+        out += [named(days_in(cond, n), f"direct_{kind}_days_{n}d") for kind, cond in kinds.items()]
     return out + [
-        F.max(F.when(past(), F.col("age"))).alias("direct_history_age_days"),
-        count_where(past() & any_activity()).alias("direct_lifetime_active_days"),
-        last_seen(F.lit(True)).alias("direct_days_since_activity"),
-        last_seen(positive("to_ord")).alias("direct_days_since_order"),
-        last_seen(positive("gmv")).alias("direct_days_since_positive_gmv"),
+        named("max(if(age >= 0, age, null))", "direct_history_age_days"),
+        named(f"count_if(age >= 0 and ({ANY_ACTIVITY}))", "direct_lifetime_active_days"),
+        last_seen().alias("direct_days_since_activity"),
+        last_seen("to_ord > 0").alias("direct_days_since_order"),
+        last_seen("gmv > 0").alias("direct_days_since_positive_gmv"),
     ]
 
 
 def lifetime_exprs() -> list[Column]:
     return [
-        F.max(F.when(past(), F.col("age"))).alias("customer_age_days"),
+        named("max(if(age >= 0, age, null))", "customer_age_days"),
         *recency_exprs(),
-        F.max(flag(past() & positive("to_ord"))).alias("has_ever_ordered"),
-        sum_where(past(), "to_ord").alias("lifetime_orders"),
-        sum_where(past(), "gmv").alias("lifetime_gmv"),
-        count_where(past() & positive("to_ord")).alias("lifetime_purchase_days"),
+        named("max(if(age >= 0 and to_ord > 0, 1, 0))", "has_ever_ordered"),
+        *[named(f"cast(coalesce(sum(if(age >= 0, {m}, null)), 0) as double)", name)
+          for m, name in {"to_ord": "lifetime_orders", "gmv": "lifetime_gmv"}.items()],
+        named("count_if(age >= 0 and to_ord > 0)", "lifetime_purchase_days"),
     ]
 
 
 def sparse_lifetime_exprs() -> list[Column]:
+    conds = {"activity": "true", "order": PURCHASE, "cart": "to_cart > 0", "gmv": "gmv > 0", "cat": "cat > 0"}
     return [
-        last_seen(F.lit(True)).alias("days_since_last_activity"),
-        last_seen(purchase()).alias("days_since_last_order"),
-        last_seen(positive("to_cart")).alias("days_since_last_cart"),
-        last_seen(positive("gmv")).alias("days_since_last_gmv"),
-        last_seen(positive("cat")).alias("days_since_last_cat"),
-        F.max(F.when(past(), F.col("age"))).alias("customer_age_days"),
-        count_where(past() & any_activity(True)).alias("lifetime_active_days"),
-        F.greatest(F.max(F.when(within(365), F.col("gmv"))), F.lit(0.0)).alias("max_single_day_gmv_365d"),
+        *[last_seen(c).alias(f"days_since_last_{name}") for name, c in conds.items()],
+        named("max(if(age >= 0, age, null))", "customer_age_days"),
+        named(f"count_if(age >= 0 and ({ANY_ACTIVITY_WITH_CATALOGUE}))", "lifetime_active_days"),
+        named("greatest(max(if(age between 0 and 364, gmv, null)), 0D)", "max_single_day_gmv_365d"),
     ]
 
 
 def ewma_exprs(metrics=None, taus=(7, 30), days: int = 365) -> list[Column]:
     metrics = metrics or {"searches": "searches", "to_cart": "carts", "gmv": "gmv", "cat": "cat"}
-    return [sum_where(within(days), F.col(m) * F.exp(-F.col("age") / F.lit(float(t)))).alias(f"ewma_{name}_tau{t}")
+    return [named(sum_in(f"{m} * exp(-age / {float(t)}D)", days), f"ewma_{name}_tau{t}")
             for m, name in metrics.items() for t in taus]
 
 
 def dynamics_exprs(eps: float = 1e-5) -> list[Column]:
     """Shape of the 90-day amounts. The spike count needs ``_mean90``, see :func:`with_spike_mean`."""
-    w = within(90)
-    mean = sum_where(w, "gmv") / F.lit(90.0)
-    weekend = F.weekday("event_date") >= 5
-    recent_vs_before = lambda m: sum_where(within(14), m) / (sum_where(within(31, 14), m) / F.lit(2.0) + F.lit(eps))
-    amounts = F.when(w, F.col("gmv"))
-    return [
-        count_where(w & (F.col("gmv") > F.col("_mean90") * F.lit(2.5))).alias("ts_gmv_spike_count_90d"),
-        (count_where(w & positive("gmv")) / (count_where(w & positive("searches")) + F.lit(eps)))
-        .alias("ts_active_conversion_efficiency"),
-        recent_vs_before("gmv").alias("ts_gmv_acceleration_ratio"),
-        recent_vs_before("searches").alias("ts_search_acceleration_ratio"),
-        (sum_where(w & weekend, "gmv") / (sum_where(w & ~weekend, "gmv") / F.lit(2.5) + F.lit(eps)))
-        .alias("ts_weekend_bias_ratio"),
-        (F.greatest(F.max(amounts), F.lit(0.0)) / (mean + F.lit(eps))).alias("ts_peak_to_mean_gmv_90d"),
-        (F.coalesce(F.stddev_samp(amounts), F.lit(0.0)) / (mean + F.lit(eps))).alias("ts_gmv_volatility_coef_90d"),
-        F.coalesce(F.skewness(amounts), F.lit(0.0)).alias("ts_gmv_skewness_90d"),
-        F.coalesce(F.kurtosis(amounts), F.lit(0.0)).alias("ts_gmv_kurtosis_90d"),
-    ]
+    amounts = "if(age between 0 and 89, gmv, null)"
+    mean = f"({sum_in('gmv', 90)} / 90D)"
+    weekend = "weekday(event_date) >= 5"
+    recent_vs_before = lambda m: f"{sum_in(m, 14)} / ({sum_in(m, 31, 14)} / 2D + {eps}D)"
+    texts = {
+        "ts_gmv_spike_count_90d": days_in("gmv > _mean90 * 2.5D", 90),
+        "ts_active_conversion_efficiency": f"{days_in('gmv > 0', 90)} / ({days_in('searches > 0', 90)} + {eps}D)",
+        "ts_gmv_acceleration_ratio": recent_vs_before("gmv"),
+        "ts_search_acceleration_ratio": recent_vs_before("searches"),
+        "ts_weekend_bias_ratio": f"{sum_in('gmv', 90, cond=weekend)} / ({sum_in('gmv', 90, cond=f'not ({weekend})')} / 2.5D + {eps}D)",
+        "ts_peak_to_mean_gmv_90d": f"greatest(max({amounts}), 0D) / ({mean} + {eps}D)",
+        "ts_gmv_volatility_coef_90d": f"coalesce(stddev_samp({amounts}), 0D) / ({mean} + {eps}D)",
+        "ts_gmv_skewness_90d": f"coalesce(skewness({amounts}), 0D)",
+        "ts_gmv_kurtosis_90d": f"coalesce(kurtosis({amounts}), 0D)",
+    }
+    return [named(text, name) for name, text in texts.items()]
 
 
 def with_spike_mean(hist: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def with_spike_mean(hist: DataFrame) -> DataFrame:
 
 
 def short_window_exprs(days=SHORT_DAYS, metrics=SHORT_METRICS) -> list[Column]:
-    return [sum_where(within(n), m).alias(f"{name}_{n}d") for n in days for m, name in metrics.items()]
+    return [named(sum_in(m, n), f"{name}_{n}d") for n in days for m, name in metrics.items()]
 
 
 # --- operators ------------------------------------------------------------------------------

@@ -12,6 +12,10 @@ def build_session(master: str | None = None, app: str = "tidemark", **conf) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # a join on (anchor, user) may keep the shuffle by user
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # call-site capture costs several driver calls per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
