@@ -93,3 +93,28 @@ def with_quantiles(summary: DataFrame, df: DataFrame, keys: list[str], value: st
     if not keys:
         return summary.crossJoin(F.broadcast(q))  # one row each
     return summary.join(q, keys, "left")
+
+
+HOT_SHARE = 1000  # a value with more than 1/1000 of its group is hot; at most 1000 of them exist
+
+
+def attach_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Average rank (ties share it) of ``value`` within ``keys``, put back on the rows.
+
+    Rows meet their rank by a join on the value. Hot values (at most ``HOT_SHARE``
+    per group) join by broadcast, so no task receives all rows of one value.
+    """
+    rows = df.withColumn(value, F.col(value).cast("double") + F.lit(0.0))
+    ranked = running_totals(value_counts(df, keys, value), keys, value, ["n"]).select(
+        *keys, value, (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias(name),
+        (F.col("n") * HOT_SHARE > F.col("n_all")).alias("_hot"),
+    )
+    hot = F.broadcast(ranked.where("_hot").drop("_hot"))
+    on = [*keys, value]
+    cold_rows = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold_rows.join(ranked.where("not _hot").drop("_hot"), on))
+
+
+def unpivot(df: DataFrame, keep: list[str], features: list[str], name: str = "feature", value: str = "value") -> DataFrame:
+    """Long form (keep..., feature, value) with double values."""
+    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(keep, features, name, value)
