@@ -95,24 +95,39 @@ def with_quantiles(summary: DataFrame, df: DataFrame, keys: list[str], value: st
     return summary.join(q, keys, "left")
 
 
-HOT_SHARE = 1000  # a value with more than 1/1000 of its group is hot; at most 1000 of them exist
+def average_ranks(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Average rank (ties share it) of every distinct value, from its counts ``n``."""
+    return running_totals(counts, keys, value, ["n"]).select(
+        *keys, value, (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
 
 
-def attach_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average rank (ties share it) of ``value`` within ``keys``, put back on the rows.
+def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, y_ranks: DataFrame | None = None) -> DataFrame:
+    """Rank correlation from counted pairs ``(keys, x, y, n)``.
 
-    Rows meet their rank by a join on the value. Hot values (at most ``HOT_SHARE``
-    per group) join by broadcast, so no task receives all rows of one value.
+    Rows with equal pairs are one row here, so a pair shared by most rows costs
+    nothing; a value that meets very many partners is split by the skew join of
+    adaptive execution. ``y_ranks`` may be given when they are the same in all groups.
     """
-    rows = df.withColumn(value, F.col(value).cast("double") + F.lit(0.0))
-    ranked = running_totals(value_counts(df, keys, value), keys, value, ["n"]).select(
-        *keys, value, (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias(name),
-        (F.col("n") * HOT_SHARE > F.col("n_all")).alias("_hot"),
-    )
-    hot = F.broadcast(ranked.where("_hot").drop("_hot"))
-    on = [*keys, value]
-    cold_rows = rows.join(hot.select(*on), on, "left_anti")
-    return rows.join(hot, on).unionByName(cold_rows.join(ranked.where("not _hot").drop("_hot"), on))
+    per_value = lambda v: pairs.groupBy(*keys, v).agg(F.sum("n").alias("n"))
+    ranked = pairs.join(average_ranks(per_value(x), keys, x, "_rx"), [*keys, x])
+    if y_ranks is None:
+        ranked = ranked.join(average_ranks(per_value(y), keys, y, "_ry"), [*keys, y])
+    else:
+        ranked = ranked.join(y_ranks.withColumnRenamed(y_ranks.columns[-1], "_ry"), y)
+    n = F.col("n").cast("double")
+    mean = lambda e: F.sum(e * n) / F.sum(n)
+    m = ranked.groupBy(*keys).agg(
+        mean(F.col("_rx")).alias("mx"), mean(F.col("_ry")).alias("my"), mean(F.col("_rx") * F.col("_rx")).alias("xx"),
+        mean(F.col("_ry") * F.col("_ry")).alias("yy"), mean(F.col("_rx") * F.col("_ry")).alias("xy"))
+    spread = lambda sq, mu: F.col(sq) - F.col(mu) * F.col(mu)
+    vx, vy = spread("xx", "mx"), spread("yy", "my")
+    return m.select(*keys, F.when((vx > 0) & (vy > 0), (F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt(vx * vy)).alias("spearman"))
+
+
+def count_pairs(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    plain = lambda c: (F.col(c).cast("double") + F.lit(0.0)).alias(c)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, plain(x), plain(y))
+    return rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
 
 
 def unpivot(df: DataFrame, keep: list[str], features: list[str], name: str = "feature", value: str = "value") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import count_where, flag, log_amount
-from tidemark.functions.ranking import attach_ranks, quantiles, running_totals, unpivot, value_counts, with_quantiles
+from tidemark.functions.ranking import (
+    average_ranks, count_pairs, quantiles, running_totals, spearman, unpivot, value_counts, with_quantiles,
+)
 from tidemark.operators.metrics import ranking_metrics, squared_log_error
 
 RECENCY_BUCKETS = {"1_0-7": 7, "2_8-14": 14, "3_15-30": 30, "4_31-60": 60, "5_61-90": 90}
@@ -94,10 +96,10 @@ def trend_segment(recent: str = "gmv_sum_30d", before: str = "gmv_sum_30_60d") -
 
 def rank_correlation(df: DataFrame, features: list[str], target: str = "target") -> DataFrame:
     """Spearman correlation of each feature with the target; recency counts with the sign turned."""
-    ranked = attach_ranks(df.select(target, *features), [], target, "_ry")
-    long = unpivot(ranked, ["_ry"], features)
+    long = unpivot(df.withColumn("_y", F.col(target)), ["_y"], features)
     signed = long.withColumn("value", F.when(F.col("feature").startswith("days_since_"), -F.col("value")).otherwise(F.col("value")))
-    return attach_ranks(signed, ["feature"], "value", "_rx").groupBy("feature").agg(F.corr("_rx", "_ry").alias("spearman_rho"))
+    y_ranks = average_ranks(value_counts(df, [], target).withColumnRenamed(target, "_y"), [], "_y", "_r")
+    return spearman(count_pairs(signed, ["feature"], "value", "_y"), ["feature"], "value", "_y", y_ranks).withColumnRenamed("spearman", "spearman_rho")
 
 
 def pearson_pairs(df: DataFrame, features: list[str], least: float = 0.0) -> DataFrame:

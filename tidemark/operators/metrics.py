@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, count_where, flag, log_amount, logit
-from tidemark.functions.ranking import attach_ranks, quantiles, running_totals, value_counts, with_quantiles
+from tidemark.functions.ranking import count_pairs, quantiles, running_totals, spearman, value_counts, with_quantiles
 
 # Lower bounds of the spending tiers and the frequency groups.
 TIER_BOUNDS = [50, 250, 1000, 3000]
@@ -326,15 +326,10 @@ def group_calibration(df: DataFrame, frequency: str, means: list[str], label: st
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # five rows
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    ranked = attach_ranks(attach_ranks(df.select(*keys, x, y), keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("spearman"))
-
-
 def count_errors(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """MAE, RMSE and rank correlation of expected counts."""
     e = F.col(expected) - F.col(actual)
-    return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).crossJoin(F.broadcast(spearman(df, [], expected, actual)))
+    return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).crossJoin(F.broadcast(spearman(count_pairs(df, [], expected, actual), [], expected, actual)))
 
 
 def amount_errors(train: DataFrame, valid: DataFrame, expected: str, target: str = "target") -> DataFrame:
