@@ -164,33 +164,20 @@ def expected_purchases(x: Column, t: Column, T: Column, m: BgNbd, horizon: float
 def bgnbd_predict(rfm: DataFrame, model: BgNbd, horizons=(7, 14, 30), exact: bool = True) -> DataFrame:
     """P(alive), its logit, expected purchases and purchase probabilities.
 
-    Users with equal (x, t, T) share one evaluation: the distinct triples are
-    scored and joined back, so the series does not run once per user.
+    A projection: no shuffle, although many users share the same history.
     """
-    filled = rfm.withColumns({
-        "_x": F.coalesce("btyd_frequency", F.lit(0.0)), "_t": F.coalesce("btyd_recency", F.lit(0.0)),
-        "_life": F.coalesce("btyd_T", F.lit(0.0)),
-    })
-    x, t, T = F.col("_x"), F.col("_t"), F.col("_life")
-    alive = clip(p_alive(x, t, T, model), 0, 1)
-    scored = filled.select("_x", "_t", "_life").distinct().withColumns({
-        "_alive": alive, "_logit": logit(alive, 1e-7),
-        **{f"_e{h}": expected_purchases(x, t, T, model, h, exact) for h in horizons},
-    })
+    zero = F.lit(0.0)
+    x, t, T = (F.coalesce(c, zero) for c in ("btyd_frequency", "btyd_recency", "btyd_T"))
     available = F.col("btyd_available") > 0
-    if_bought = lambda v, other=0.0: F.when(available, v).otherwise(F.lit(other))
-    zero = lambda h: F.exp(-clip(if_bought(F.col(f"_e{h}")), 0, 50))
-    out = filled.join(scored, ["_x", "_t", "_life"], "left")
-    return out.select(
-        *rfm.columns,
-        if_bought(F.col("_alive")).alias("btyd_p_alive"),
-        if_bought(F.col("_logit"), -15.0).alias("btyd_logit_p_alive"),
-        *[c for h in horizons for c in (
-            if_bought(F.col(f"_e{h}")).alias(f"btyd_expected_purchases_{h}d"),
-            (F.lit(1.0) - zero(h)).alias(f"btyd_p_buy_{h}d"),
-            zero(h).alias(f"btyd_p_zero_{h}d"),
-        )],
-    )
+    scored = rfm.withColumns({
+        "btyd_p_alive": F.when(available, clip(p_alive(x, t, T, model), 0, 1)).otherwise(zero),
+        **{f"btyd_expected_purchases_{h}d": F.when(available, expected_purchases(x, t, T, model, h, exact)).otherwise(zero) for h in horizons},
+    })
+    outs = [F.when(available, logit("btyd_p_alive", 1e-7)).otherwise(F.lit(-15.0)).alias("btyd_logit_p_alive")]
+    for h in horizons:
+        nothing = F.exp(-clip(f"btyd_expected_purchases_{h}d", 0, 50))
+        outs += [(F.lit(1.0) - nothing).alias(f"btyd_p_buy_{h}d"), nothing.alias(f"btyd_p_zero_{h}d")]
+    return scored.select("*", *outs)
 
 
 # --- gamma-gamma ----------------------------------------------------------------------------

@@ -265,7 +265,8 @@ def platform_daily(log: DataFrame, eps: float = 1e-5) -> DataFrame:
 def platform_at_anchor(daily: DataFrame, anchors: DataFrame) -> DataFrame:
     """Means over the last 7 and 30 days that have rows, up to each anchor."""
     newest = Window.partitionBy("anchor_date").orderBy(F.desc("event_date"))
-    ranked = anchors.join(daily, F.col("event_date") <= F.col("anchor_date"), "left").withColumn("_r", F.row_number().over(newest))
+    ranked = anchors.join(F.broadcast(daily), F.col("event_date") <= F.col("anchor_date"), "left")  # one row per day
+    ranked = ranked.withColumn("_r", F.row_number().over(newest))
     mean = lambda c, n: F.coalesce(F.avg(F.when(F.col("_r") <= n, F.col(c))), F.lit(0.0))
     return ranked.where(F.col("_r") <= 30).groupBy("anchor_date").agg(
         mean("global_dau", 7).alias("global_dau_7d_mean"),
