@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import count_where, flag, log_amount, nearest_quantile, ratio, sum_where
 from tidemark.operators.anchors import calendar_context
 from tidemark.operators.derived import decay_intent, missing_flags
-from tidemark.operators.history import KEYS, aggregate, fill, history, past, within
+from tidemark.operators.history import KEYS, aggregate, by_user, fill, history, past, within
 from tidemark.operators.labels import transition_state
 from tidemark.operators.windows import SHORT_METRICS, positive, purchase, recency_exprs, short_window_exprs
 
@@ -154,7 +154,7 @@ def personal_propensity(log: DataFrame, anchors: DataFrame, past_anchors: DataFr
     log = log.select("user_id", "event_date", "gmv")
     index = (log if users is None else users).select("user_id").distinct().withColumn("_index", F.lit(True))
     in_window = (F.col("event_date") > F.col("_w")) & (F.col("event_date") <= F.date_add("_w", horizon))
-    sums = log.repartition("user_id").join(F.broadcast(windows), in_window).groupBy("user_id", "_w").agg(F.sum("gmv").alias("_g"))
+    sums = by_user(log).join(F.broadcast(windows), in_window).groupBy("user_id", "_w").agg(F.sum("gmv").alias("_g"))
     per_anchor = sums.join(F.broadcast(legal.where(F.col("_w").isNotNull())), "_w")
     counted = per_anchor.groupBy("user_id", "anchor_date").agg(
         count_where(F.col("_g") > 0).alias("_k"), F.sum(F.log1p("_g")).alias("_z")
@@ -180,7 +180,7 @@ def _window_sums(log: DataFrame, shifted: DataFrame, users: DataFrame | None, ex
     cols = ["gmv", "to_ord", "searches", "to_cart"]
     index = (log if users is None else users).select("user_id").distinct().withColumn("_index", F.lit(True))
     rows = log.select("user_id", "event_date", *cols).withColumn("_index", F.lit(False))
-    both = rows.unionByName(index, allowMissingColumns=True).repartition("user_id")
+    both = by_user(rows.unionByName(index, allowMissingColumns=True))
     inside = (F.col("event_date") >= F.col("_from")) & (F.col("event_date") <= F.date_add("_from", horizon - 1))
     joined = both.join(F.broadcast(shifted), F.col("_index") | inside)
     return joined.groupBy(*KEYS).agg(F.max("_index").alias("_index"), F.max("_available").alias("_available"), *exprs).where(

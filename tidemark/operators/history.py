@@ -21,13 +21,16 @@ def history(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None,
 
     ``age`` is days before the anchor, 0 on the anchor day and negative in the
     target window. Each (anchor, user) of the index has one extra row with a null
-    age; conditions on ``age`` skip it by themselves.
+    age; conditions on ``age`` skip it by themselves. Users outside the index are left out.
     """
     columns = [c for c in log.columns if c not in ("user_id", "event_date")] if columns is None else columns
     index = (log if users is None else users).select("user_id").distinct()
     dates = anchors.select("anchor_date")
-    rows = in_reach(log.select("user_id", "event_date", *columns), dates, back, ahead).withColumn("_index", F.lit(False))
-    both = rows.unionByName(index.withColumn("_index", F.lit(True)), allowMissingColumns=True).repartition("user_id")
+    rows = in_reach(log.select("user_id", "event_date", *columns), dates, back, ahead)
+    if users is not None:
+        rows = rows.join(index, "user_id", "left_semi")
+    both = by_user(rows.withColumn("_index", F.lit(False)).unionByName(
+        index.withColumn("_index", F.lit(True)), allowMissingColumns=True))
     age = F.date_diff("anchor_date", "event_date")
     inside = age >= -ahead
     if back is not None:
@@ -36,6 +39,15 @@ def history(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None,
     return joined.withColumn("age", age)
 
 
+def by_user(rows: DataFrame) -> DataFrame:
+    """One shuffle by user into the configured number of partitions.
+
+    The number is explicit so that adaptive execution does not merge partitions by
+    their size here: rows multiply by the anchors and widen after this point.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+
+
 def in_reach(rows: DataFrame, anchors: DataFrame, back: int | None, ahead: int) -> DataFrame:
     """Drop the log rows no anchor can see, before they are shuffled (one-row broadcast)."""
     reach = anchors.agg(F.date_add(F.max("anchor_date"), ahead).alias("_to"), F.min("anchor_date").alias("_from"))
@@ -46,9 +58,16 @@ def in_reach(rows: DataFrame, anchors: DataFrame, back: int | None, ahead: int)
 
 
 def aggregate(hist: DataFrame, exprs: list[Column]) -> DataFrame:
-    """One row per (anchor, user) of the index; users outside it are left out."""
-    out = hist.groupBy(*KEYS).agg(F.max("_index").alias("_index"), *exprs)
-    return out.where("_index").drop("_index")
+    """One row per (anchor, user) of the index.
+
+    Only users with rows in the window go through the aggregates, which may be
+    hundreds of columns wide. All the others have the same values, those of the
+    aggregates over nothing; a narrow count finds them.
+    """
+    busy = hist.where(~F.col("_index")).groupBy(*KEYS).agg(*exprs)
+    idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n")).where(F.col("_n") == 0).select(*KEYS)
+    nothing = hist.where(F.lit(False)).agg(*exprs)
+    return busy.unionByName(idle.crossJoin(F.broadcast(nothing)))
 
 
 def within(n: int, skip: int = 0) -> Column:
