@@ -221,16 +221,21 @@ def _with_interactions(df: DataFrame, amounts: list[str]) -> DataFrame:
     return df.withColumn("_active", a).withColumns({f"_i{i}": F.col(c) * a for i, c in enumerate(amounts)})
 
 
+def ridge(rows: DataFrame, label: str, alpha: float, n: int, std: float):
+    """Least squares with penalty ``alpha``; the learner divides its loss by the number of
+    rows and its penalty by the deviation of the label."""
+    return LinearRegression(featuresCol="_x", labelCol=label, elasticNetParam=0.0, regParam=alpha * (std or 1.0) / max(n, 1),
+                            standardization=False, solver="normal").fit(rows)
+
+
 def ridge_amount_stack(train: DataFrame, amounts: list[str], target_z: str = "z_target", alphas=(0.01, 0.1, 1.0, 10.0, 100.0)) -> RidgeStack:
     """Ridge on amounts, activity and their products over buyers; the penalty with the least error wins."""
     names = [*amounts, "_active", *[f"_i{i}" for i in range(len(amounts))]]
     rows = cut_lineage(_narrow(_with_interactions(train.where("will_buy = 1"), amounts), names, F.col(target_z), None))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_y").alias("top")).first()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_y").alias("top"), F.stddev_pop("_y").alias("std")).first()
     best = None
     for alpha in alphas:
-        # the learner divides its loss by the number of rows
-        fit = LinearRegression(featuresCol="_x", labelCol="_y", elasticNetParam=0.0, regParam=alpha / stats["n"], standardization=False,
-                               solver="normal").fit(assemble(rows, names))
+        fit = ridge(assemble(rows, names), "_y", alpha, stats["n"], stats["std"])
         mse = fit.summary.meanSquaredError
         if best is None or mse < best.mse:
             best = RidgeStack(Scorer(fit, names), alpha, mse, stats["top"], amounts)
@@ -277,8 +282,8 @@ def gated_router(df: DataFrame, z_a: str, z_b: str, p_a: str, p_b: str, target_z
     parts = None
     for k in range(folds):
         train, valid = rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)
-        ridge = LinearRegression(featuresCol="_x", labelCol=target_z, regParam=100.0 / max(train.count(), 1), standardization=False, solver="normal").fit(assemble(train, inputs))
-        scored = Scorer(ridge, inputs).add(valid, "_ridge")
+        size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target_z).alias("std")).first()
+        scored = Scorer(ridge(assemble(train, inputs), target_z, 100.0, size["n"], size["std"]), inputs).add(valid, "_ridge")
         gated = None
         for state in (0, 1):
             on = F.col("was_active") == state
