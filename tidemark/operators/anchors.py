@@ -26,8 +26,8 @@ def days(n) -> Column:
 
 
 def anchor_table(spark: SparkSession, dates) -> DataFrame:
-    """Anchors given by hand, as ISO text or dates."""
-    return spark.createDataFrame([(str(d),) for d in dates], "d string").select(
+    """Anchors given by hand, as ISO text or dates; repeated dates count once."""
+    return spark.createDataFrame([(d,) for d in sorted({str(d) for d in dates})], "d string").select(
         F.col("d").cast("date").alias("anchor_date")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +133,11 @@ def content_fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> D
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_hash"))
 
 
+def list_fingerprint(names: list[str]) -> str:
+    """Hash of a short list in its order, such as the feature names of a store."""
+    return sha256("\n".join(names).encode()).hexdigest()
+
+
 def leakage_scan(df: DataFrame, features: list[str], target: str = "target", limit: float = 0.99) -> DataFrame:
     """Correlation of every feature with ``target > 0``; suspicious above ``limit``."""
     y = flag(F.col(target) > 0, "double")
