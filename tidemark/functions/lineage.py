@@ -21,5 +21,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpointed rows in partitions of the advisory size, since iterative fits read them often."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.hint("rebalance").checkpoint()

@@ -62,7 +62,8 @@ def aggregate(hist: DataFrame, exprs: list[Column]) -> DataFrame:
 
     Only users with rows in the window go through the aggregates, which may be
     hundreds of columns wide. All the others have the same values, those of the
-    aggregates over nothing; a narrow count finds them.
+    aggregates over nothing (null unless an expression says otherwise); a narrow
+    count finds them.
     """
     busy = hist.where(~F.col("_index")).groupBy(*KEYS).agg(*exprs)
     idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n")).where(F.col("_n") == 0).select(*KEYS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import log_amount
+from tidemark.functions.exprs import log_amount, sum_where
 from tidemark.operators import explore as E
 from tidemark.operators import metrics as M
 from tidemark.operators import quality as V
@@ -28,7 +28,7 @@ def scored(t, anchors=None):
     base = fill(aggregate(hist, [
         *W.window_agg_exprs(aggs=["sum"]), W.last_seen("to_ord > 0").alias("days_since_last_order"), W.last_seen("gmv > 0").alias("days_since_last_positive_gmv"),
         *[W.named(W.sum_in(m, 90), f"{m}_sum_90d") for m in ("search_to_ord", "cat_to_ord")],
-        F.sum(F.when(target_window(30), F.col("gmv")).otherwise(0.0)).alias("target"),
+        sum_where(target_window(30), "gmv").alias("target"),
     ]))
     out = E.naive_forecasts(base)
     active, buys = F.col("gmv_sum_90d") > 0, F.col("target") > 0
@@ -71,7 +71,7 @@ query("logic_checks", ("rule",), ctes(CLICKS) + " UNION ALL ".join(f"SELECT '{k}
 query("check_snapshot", A, ctes(LOG, CV) + """SELECT anchor_date, (SELECT count(DISTINCT user_id) FROM log) AS n_users, 1000 - (SELECT count(DISTINCT user_id) FROM log) AS missing_users,
  0 AS duplicate_users, 0 AS history_after_anchor, 0 AS wrong_target_bounds, 0 AS wrong_target_nulls FROM a""")(
     lambda t: V.check_snapshot(S.technical_columns(W.aggregate(history(t.log, t.cv, back=30, ahead=30, columns=["gmv"]), [
-        F.sum(F.when(F.col("age") < 0, F.col("gmv")).otherwise(0.0)).alias("target")])), 1000))
+        sum_where(target_window(30), "gmv").alias("target")])), 1000))
 query("finite_check", ("feature",), SC + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS n_null, 0 AS n_nan, 0 AS n_infinite, CASE WHEN count(*) FILTER (WHERE {c} IS NULL) = 0 THEN 1 ELSE 0 END AS ok FROM sc" for c in ("gmv_sum_30d", "p", "target")))(
     lambda t: V.finite_check(scored(t), ["gmv_sum_30d", "p", "target"]))
