@@ -50,7 +50,7 @@ def main() -> None:
         build(Tables(spark, folder)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+                      "queries": times, "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf") or 0)}))
     spark.stop()
 
 
