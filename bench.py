@@ -35,6 +35,15 @@ def cadence_one_anchor(t: Tables):
     return C.cadence_features(t.log, A.anchor_table(t.spark, ["2001-04-01"]))
 
 
+def scale_of(folder: str):
+    """The scale factor in the folder name, or the name itself."""
+    name = os.path.basename(folder.rstrip("/"))
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -50,7 +59,7 @@ def main() -> None:
         build(Tables(spark, folder)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf") or 0)}))
+                      "queries": times, "sf": scale_of(folder)}))
     spark.stop()
 
 
