@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 NONE = np.iinfo(np.int32).max
 REMEMBERED = 300_000  # pieces kept in a task's table before it starts anew
@@ -281,7 +283,8 @@ class Encoder:
             at = to
 
 
-def coder(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def coder(spec: Callable, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the text in the last column to their first ``kept`` columns and n_tokens, ids, decoded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(*spec.value)
         encoder = Encoder(merges)
@@ -289,24 +292,26 @@ def coder(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids, counts, texts = [], [], []
-                for coded in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
+                for coded in encoder.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()]):
                     ids.append(coded)
                     counts.append(len(coded) // 4)
                     decoder, numbers = Decoder(merges.tokens), np.frombuffer(coded, "<u4")
                     texts.append("".join(decoder.feed(numbers[i: i + 65536].tolist()) for i in range(0, len(numbers), 65536)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"])
+                    [*part.columns[:kept], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
+                    [*part.schema.names[:kept], "n_tokens", "ids", "decoded"])
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode ``docs`` (doc_id, text): doc_id, n_tokens, ids (binary, 32-bit little-endian), decoded.
+def encode(docs: DataFrame, path: str, kept: list[str] = ["doc_id"]) -> DataFrame:
+    """Encode and decode ``docs`` (text): columns ``kept``, n_tokens, ids (binary, 32-bit little-endian), decoded.
 
     ``path`` is the tokenizer file on the driver; its tables (a few MB, fixed by the vocabulary) are
-    broadcast. One row per row; null and empty texts have no tokens and decode to ''. A null doc_id stays
-    null. Other columns are ignored. No rows give no rows. No shuffle.
+    broadcast. One row per row; null and empty texts have no tokens and decode to ''. Kept columns stay as they
+    are, nulls too; they may not be named like the new ones. No rows give no rows. No shuffle.
     """
     m = Merges.load(path)
     spec = docs.sparkSession.sparkContext.broadcast((m.tokens, m.pairs.tolist(), m.suffix, m.specials))
-    return docs.select("doc_id", "text").mapInArrow(coder(spec), "doc_id long, n_tokens long, ids binary, decoded string")
+    new = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
+    schema = StructType([*docs.select(*kept).schema.fields, *new])
+    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(coder(spec, len(kept)), schema)

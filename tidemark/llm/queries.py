@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode
+from tidemark.llm.decontamination import contaminated
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.sharding import balanced_shards
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.url_filter import judge
 from tidemark.llm.winnowing import digest, edited_fingerprints, hashes, likeness
 
@@ -30,6 +33,19 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), n_words=3, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     found = edited_fingerprints(table(spark, folder, "documents"))
     own, edited, following = (hashes(c) for c in ("kept", "edited_kept", "next_kept"))
@@ -53,12 +69,21 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op5_document_fingerprints, op6_url_filters, op7_bpe, op10_sharding)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_benchmark_decontamination, op5_document_fingerprints, op6_url_filters, op7_bpe, op10_sharding)
 }
 
 RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+s AS (SELECT doc_id, unnest(range(len(lines) - 2)) AS pos, lines FROM l WHERE len(lines) >= 3),
+w AS (SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS run FROM s),
+late AS (SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS i FROM late),
+one AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
+kept AS (SELECT o.doc_id, string_agg(line, chr(10) ORDER BY o.i) AS text, count(*) AS n FROM one o LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.i = o.i WHERE g.i IS NULL GROUP BY 1)
+SELECT l.doc_id, coalesce(len(lines), 0)::INT AS n_lines, (coalesce(len(lines), 0) - coalesce(n, 0))::INT AS n_removed,
+  CASE WHEN l.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS text_sha256 FROM l LEFT JOIN kept ON kept.doc_id = l.doc_id""",
     "op6_url_filters": f"""WITH r(verdict, host, path) AS (VALUES {RULES_SQL}),
 cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
