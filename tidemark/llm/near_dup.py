@@ -94,29 +94,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in "uv":
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("hashes").alias(f"h_{side}")), side)
     a, b = (F.slice(f"h_{side}", 1, SKETCH) for side in "uv")
-    pairs = pairs.withColumn("near", F.array_intersect(a, b)).withColumn("all", F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH))
-    estimate = F.size(F.filter("near", lambda x: x <= F.element_at("all", -1))) >= slack(share, F.size("all"))
-    both = F.size(F.array_intersect("h_u", "h_v"))
-    return (pairs.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).filter(estimate)
-            .withColumn("both", both).filter(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v").distinct())
+    # one-element arrays bind what is used more than once
+    sketches = F.array(F.struct(F.array_intersect(a, b).alias("near"), F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH).alias("all")))
+    estimate = F.exists(sketches, lambda s: F.size(F.filter(s["near"], lambda x: x <= F.element_at(s["all"], -1))) >= slack(share, F.size(s["all"])))
+    exact = F.exists(F.array(F.size(F.array_intersect("h_u", "h_v"))), lambda both: 100 * both >= percent * (F.col("n_u") + F.col("n_v") - both))
+    return pairs.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).filter(estimate & exact).select("u", "v").distinct()
+
+
+def overlaps(values: pd.Series) -> np.ndarray:
+    """How many values each two rows of a column of lists share."""
+    sizes = values.map(len).to_numpy()
+    shared = np.zeros((len(values), len(values)), np.float32)
+    _, column = np.unique(np.concatenate(values.to_list()), return_inverse=True)
+    row = np.repeat(np.arange(len(values)), sizes)
+    often = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)  # a value of one row is shared with none
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+        own = (column >= start) & (column < start + 4096)
+        seen = np.zeros((len(values), 4096), np.float32)
+        seen[row[own], column[own] - start] = 1
+        shared += seen @ seen.T
+    return shared
 
 
 def across(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of one block of a long list, of different components, that can be linked by their sketches."""
+    """Pairs of one block of a long list, of different components, that can be linked by their sketches.
+
+    Two members may meet in several long lists (``lists``); the one of the smallest value gives the pair out.
+    """
     share = percent / 100
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        sizes = block["sketch"].map(len).to_numpy()
-        _, column = np.unique(np.concatenate(block["sketch"].to_list()), return_inverse=True)
-        row = np.repeat(np.arange(len(block)), sizes)
-        often = np.bincount(column)[column] > 1  # a value of one row is shared with none
-        row, column = row[often], np.unique(column[often], return_inverse=True)[1]
-        shared = np.zeros((len(block), len(block)), np.float32)
-        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-            own = (column >= start) & (column < start + 4096)
-            seen = np.zeros((len(block), 4096), np.float32)
-            seen[row[own], column[own] - start] = 1
-            shared += seen @ seen.T
+        value, sizes, shared = block["value"].iloc[0], block["sketch"].map(len).to_numpy(), overlaps(block["sketch"])
         n, label, ids = (block[c].to_numpy() for c in ("n", "label", "doc_id"))
         union = np.minimum(LONG_SKETCH, sizes[:, None] + sizes[None, :] - shared)  # of what a union sketch holds, at least
         enough = shared >= union * share - SIGMAS * np.sqrt(union * share * (1 - share))
@@ -125,7 +134,8 @@ def across(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         enough = np.where(exact, 100 * shared >= percent * (n[:, None] + n[None, :] - shared), enough)
         home = (block["own"].to_numpy() == block["i"].to_numpy())
         home = (home[:, None] != home[None, :]) | (block["i"] == block["j"]).to_numpy()[:, None]  # pairs within a block: only in (i, i)
-        u, v = np.nonzero(np.triu(enough & home & (label[:, None] != label[None, :]), 1))
+        elsewhere = overlaps(block["lists"].map(lambda x: x[x < value])) > 0
+        u, v = np.nonzero(np.triu(enough & home & ~elsewhere & (label[:, None] != label[None, :]), 1))
         return pd.DataFrame({"u": np.maximum(ids[u], ids[v]), "v": np.minimum(ids[u], ids[v])})
     return run
 
@@ -162,10 +172,12 @@ def links(docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> Da
            .filter(100 * F.least("k_u", "k_v") >= percent * F.greatest("k_u", "k_v")).select("u", "v").distinct())
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    many = (open_lists.filter(F.col("size") > SHORT_LIST).join(sets.select("doc_id", "sketch"), "doc_id")
+    long = open_lists.filter(F.col("size") > SHORT_LIST)
+    member = long.groupBy("doc_id").agg(F.collect_set("value").alias("lists")).join(sets.select("doc_id", "sketch"), "doc_id")
+    many = (long.join(member, "doc_id")
             .withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-            .select("value", "doc_id", "n", "label", "sketch", "own", F.explode(spread).alias("at"))
-            .select("value", "doc_id", "n", "label", "sketch", "own", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+            .select("value", "doc_id", "n", "label", "sketch", "lists", "own", F.explode(spread).alias("at"))
+            .select("value", "doc_id", "n", "label", "sketch", "lists", "own", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
             .groupBy("value", "i", "j").applyInPandas(across(percent), "u long, v long").distinct())
     return first.unionByName(confirmed(few.unionByName(many).distinct(), sets, percent))
 
