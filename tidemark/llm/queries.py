@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode
+from tidemark.llm.co_training import quality
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.secrets import secrets
 from tidemark.llm.sharding import balanced_shards
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.url_filter import judge
@@ -63,13 +65,22 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets(table(spark, folder, "documents"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     out = balanced_shards(table(spark, folder, "documents"))
     return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_benchmark_decontamination, op5_document_fingerprints, op6_url_filters, op7_bpe, op10_sharding)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_benchmark_decontamination, op5_document_fingerprints, op6_url_filters, op7_bpe, op8_quality_classifier, op9_secret_scans,
+                              op10_sharding)
 }
 
 RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
