@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import saved
 from tidemark.llm.toxicity import held_out
 
 SAMPLE = 20_000  # labelled findings that the forest may see, about
@@ -84,7 +85,7 @@ def secrets(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMP
     a score of a half. Without both kinds of labels every candidate counts as a secret with score 1. Null and empty texts have
     no candidates; repeated rows give repeated findings. Other columns are ignored. No rows give no rows. Texts are not shuffled.
     """
-    found = candidates(docs)
+    found = saved(candidates(docs))  # read several times by the fit; a few rows of a few hundred bytes per text
     model = learn(found, known_formats(found) if labels is None else labels, sample)
     if model is None:
         scored = found.withColumn("score", F.lit(1.0))
