@@ -75,55 +75,54 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([w for _, w in out], pa.binary())], ["item_id", "words"])
 
 
-def rows_of(batch: pa.RecordBatch, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse TF-IDF rows of length 1: (buckets, values); passages of common words only are skipped."""
+def rows_of(batch: pa.RecordBatch, place: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse TF-IDF rows of length 1: (columns, values); passages without weighted words are skipped."""
     out = []
     for coded in batch.column(1).to_pylist():
-        bucket, tf = np.unique(np.frombuffer(coded, np.uint64) >> np.uint64(48), return_counts=True)
-        value = tf * idf[bucket.astype(np.int64)]
-        length = np.linalg.norm(value)
-        if length > 0:
-            out.append((bucket.astype(np.int64)[value > 0], value[value > 0] / length))
+        column = place[(np.frombuffer(coded, np.uint64) >> np.uint64(48)).astype(np.int64)]
+        column, tf = np.unique(column[column >= 0], return_counts=True)
+        if len(column):
+            value = tf * idf[column]
+            out.append((column, value / np.linalg.norm(value)))
     return out
 
 
-def product(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, inner: bool) -> np.ndarray:
+def product(passages: DataFrame, place: np.ndarray, idf: np.ndarray, basis: np.ndarray, inner: bool) -> np.ndarray:
     """A'(A basis), or (A basis)'(A basis) with ``inner``, for the passages' TF-IDF matrix A: summed in tasks, then by row."""
-    shared = passages.sparkSession.sparkContext.broadcast((idf, basis))  # BUCKETS x RANK at most
+    shared = passages.sparkSession.sparkContext.broadcast((place, idf, basis))  # at most BUCKETS x RANK, as many rows as the benchmark has terms
+    size = basis.shape[1] if inner else basis.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = shared.value
-        total = np.zeros((basis.shape[1] if inner else BUCKETS, basis.shape[1]))
+        place, idf, basis = shared.value
+        total = np.zeros((size, basis.shape[1]))
         for batch in batches:
-            for bucket, value in rows_of(batch, idf):
-                y = value @ basis[bucket]
+            for column, value in rows_of(batch, place, idf):
+                y = value @ basis[column]
                 if inner:
                     total += np.outer(y, y)
                 else:
-                    total[bucket] += np.outer(value, y)
+                    total[column] += np.outer(value, y)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([total[i] for i in used], pa.list_(pa.float64()))], ["row", "sums"])
 
     parts = passages.mapInArrow(run, "row long, sums array<double>")
-    # tasks give one row per bucket at most, so no key is hot
+    # tasks give one row per term at most, so no key is hot
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(basis.shape[1])]
     table = parts.groupBy("row").agg(*sums).select("row", F.array(*[f"s{i}" for i in range(basis.shape[1])]).alias("sums")).toPandas()
-    out = np.zeros((basis.shape[1] if inner else BUCKETS, basis.shape[1]))
+    shared.destroy()
+    out = np.zeros((size, basis.shape[1]))
     if len(table):
         out[table["row"]] = np.stack(table["sums"].to_list())
     return out
 
 
-def latent_terms(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Right singular vectors by randomised subspace iteration: one row of ``rank`` for each bucket."""
-    basis = np.random.default_rng(seed).normal(size=(BUCKETS, rank))
+def latent_terms(passages: DataFrame, place: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """Right singular vectors by randomised subspace iteration: one row of ``rank`` for each weighted term."""
+    basis = np.random.default_rng(seed).normal(size=(len(idf), rank)).astype(np.float32)
     for _ in range(ITERATIONS):
-        z = product(passages, idf, basis, inner=False)
-        used = np.flatnonzero(np.abs(z).sum(axis=1))
-        q = np.linalg.qr(z[used])[0] if len(used) else np.zeros((0, 0))
-        basis = np.zeros((BUCKETS, rank))
-        basis[used, : q.shape[1]] = q
-    strength, turn = np.linalg.eigh(product(passages, idf, basis, inner=True))
+        q = np.linalg.qr(product(passages, place, idf, basis, inner=False))[0]
+        basis = q.astype(np.float32)
+    strength, turn = np.linalg.eigh(product(passages, place, idf, basis, inner=True))
     return (basis @ turn[:, ::-1]).astype(np.float32)
 
 
@@ -213,11 +212,15 @@ def with_items(docs: DataFrame, benchmark: DataFrame, kept: list[str]) -> DataFr
     if not len(held):
         return out.withColumn("_items", F.array().cast("array<long>"))
     idf = idf_of(docs)
-    weighted = latent_terms(passages, idf) * idf[:, None].astype(np.float32)
-    used = np.flatnonzero(np.abs(weighted).sum(axis=1))
-    term = np.zeros(BUCKETS, np.int32)
-    term[used] = np.arange(1, len(used) + 1)
-    vectors = np.concatenate([np.zeros((1, weighted.shape[1]), np.float32), weighted[used]])
+    bucket = np.unique(np.concatenate([np.frombuffer(w, np.uint64) >> np.uint64(48) for w in held["words"]]).astype(np.int64))
+    used = bucket[idf[bucket] > 0]  # weighted terms of the benchmark
+    if not len(used):
+        return out.withColumn("_items", F.array().cast("array<long>"))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    weighted = latent_terms(passages, place, idf[used].astype(np.float32)) * idf[used][:, None].astype(np.float32)
+    term = place + 1
+    vectors = np.concatenate([np.zeros((1, weighted.shape[1]), np.float32), weighted])
     shared = docs.sparkSession.sparkContext.broadcast((term, vectors, held["item_id"].tolist(), held["words"].tolist()))
     schema = StructType([*out.schema.fields, StructField("_items", ArrayType(LongType()))])
     return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(scanner(shared, len(kept)), schema)
