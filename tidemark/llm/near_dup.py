@@ -35,7 +35,7 @@ from tidemark.llm.shared import components, saved
 SKETCH = 64
 LONG_SKETCH = 256  # values compared in the blocks of long lists
 SHORT_LIST = 32
-BLOCK = 512
+BLOCK = 1024
 SIGMAS = 6.0
 
 
