@@ -22,8 +22,8 @@ from tidemark.llm.flat import Flat, mix, slices, words
 from tidemark.llm.terms import Machine, Vocabulary, choose_terms, fit, sigmoid, terms
 from tidemark.llm.toxicity import held_out
 
-SAMPLE = 6000  # labelled rows, about
-POOL = 6000  # unlabelled documents, about
+SAMPLE = 4000  # labelled rows, about
+POOL = 4000  # unlabelled documents, about
 ROUNDS = 3
 GIVEN = 0.1  # share of the pool that a view labels for the other in a round
 VOCABULARY = 4096
@@ -103,13 +103,13 @@ class View:
     @classmethod
     def of(cls, coded: pd.Series, label: np.ndarray) -> View:
         term = np.concatenate([np.frombuffer(b, "<u4") for b in coded] or [np.zeros(0, np.uint32)])
-        return cls(np.repeat(np.arange(len(coded)), [len(b) // 4 for b in coded]), term, label.copy())
+        return cls(np.repeat(np.arange(len(coded), dtype=np.int32), [len(b) // 4 for b in coded]), term, label.copy())
 
     def learn(self) -> np.ndarray:
         """Fit on the labels so far; logits of all rows."""
         known = np.flatnonzero(~np.isnan(self.label))
-        place = np.full(len(self.label), -1)
-        place[known] = np.arange(len(known))
+        place = np.full(len(self.label), -1, np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
         own = place[self.text] >= 0
         text, term = place[self.text[own]], self.term[own]
         vocabulary = Vocabulary(choose_terms(text, term, self.label[known], VOCABULARY))

@@ -42,13 +42,14 @@ class Vocabulary:
         place = np.searchsorted(self.ids, term[near])
         place[place == len(self.ids)] = 0
         own = self.ids[place] == term[near]
-        pair = np.unique(text[near][own] * np.int64(len(self.ids)) + place[own])
+        pair = np.unique(text[near][own].astype(np.int64) * len(self.ids) + place[own])
         return pair // len(self.ids), pair % len(self.ids)
 
 
 def choose_terms(text: np.ndarray, term: np.ndarray, label: np.ndarray, most: int, least_df: int = 3) -> np.ndarray:
     """The ``most`` terms that tell the labels apart best, by the z-score of their log odds."""
-    ids, place = np.unique(term, return_inverse=True)
+    ids = np.unique(term)
+    place = np.searchsorted(ids, term).astype(np.int32)
     n1, n0 = label.sum(), (1 - label).sum()
     with_1 = np.bincount(place, weights=label[text], minlength=len(ids))
     df = np.bincount(place, minlength=len(ids))

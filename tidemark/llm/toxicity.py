@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidemark.llm.flat import slices
 from tidemark.llm.terms import Machine, Vocabulary, choose_terms, fit, sigmoid, terms
 
-SAMPLE = 10_000  # labelled rows that a fit may see, about; all if there are fewer
+SAMPLE = 8_000  # labelled rows that a fit may see, about; all if there are fewer
 VOCABULARY = 4096
 FACTORS = 4
 CUTOFF = 0.3
@@ -61,7 +61,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, factors: int
     rows = labelled(docs, labels, "toxic", sample).mapInArrow(distinct_terms, "doc_id long, label int, terms binary").toPandas().sort_values("doc_id", ignore_index=True)
     label = rows["label"].to_numpy(float)
     term = np.concatenate([np.frombuffer(b, "<u4") for b in rows["terms"]] or [np.zeros(0, np.uint32)])
-    text = np.repeat(np.arange(len(rows)), [len(b) // 4 for b in rows["terms"]])
+    text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) // 4 for b in rows["terms"]])
     vocabulary = Vocabulary(choose_terms(text, term, label, VOCABULARY))
     return fit(vocabulary, *vocabulary.hits(text, term), label, factors)
 
