@@ -106,3 +106,16 @@ def test_fingerprint_ignores_order(spark):
     changed = spark.createDataFrame([(2, 3.0), (1, 2.5)], "user_id long, v double")
     mark = lambda d: V.content_fingerprint(d, [], ["user_id", "v"]).first()
     assert mark(a) == mark(b) and mark(a) != mark(changed)
+
+
+def test_correlation_keeps_rows_with_other_nulls(spark):
+    rows = [(float(i), float(i % 7 + i), None if i % 3 else float(-i)) for i in range(60)]
+    got = {(r.feature_a, r.feature_b): r.correlation for r in E.pearson_pairs(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    frame = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+    assert got == pytest.approx({(x, y): frame.loc[x, y] for x, y in got}) and len(got) == 3
+
+
+def test_series_is_not_cut_near_one(spark):
+    from tidemark.operators.btyd import hypergeometric
+    row = spark.range(1).select(hypergeometric(*(F.lit(v) for v in (1.5, 2.5, 3.2, 0.9999))).alias("h")).first()
+    assert row.h == pytest.approx(3786.97, rel=1e-4)

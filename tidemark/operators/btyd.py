@@ -136,9 +136,13 @@ def p_alive(x: Column, t: Column, T: Column, m: BgNbd) -> Column:
     return F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + odds)).otherwise(F.lit(1.0))
 
 
-def hypergeometric(a: Column, b: Column, c: Column, z: Column, digits: float = 36.0, most: int = 20000) -> Column:
-    """2F1 for 0 <= z < 1; the series runs until ``z**n`` is below ``exp(-digits)``."""
-    length = F.least(F.ceil(F.lit(digits) / -F.log(z)) + 50, F.lit(most)).cast("int")
+def hypergeometric(a: Column, b: Column, c: Column, z: Column, digits: float = 36.0, most: int = 5_000_000) -> Column:
+    """2F1 for 0 <= z < 1; the series runs until ``z**n`` is below ``exp(-digits)``.
+
+    Where that takes more than ``most`` terms (z above 1 - 7e-6) the query fails; the series is never cut short.
+    """
+    needed = F.ceil(F.lit(digits) / -F.log(z)) + 50
+    length = F.when(needed > most, F.raise_error(F.lit(f"2F1 does not converge in {most} terms"))).otherwise(needed).cast("int")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def add(acc, k):

@@ -103,15 +103,14 @@ def rank_correlation(df: DataFrame, features: list[str], target: str = "target")
 
 
 def pearson_pairs(df: DataFrame, features: list[str], least: float = 0.0) -> DataFrame:
-    """Pairs of features with ``|r| >= least``. The Gram matrix is summed by Spark; the
-    driver holds one number per pair of features."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double").where(F.abs("correlation") >= least)
+    """Pairs of features with ``|r| >= least``, each over the rows where both are known.
+
+    One aggregate with map-side combine; the result has one row per pair of features.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    wide = values.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("correlation")) for a, b in pairs]).alias("pairs"))
+    return wide.select(F.explode("pairs").alias("p")).select("p.*").where(F.col("correlation").isNotNull() & ~F.isnan("correlation") & (F.abs("correlation") >= least))
 
 
 def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
