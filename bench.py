@@ -28,7 +28,7 @@ HEADLINE = [
 def panel_snapshots(t: Tables):
     """The panel job: 22 anchors two weeks apart and one more, all users, with targets."""
     anchors = A.calendar_anchors(t.log, stride=14, newest=23)
-    return S.snapshot(t.log, anchors, n_users=15000.0)
+    return S.snapshot(t.log, anchors)
 
 
 def cadence_one_anchor(t: Tables):

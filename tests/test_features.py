@@ -119,6 +119,20 @@ def test_all_anchors_share_one_shuffle_by_user(orders_log, spark):
     assert "hashpartitioning(anchor_date" not in plan and "hashpartitioning(user_id" in plan
 
 
+def test_anchors_prune_a_log_partitioned_by_date(orders_log, spark, tmp_path):
+    orders_log.where("event_date >= '1999-12-01' AND event_date < '2000-02-01'").write.partitionBy("event_date").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    one = A.anchor_table(spark, ["2000-01-01"])
+    rows = W.history(log, one, back=7, ahead=0, columns=["gmv"]).where("NOT _index")
+    assert {r[0] for r in rows.select("age").collect()} <= set(range(7)) and rows.count() > 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole filters in the plan's text
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "<= Subquery" in filters and "> Subquery" in filters
+    assert "NestedLoop" not in plan
+
+
 def test_calendar(spark):
     got = {str(r["anchor_date"]): r for r in A.holiday_distance(A.anchor_table(spark, ["2025-01-01", "2025-02-24", "2025-11-01"])).collect()}
     assert got["2025-01-01"]["days_to_new_year"] == 0 and got["2025-01-01"]["target_window_covers_holiday"] == 0

@@ -91,7 +91,7 @@ def test_meta_formula_and_refusals(bank):
 
 
 def test_fitted_weights_beat_the_start_and_keep_their_sums(bank):
-    meta = X.fit_meta_weights(bank, ["r1", "r2"], ["c1", "c2"], ["m1", "m2"], ["m1"], rounds=6)
+    meta = X.fit_meta_weights(bank, ["r1", "r2"], ["c1", "c2"], ["m1", "m2"], ["m1"])
     assert sum(meta.react.values()) == pytest.approx(1) and sum(meta.churn.values()) == pytest.approx(1) and sum(meta.blend.values()) == pytest.approx(1)
     mse = lambda m: X.apply_meta(bank, m).agg(F.avg((F.col("prediction_z") - F.col("z_target")) ** 2)).first()[0]
     even = X.Meta({"r1": .5, "r2": .5}, {"c1": .5, "c2": .5}, {"m1": 1.0, "m2": 1.0}, meta.mean, meta.scale, 0.0, 1.1, {"hurdle": 1.0, "m1": 0.0})
@@ -170,11 +170,16 @@ def test_likelihood_and_fit(spark):
                 break
         rows.append((i, float(x), float(round(last)), T))
     rfm = spark.createDataFrame(rows, "user_id long, btyd_frequency double, btyd_recency_days double, btyd_T_days double")
-    fitted = B.fit_bgnbd(rfm, rounds=20)
+    fitted = B.fit_bgnbd(rfm)
     ll = lambda m: sum(
         math.lgamma(m.r + x) - math.lgamma(m.r) + m.r * math.log(m.alpha) + math.lgamma(m.a + m.b) + math.lgamma(m.b + x) - math.lgamma(m.b) - math.lgamma(m.a + m.b + x)
         - (m.r + x) * math.log(m.alpha + T) + (math.log1p(m.a / (m.b + x - 1) * ((m.alpha + T) / (m.alpha + t)) ** (m.r + x)) if x else 0.0) for _, x, t, T in rows)
-    assert ll(fitted) >= ll(B.BgNbd(1.2, 20.0, 1.5, 6.0)) - 5.0
+    assert ll(fitted) >= ll(B.BgNbd(1.2, 20.0, 1.5, 6.0))
+    again = B.fit_bgnbd(rfm, start=B.BgNbd(4.0, 5.0, 0.2, 9.0))
+    assert [math.log(v) for v in vars(again).values()] == pytest.approx([math.log(v) for v in vars(fitted).values()], abs=2e-3)
+    for name in vars(fitted):
+        for factor in (math.exp(1e-3), math.exp(-1e-3)):
+            assert ll(fitted) >= ll(B.BgNbd(**{**vars(fitted), name: getattr(fitted, name) * factor})) - 1e-6
     spark_ll = rfm.agg(F.sum(B.log_likelihood(F.col("btyd_frequency"), F.col("btyd_recency_days"), F.col("btyd_T_days"), *(F.lit(v) for v in (0.8, 15.0, 0.6, 2.5))))).first()[0]
     assert spark_ll == pytest.approx(ll(MODEL), rel=1e-9)
 

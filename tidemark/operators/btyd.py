@@ -11,6 +11,7 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +93,16 @@ def log_likelihood(x: Column, t: Column, T: Column, r, alpha, a, b) -> Column:
 
 
 def fit_bgnbd(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str = "btyd_recency_days", age: str = "btyd_T_days",
-              penalty: float = 0.0, rounds: int = 12, width: float = 1.0) -> BgNbd:
+              penalty: float = 0.0, tolerance: float = 1e-4, start: BgNbd | None = None, most: int = 400) -> BgNbd:
     """Maximum likelihood over all users.
 
     Users are reduced to counts of equal (x, t, T). Each round scores a grid of
-    81 parameter sets around the best one in a single aggregate, then moves there
-    or halves the grid; only the scores come to the driver.
+    81 parameter sets around the best one, on the logs of the parameters, in a single
+    aggregate; only the scores come to the driver. The best set moves there, or to the
+    vertex of the quadratic through the grid, or the grid shrinks. The fit ends when no
+    neighbour at ``tolerance`` is better by 1e-12. Where all customers drop out at the same
+    rate, ``a`` and ``b`` grow at a fixed ratio until that holds. It fails when the optimum runs out of
+    ``exp(-40) ... exp(40)`` (the data has none: set ``penalty``) or after ``most`` rounds.
     """
     spark = rfm.sparkSession
     counts = cut_lineage(
@@ -106,29 +111,54 @@ def fit_bgnbd(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str =
         .agg(F.count(F.lit(1)).alias("n"))
     )
     w = F.col("n")
-    m = counts.agg(
-        F.sum(w).alias("n"), (F.sum(F.col("x") * w) / F.sum(w)).alias("mean"),
-        (F.sum(F.col("x") * F.col("x") * w) / F.sum(w)).alias("square"), (F.sum(F.col("life") * w) / F.sum(w)).alias("age"),
-    ).first()
-    if not m["n"]:
+    mean_age = counts.agg((F.sum(F.col("life") * w) / F.sum(w)).alias("age")).first()["age"]
+    if mean_age is None:
         raise ValueError("no users to fit on")
-    spread = max(1e-4, m["square"] - m["mean"] ** 2 - m["mean"])
-    best = [math.log(v) for v in (max(0.5, m["mean"] ** 2 / spread), max(1.0, m["mean"] / spread * m["age"]), 0.5, 2.0)]
-    step = width
-    for _ in range(rounds):
-        grid = [[c + step * d for c, d in zip(best, move)] for move in itertools.product((-1, 0, 1), repeat=4)]
-        grid = [[min(max(v, -12.0), 12.0) for v in point] for point in grid]
-        table = spark.createDataFrame([(i, *map(math.exp, p)) for i, p in enumerate(grid)],
+    ll = log_likelihood(*(F.col(c) for c in ("x", "t", "life", "r", "alpha", "a", "b")))
+
+    def costs(points: list[list[float]]) -> list[float]:
+        table = spark.createDataFrame([(i, *map(math.exp, p)) for i, p in enumerate(points)],
                                       "candidate int, r double, alpha double, a double, b double")
-        ll = log_likelihood(*(F.col(c) for c in ("x", "t", "life", "r", "alpha", "a", "b")))
-        scores = counts.crossJoin(F.broadcast(table)).groupBy("candidate").agg((F.sum(ll * w) / F.sum(w)).alias("ll")).collect()
-        cost = {row["candidate"]: penalty * sum(math.exp(v) ** 2 for v in grid[row["candidate"]]) - row["ll"] for row in scores}
-        winner = min(cost, key=lambda i: (cost[i], i))
-        if grid[winner] == best:
-            step /= 2
+        rows = counts.crossJoin(F.broadcast(table)).groupBy("candidate").agg((F.sum(ll * w) / F.sum(w)).alias("ll")).collect()
+        found = {row["candidate"]: row["ll"] for row in rows}
+        known = [found[i] if found[i] is not None and math.isfinite(found[i]) else -math.inf for i in range(len(points))]
+        return [penalty * sum(math.exp(v) ** 2 for v in p) - k for p, k in zip(points, known)]
+
+    moves = list(itertools.product((-1, 0, 1), repeat=4))
+    best = [math.log(v) for v in vars(start).values()] if start else [0.0, math.log(max(mean_age, 1.0)), 0.0, 0.0]
+    step, vertex = 2.0, None
+    for _ in range(most):
+        points = [best, *[[c + step * d for c, d in zip(best, move)] for move in moves], *([vertex] if vertex else [])]
+        cost = costs(points)
+        winner = min(range(len(points)), key=lambda i: (cost[i], i))
+        towards = _vertex(moves, cost[1:1 + len(moves)])
+        vertex = [c + step * d for c, d in zip(best, towards)] if towards else None
+        if cost[winner] < cost[0] - 1e-12:
+            best = points[winner]
+            if max(map(abs, best)) > 40.0:
+                raise ValueError("the likelihood has no maximum inside the allowed range; set a penalty")
+        elif step <= tolerance:
+            return BgNbd(*map(math.exp, best))
         else:
-            best = grid[winner]
-    return BgNbd(*map(math.exp, best))
+            step = max(step / 2, tolerance)
+    raise RuntimeError(f"fit_bgnbd did not settle within {most} rounds")
+
+
+def _vertex(moves: list[tuple[int, ...]], cost: list[float], reach: float = 4.0) -> list[float] | None:
+    """Lowest point, in steps from the middle, of the quadratic fitted to costs on a grid; None where it has none."""
+    if not all(map(math.isfinite, cost)):
+        return None
+    x = np.array(moves, dtype=float)
+    pairs = list(itertools.combinations_with_replacement(range(x.shape[1]), 2))
+    terms = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in pairs]])
+    beta = np.linalg.lstsq(terms, np.array(cost) - min(cost), rcond=None)[0]
+    curve = np.zeros((x.shape[1], x.shape[1]))
+    for (i, j), v in zip(pairs, beta[1 + x.shape[1]:]):
+        curve[i, j] += v
+        curve[j, i] += v
+    if np.linalg.eigvalsh(curve)[0] <= 0:
+        return None
+    return list(np.clip(np.linalg.solve(curve, -beta[1:1 + x.shape[1]]), -reach, reach))
 
 
 def p_alive(x: Column, t: Column, T: Column, m: BgNbd) -> Column:

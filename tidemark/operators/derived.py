@@ -31,7 +31,7 @@ def rates_ratios(df: DataFrame, bases=RATE_BASES, days=(7, 14, 30, 60, 90), eps:
     return df.selectExpr("*", *[f"{x} AS {n}" for n, x in out.items()])
 
 
-def interval_vs_platform(df: DataFrame, n_users: float, eps: float = 1e-5) -> DataFrame:
+def interval_vs_platform(df: DataFrame, n_users: float | Column, eps: float = 1e-5) -> DataFrame:
     """Approximate order interval, recency against it, and the user against the platform."""
     interval = F.lit(90.0) / (F.col("purchase_days_90d") + F.lit(eps))
     return df.withColumns({
@@ -39,7 +39,7 @@ def interval_vs_platform(df: DataFrame, n_users: float, eps: float = 1e-5) -> Da
         "recency_ratio_90d": ratio("days_since_last_order", interval, eps),
         "user_gmv_vs_global_30d": ratio("gmv_sum_30d", "global_gmv_per_active_30d", eps),
         "user_active_vs_global_30d": ratio(
-            "active_days_30d", F.col("global_dau_30d_mean") * F.lit(30.0) / F.lit(float(n_users)), eps),
+            "active_days_30d", F.col("global_dau_30d_mean") * F.lit(30.0) / F.lit(n_users).cast("double"), eps),
     })
 
 

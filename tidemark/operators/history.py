@@ -32,13 +32,25 @@ def history(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None,
     both = by_user(rows.withColumn("_index", F.lit(False)).unionByName(
         index.withColumn("_index", F.lit(True)), allowMissingColumns=True))
     age = F.date_diff("anchor_date", "event_date")
-    inside = age >= -ahead
-    if back is not None:
-        inside = inside & (age < back)
-    joined = both.join(F.broadcast(dates), F.col("_index") | inside)
+    if back is None:
+        joined = both.join(F.broadcast(dates), F.col("_index") | (age >= -ahead))
+    else:
+        pairs = F.broadcast(visible_days(dates, back, ahead))
+        joined = both.join(pairs, F.col("event_date").eqNullSafe(F.col("_day"))).drop("_day")
     return joined.withColumn("age", age)
 
 
+def visible_days(anchors: DataFrame, back: int, ahead: int) -> DataFrame:
+    """(anchor_date, _day) for every day an anchor sees, and one null day per anchor for the index rows.
+
+    An equality join on the day replaces a comparison of each row with each anchor; the table
+    has ``back + ahead + 1`` rows per anchor whatever the size of the log.
+    """
+    first, last = F.date_sub("anchor_date", back - 1), F.date_add("anchor_date", ahead)
+    return anchors.select("anchor_date", F.explode(
+        F.array_append(F.sequence(first, last), F.lit(None).cast("date"))).alias("_day"))
+
+
 def by_user(rows: DataFrame) -> DataFrame:
     """One shuffle by user into the configured number of partitions.
 
@@ -49,12 +61,11 @@ def by_user(rows: DataFrame) -> DataFrame:
 
 
 def in_reach(rows: DataFrame, anchors: DataFrame, back: int | None, ahead: int) -> DataFrame:
-    """Drop the log rows no anchor can see, before they are shuffled (one-row broadcast)."""
-    reach = anchors.agg(F.date_add(F.max("anchor_date"), ahead).alias("_to"), F.min("anchor_date").alias("_from"))
-    seen = F.col("event_date") <= F.col("_to")
+    """Drop the log rows no anchor can see; the bounds are scalar subqueries, which the scan takes as filters."""
+    seen = F.col("event_date") <= anchors.select(F.date_add(F.max("anchor_date"), ahead)).scalar()
     if back is not None:
-        seen = seen & (F.col("event_date") > F.date_sub("_from", back))
-    return rows.join(F.broadcast(reach), seen).drop("_to", "_from")
+        seen = seen & (F.col("event_date") > anchors.select(F.date_sub(F.min("anchor_date"), back)).scalar())
+    return rows.where(seen)
 
 
 def aggregate(hist: DataFrame, exprs: list[Column]) -> DataFrame:

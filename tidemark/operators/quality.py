@@ -54,7 +54,7 @@ def logic_checks(log: DataFrame) -> DataFrame:
     return wide.unpivot([], list(rules), "rule", "n_violations")
 
 
-def check_snapshot(snapshot: DataFrame, n_users: int, horizon: int = 30, with_target: bool = True) -> DataFrame:
+def check_snapshot(snapshot: DataFrame, n_users: int | Column, horizon: int = 30, with_target: bool = True) -> DataFrame:
     """Violations per anchor: missing or duplicate users, bounds, null targets."""
     a = F.col("anchor_date")
     per_user = snapshot.groupBy("anchor_date", "user_id").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -120,6 +121,17 @@ def _moves(point: Meta, step: float) -> list[Meta]:
     return out
 
 
+def _further(point: Meta, before: Meta, reach: float) -> Meta:
+    """``point`` moved on by ``reach`` times its last change, as far as no weight gets below zero."""
+    moved = {}
+    for name in ("react", "churn", "blend", "amount"):
+        now, old = getattr(point, name), getattr(before, name)
+        change = {c: now[c] - old[c] for c in now}
+        far = min([reach, *[now[c] / -d for c, d in change.items() if d < 0]])
+        moved[name] = {c: max(now[c] + far * d, 0.0) for c, d in change.items()}
+    return replace(point, **moved, intercept=point.intercept + reach * (point.intercept - before.intercept))
+
+
 def _score_metas(bank: DataFrame, metas: list[Meta], target_z: str, active: str, weight_decay: float) -> list[float]:
     """Mean squared error of all weight sets in one aggregate; the sets are the broadcast side."""
     flat = [[*m.react.values(), *m.churn.values(), *m.amount.values(), m.intercept, *m.blend.values()] for m in metas]
@@ -138,11 +150,13 @@ def _score_metas(bank: DataFrame, metas: list[Meta], target_z: str, active: str,
 
 
 def fit_meta_weights(bank: DataFrame, react: list[str], churn: list[str], amount: list[str], direct: list[str] = (), target_z: str = "z_target",
-                     active: str = "was_active", alpha: float = ALPHA, weight_decay: float = 0.0, rounds: int = 16, step: float = 0.25) -> Meta:
+                     active: str = "was_active", alpha: float = ALPHA, weight_decay: float = 0.0, tolerance: float = 1e-3, step: float = 0.25, most: int = 1000) -> Meta:
     """Joint weights under sum-to-one constraints.
 
-    Each round scores all neighbours of the best weight set in one pass over the
-    bank and moves or halves the step. Several starts are scored in the first round.
+    Each round scores all neighbours of the best weight set, and points further along its
+    last move, in one pass over the bank, and moves or halves the step. Several starts are
+    scored in the first round. The fit ends when no neighbour at ``tolerance`` is better,
+    and fails when that takes more than ``most`` rounds.
     """
     narrow = cut_lineage(bank.select(*dict.fromkeys([*react, *churn, *amount, *direct, target_z, active])))
     mean, scale = amount_moments(narrow, amount)
@@ -154,15 +168,18 @@ def fit_meta_weights(bank: DataFrame, react: list[str], churn: list[str], amount
     starts += [replace(starts[-1], react={c: float(c == only) for c in react}) for only in react]
     costs = _score_metas(narrow, starts, target_z, active, weight_decay)
     best, cost = min(zip(starts, costs), key=lambda mc: mc[1])
-    for _ in range(rounds):
-        near = _moves(best, step)
+    before = best
+    for _ in range(most):
+        near = _moves(best, step) + [_further(best, before, reach) for reach in (1.0, 4.0) if before != best]
         costs = _score_metas(narrow, near, target_z, active, weight_decay)
         i = min(range(len(near)), key=lambda k: costs[k])
         if costs[i] < cost - 1e-12:
-            best, cost = near[i], costs[i]
+            before, best, cost = best, near[i], costs[i]
+        elif step <= tolerance:
+            return best
         else:
-            step /= 2
-    return best
+            before, step = best, max(step / 2, tolerance)
+    raise RuntimeError(f"fit_meta_weights did not settle within {most} rounds")
 
 
 def one_standard_error(scores: DataFrame, penalty: str = "penalty", score: str = "score") -> DataFrame:
@@ -197,16 +214,25 @@ def project_to_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - theta[np.nonzero(u > theta)[0][-1]], 0.0)
 
 
-def fit_blend(df: DataFrame, columns: list[str], target_z: str = "z_target", steps: int = 5000) -> dict[str, float]:
+def fit_blend(df: DataFrame, columns: list[str], target_z: str = "z_target", gap: float = 1e-9) -> dict[str, float]:
     """Convex weights with the least squared error: one Spark pass for the products of the
-    columns, then a descent on the few weights."""
+    columns, then an accelerated descent on the few weights. It ends when the error is within
+    ``gap`` (relative to the mean square of the target) of the least one, by the duality gap."""
     g = gram_matrix(df, [*columns, target_z])
     a, b = g[:-1, :-1], g[:-1, -1]
-    w = np.full(len(columns), 1.0 / len(columns))
-    rate = 1.0 / max(np.linalg.eigvalsh(a)[-1], 1e-12)
-    for _ in range(steps):
-        w = project_to_simplex(w - rate * (a @ w - b))
-    return dict(zip(columns, map(float, w)))
+    w = ahead = np.full(len(columns), 1.0 / len(columns))
+    rate, pace = 1.0 / max(np.linalg.eigvalsh(a)[-1], 1e-12), 1.0
+    for _ in range(1_000_000):
+        slope = a @ w - b
+        if w @ slope - slope.min() <= gap * max(g[-1, -1], 1e-12):
+            return dict(zip(columns, map(float, w)))
+        moved = project_to_simplex(ahead - rate * (a @ ahead - b))
+        faster = (1.0 + math.sqrt(1.0 + 4.0 * pace * pace)) / 2.0
+        if (ahead - moved) @ (moved - w) > 0:  # overshoot: start the acceleration anew
+            faster = 1.0
+        ahead = moved + (pace - 1.0) / faster * (moved - w) if faster > 1.0 else moved
+        w, pace = moved, faster
+    raise RuntimeError("fit_blend did not settle")
 
 
 def sweep_parameter(df: DataFrame, values: list[float], prediction_z, target_z: str = "z_target", keys: list[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import flag, log_amount, sum_where
@@ -17,12 +17,13 @@ from tidemark.operators.windows import (
 )
 
 
-def snapshot(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, n_users: float = 250000.0, history_days: int = 90,
+def snapshot(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, n_users: float | None = None, history_days: int = 90,
              horizon: int = 30, data_start: str | None = None, with_target: bool = True) -> DataFrame:
     """Windows, recency, lifetime, dynamics, platform, calendar, rates and segment, with the target.
 
     Features and target come out of one aggregation. ``history_days`` cuts the
-    history, so the lifetime columns cover that many days only.
+    history, so the lifetime columns cover that many days only. ``n_users`` is the size
+    of the platform; by default the users of the index are counted.
     """
     ahead = horizon if with_target else 0
     hist = with_spike_mean(history(log, anchors, users, back=history_days, ahead=ahead, columns=SNAPSHOT_METRICS))
@@ -33,13 +34,19 @@ def snapshot(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None,
     platform = platform_at_anchor(platform_daily(log), anchors)
     calendar = target_calendar(anchors, holiday_table(anchors), horizon)
     table = table.join(F.broadcast(platform), "anchor_date").join(F.broadcast(calendar), "anchor_date")
-    table = derived.user_segment(derived.interval_vs_platform(derived.rates_ratios(table), n_users))
+    size = index_size(log if users is None else users) if n_users is None else n_users
+    table = derived.user_segment(derived.interval_vs_platform(derived.rates_ratios(table), size))
     table = technical_columns(table, history_days, horizon, data_start)
     if with_target:
         return binary_target(table)
     return table.withColumns({"target": F.lit(None).cast("double"), "will_buy_30d": F.lit(None).cast("int")})
 
 
+def index_size(users: DataFrame) -> Column:
+    """The number of users as a scalar subquery."""
+    return users.agg(F.count_distinct("user_id")).scalar()
+
+
 def no_nulls(df: DataFrame) -> DataFrame:
     """Fail inside the job when a feature is null."""
     names = [c for c in df.columns if c not in KEYS]

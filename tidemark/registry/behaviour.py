@@ -20,8 +20,6 @@ from tidemark.registry.features import (
     PUBLIC_SQL, SHORT_SQL, SPARSE_SQL, SPIKE, lifetime_sql, recency_sql,
 )
 
-N_USERS = 1500.0
-
 # --- derived --------------------------------------------------------------------------------
 
 RATE_NAMES, RATE_SQL = [], []
@@ -47,9 +45,9 @@ query("rates_ratios", sql=ctes(LOG, CV, HIST, BASE90) + f"SELECT anchor_date, us
     lambda t: D.rates_ratios(base90(t)).select("anchor_date", "user_id", *RATE_NAMES))
 VS_SQL = f"""90 / (purchase_days_90d + 1e-5) AS approx_order_interval_90d, days_since_last_order / (90 / (purchase_days_90d + 1e-5) + 1e-5) AS recency_ratio_90d,
  gmv_sum_30d / (global_gmv_per_active_30d + 1e-5) AS user_gmv_vs_global_30d,
- active_days_30d / (global_dau_30d_mean * 30 / {N_USERS} + 1e-5) AS user_active_vs_global_30d"""
+ active_days_30d / (global_dau_30d_mean * 30 / (SELECT count(DISTINCT user_id) FROM log) + 1e-5) AS user_active_vs_global_30d"""
 query("interval_vs_platform", sql=ctes(LOG, CV, HIST, BASE90, PLATFORM_SQL, AT_ANCHOR_SQL) + f"SELECT anchor_date, user_id, {VS_SQL} FROM f JOIN pa USING (anchor_date)")(
-    lambda t: D.interval_vs_platform(base90(t).join(F.broadcast(W.platform_at_anchor(W.platform_daily(t.log), t.cv)), "anchor_date"), N_USERS).select(
+    lambda t: D.interval_vs_platform(base90(t).join(F.broadcast(W.platform_at_anchor(W.platform_daily(t.log), t.cv)), "anchor_date"), S.index_size(t.log)).select(
         "anchor_date", "user_id", "approx_order_interval_90d", "recency_ratio_90d", "user_gmv_vs_global_30d", "user_active_vs_global_30d"))
 SEGMENT_SQL = """CASE WHEN customer_age_days < 30 THEN 0 WHEN days_since_last_activity >= 90 THEN 5
  WHEN has_ever_ordered = 0 AND days_since_last_activity <= 14 THEN 1 WHEN has_ever_ordered = 0 THEN 2
@@ -308,12 +306,12 @@ SNAP_SQL = f"""sn0 AS (SELECT anchor_date, user_id, {ACTIVITY_SQL}, {lifetime_sq
  {', '.join(RATE_SQL)}, {VS_SQL}, {SEGMENT_SQL}, {flag_sql('target > 0')} AS will_buy_30d FROM sn0 JOIN pa USING (anchor_date) JOIN cal USING (anchor_date))"""
 SNAP_CTES = (LOG, LAST_CTE, HIST, SPIKE, PLATFORM_SQL, AT_ANCHOR_SQL, HOLIDAY_SQL, CALENDAR_SQL, SNAP_SQL)
 TECH = ("history_start", "history_end", "target_start", "target_end")
-query("snapshot", ("anchor_date", "user_id", *TECH), ctes(*SNAP_CTES) + "SELECT * FROM sn")(lambda t: S.snapshot(t.log, t.last, n_users=N_USERS))
+query("snapshot", ("anchor_date", "user_id", *TECH), ctes(*SNAP_CTES) + "SELECT * FROM sn")(lambda t: S.snapshot(t.log, t.last))
 query("sparse_snapshot", sql=ctes(LOG, LAST_CTE, HIST, SPARSE_BASE, RFM_WINDOW_SQL, BTYD_SQL) +
       f"SELECT f.*, {BEHAVIOUR_SQL}, bt.* EXCLUDE (anchor_date, user_id) FROM f JOIN bt USING (anchor_date, user_id)")(lambda t: S.sparse_snapshot(t.log, t.last))
 query("feature_store", sql=ctes(*SNAP_CTES, LABELS_SQL) +
       "SELECT sn.* EXCLUDE (history_start, history_end, target_start, target_end, available_history_days, target, will_buy_30d), lab.* EXCLUDE (anchor_date, user_id) FROM sn JOIN lab USING (anchor_date, user_id)")(
-    lambda t: S.feature_store(t.log, t.last, n_users=N_USERS))
+    lambda t: S.feature_store(t.log, t.last))
 query("join_feature_blocks", sql=ctes(LOG, LAST_CTE, HIST, GAPS_SQL, CADENCE_SQL, CADENCE_FINAL, PROPENSITY_SQL, EXACT_SQL, RFM_WINDOW_SQL, BTYD_SQL) + f""",
  base AS (SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS gmv_sum_30d {PER_USER})
  SELECT base.*, cf.* EXCLUDE (anchor_date, user_id), pp.* EXCLUDE (anchor_date, user_id), ly.* EXCLUDE (anchor_date, user_id), bt.* EXCLUDE (anchor_date, user_id)

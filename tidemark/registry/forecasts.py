@@ -16,7 +16,6 @@ from tidemark.plans import runs as R
 from tidemark.registry.base import QUARTERS, clip_sql, ctes, query
 from tidemark.registry.reports import FEATURES, SC, scored
 
-TREES = {"maxIter": 4, "maxDepth": 3}
 INPUTS = FEATURES
 VALID = QUARTERS[-1]
 AU = ("anchor_date", "user_id")
@@ -96,7 +95,7 @@ REACT, CHURN, AMOUNT = ["a_react_logit", "b_react_logit"], ["a_churn_logit", "b_
 @query("fit_meta_weights", ("weight_name",))
 def _(t):
     z = z_frame(t).drop("prediction")
-    meta = X.fit_meta_weights(z.where(f"anchor_date < '{VALID}'"), REACT, CHURN, AMOUNT, ["direct_z"], rounds=8)
+    meta = X.fit_meta_weights(z.where(f"anchor_date < '{VALID}'"), REACT, CHURN, AMOUNT, ["direct_z"])
     return M.rmsle(X.apply_meta(z, meta), []).select("rmsle", meta_rows(meta))
 
 
@@ -119,18 +118,18 @@ def split(t):
 @query("direct_regressor", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    return G.direct_regressor(train, INPUTS, **TREES).add(valid.select(*AU, "target", *INPUTS), "prediction_z").select(*AU, "target", "prediction_z")
+    return G.direct_regressor(train, INPUTS).add(valid.select(*AU, "target", *INPUTS), "prediction_z").select(*AU, "target", "prediction_z")
 
 
 @query("buy_classifier_oof", MODEL_KEYS)
 def _(t):
-    return G.classifier_oof(cut_lineage(z_frame(t)), QUARTERS[-2:], INPUTS, **TREES)
+    return G.classifier_oof(cut_lineage(z_frame(t)), QUARTERS[-2:], INPUTS)
 
 
 @query("hurdle", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    scored_rows = G.fit_hurdle(train, INPUTS, **TREES).add(valid.select(*AU, "target", *INPUTS))
+    scored_rows = G.fit_hurdle(train, INPUTS).add(valid.select(*AU, "target", *INPUTS))
     return G.hurdle_combinations(scored_rows).select(*AU, "target", "pred_a", "pred_b", "pred_c", "pred_d", "pred_final")
 
 
@@ -143,7 +142,7 @@ def _(t):
 @query("transition_specialists", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    return G.transition_specialists(train, INPUTS, **TREES).add(valid.select(*AU, "was_active", "z_target", *INPUTS)).select(*AU, "z_target", "p_react", "p_churn", "p_buy", "prediction_z")
+    return G.transition_specialists(train, INPUTS).add(valid.select(*AU, "was_active", "z_target", *INPUTS)).select(*AU, "z_target", "p_react", "p_churn", "p_buy", "prediction_z")
 
 
 def valid_only(valid):
@@ -153,19 +152,19 @@ def valid_only(valid):
 @query("cohort_specialist", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    return G.cohort_specialist(train, valid_only(valid), INPUTS, borderline_weight=1.5, **TREES).select(*AU, "target", "prediction_z")
+    return G.cohort_specialist(train, valid_only(valid), INPUTS, borderline_weight=1.5).select(*AU, "target", "prediction_z")
 
 
 @query("frequency_specialist", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    return G.frequency_specialist(train, valid_only(valid), INPUTS, **TREES).select(*AU, "target", "prediction_z")
+    return G.frequency_specialist(train, valid_only(valid), INPUTS).select(*AU, "target", "prediction_z")
 
 
 @query("delta_regressor", MODEL_KEYS)
 def _(t):
     train, valid = split(t)
-    return G.delta_regressor(train, valid_only(valid), INPUTS, **TREES).select(*AU, "target", "prediction_z")
+    return G.delta_regressor(train, valid_only(valid), INPUTS).select(*AU, "target", "prediction_z")
 
 
 @query("tweedie", MODEL_KEYS)
@@ -216,7 +215,7 @@ def fold_inputs(log, anchors):
 
 
 def direct_model(train, valid):
-    return G.direct_regressor(train, INPUTS, **TREES).add(valid, "prediction_z")
+    return G.direct_regressor(train, INPUTS).add(valid, "prediction_z")
 
 
 def naive_model(train, valid):
@@ -235,7 +234,7 @@ def _(t):
 
 def specialist_bank(train, valid):
     """Specialists' outputs beside two stand-in models, as a prediction bank."""
-    fitted = G.transition_specialists(train, INPUTS, **TREES)
+    fitted = G.transition_specialists(train, INPUTS)
     return fitted.add(valid.select(*AU, "was_active", "will_buy", "z_target", "target", "transition_state", *INPUTS, *REACT, *CHURN, *AMOUNT)).drop("p_react", "p_churn", "p_buy", "prediction_z")
 
 
@@ -243,7 +242,7 @@ def specialist_bank(train, valid):
 def _(t):
     panel = cut_lineage(z_frame(t))
     _, scored_bank = R.two_run_validation(panel, QUARTERS[-2], QUARTERS[-1], specialist_bank, ["react_logit", "a_react_logit"], ["churn_logit", "a_churn_logit"],
-                                          ["amount_z", "a_amount_z"], rounds=5)
+                                          ["amount_z", "a_amount_z"])
     return R.validation_report(scored_bank)
 
 
@@ -258,16 +257,16 @@ def _(t):
     at = lambda d: z.where(f"anchor_date = '{d}'")
     base, cand = (lambda d: at(d).drop("direct_z")), (lambda d: at(d).select(*AU, "direct_z"))
     m, v = QUARTERS[-2:]
-    return R.promotion_gate(base(m), base(v), cand(m), cand(v), ["direct_z"], REACT, CHURN, AMOUNT, ["direct_z"], repeats=100, rounds=4)
+    return R.promotion_gate(base(m), base(v), cand(m), cand(v), ["direct_z"], REACT, CHURN, AMOUNT, ["direct_z"])
 
 
 @query("group_ablation", ("group",))
 def _(t):
     train, valid = split(t)
-    return R.group_ablation(G.direct_regressor(train, INPUTS, **TREES), valid)
+    return R.group_ablation(G.direct_regressor(train, INPUTS), valid)
 
 
 @query("importance_by_group", ("feature_group",))
 def _(t):
     train, valid = split(t)
-    return R.importance_by_group(G.direct_regressor(train, INPUTS, **TREES), valid)
+    return R.importance_by_group(G.direct_regressor(train, INPUTS), valid)

@@ -68,10 +68,10 @@ RULES = {
 }
 query("logic_checks", ("rule",), ctes(CLICKS) + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {c}) AS n_violations FROM log" for k, c in RULES.items()))(
     lambda t: V.logic_checks(t.clicks))
-query("check_snapshot", A, ctes(LOG, CV) + """SELECT anchor_date, (SELECT count(DISTINCT user_id) FROM log) AS n_users, 1000 - (SELECT count(DISTINCT user_id) FROM log) AS missing_users,
+query("check_snapshot", A, ctes(LOG, CV) + """SELECT anchor_date, (SELECT count(DISTINCT user_id) FROM log) AS n_users, (SELECT count(*) FROM customer) - (SELECT count(DISTINCT user_id) FROM log) AS missing_users,
  0 AS duplicate_users, 0 AS history_after_anchor, 0 AS wrong_target_bounds, 0 AS wrong_target_nulls FROM a""")(
     lambda t: V.check_snapshot(S.technical_columns(W.aggregate(history(t.log, t.cv, back=30, ahead=30, columns=["gmv"]), [
-        sum_where(target_window(30), "gmv").alias("target")])), 1000))
+        sum_where(target_window(30), "gmv").alias("target")])), t.read("customer").agg(F.count(F.lit(1))).scalar()))
 query("finite_check", ("feature",), SC + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS n_null, 0 AS n_nan, 0 AS n_infinite, CASE WHEN count(*) FILTER (WHERE {c} IS NULL) = 0 THEN 1 ELSE 0 END AS ok FROM sc" for c in ("gmv_sum_30d", "p", "target")))(
     lambda t: V.finite_check(scored(t), ["gmv_sum_30d", "p", "target"]))
@@ -237,11 +237,11 @@ def poisson_sql(u: str) -> str:
 
 query("paired_bootstrap", (), SC + f""", b AS (SELECT substr(sha256(CAST(user_id AS VARCHAR)), 1, 3) AS block, count(*) AS n, sum(sle2) AS a, sum(sle) AS b FROM sc GROUP BY 1),
  d AS (SELECT rep, sum(w * a) / sum(w * n) AS ma, sum(w * b) / sum(w * n) AS mb FROM (SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, CAST(CAST('0x' || substr(sha256('42|' || rep || '|' || block), 1, 12) AS UBIGINT) AS DOUBLE) / {16 ** 12} AS u
-  FROM b, range(1, 101) AS r(rep))) GROUP BY 1)
+  FROM b, range(1, 301) AS r(rep))) GROUP BY 1)
  SELECT * FROM (SELECT sum(n) AS n, (sum(b) - sum(a)) / sum(n) AS delta_mse, sqrt(sum(b) / sum(n)) - sqrt(sum(a) / sum(n)) AS delta_rmsle FROM b),
  (SELECT quantile_cont(mb - ma, .025) AS mse_ci_low, quantile_cont(mb - ma, .975) AS mse_ci_high, quantile_cont(sqrt(mb) - sqrt(ma), .025) AS rmsle_ci_low, quantile_cont(sqrt(mb) - sqrt(ma), .5) AS rmsle_ci_median,
   quantile_cont(sqrt(mb) - sqrt(ma), .975) AS rmsle_ci_high, avg(CASE WHEN mb < ma THEN 1 ELSE 0 END) AS p_candidate_better FROM d)""")(
-    lambda t: M.paired_bootstrap(scored(t), "prediction2", "prediction", repeats=100))
+    lambda t: M.paired_bootstrap(scored(t), "prediction2", "prediction"))
 query("error_tiers", ("tier",), SC + """SELECT tier, n, mean_target, mean_prediction, mae, rmsle, sse, n / sum(n) OVER () AS share_users, sse / sum(sse) OVER () AS share_sse FROM (SELECT CASE WHEN target = 0 THEN '0_zero'
  WHEN target / 500 < 50 THEN '1_below_50' WHEN target / 500 < 250 THEN '2_below_250' WHEN target / 500 < 1000 THEN '3_below_1000' WHEN target / 500 < 3000 THEN '4_below_3000' ELSE '5_from_3000' END AS tier, count(*) AS n,
  avg(target) AS mean_target, avg(prediction) AS mean_prediction, avg(abs(prediction - target)) AS mae, sqrt(avg(sle)) AS rmsle, sum(sle) AS sse FROM sc GROUP BY 1)""")(
