@@ -351,41 +351,45 @@ def events_sql(keep: int) -> str:
 
 LN = lambda c: f"ln(1 + {c})"
 DOY = "dayofyear(event_date)"
-SEQ_SQL = f"""SELECT anchor_date, user_id, 20 - kept + rank - 1 AS position, rank, {LN('searches')} AS c_search, {', '.join(f'{LN(c)} AS c_{c}' for c in ('cat', 'to_cart', 'to_ord', 'gmv', 'gmv_search', 'gmv_cat', 'searches'))},
+SEQ_SQL = f"""SELECT anchor_date, user_id, 180 - kept + rank - 1 AS position, rank, {LN('searches')} AS c_search, {', '.join(f'{LN(c)} AS c_{c}' for c in ('cat', 'to_cart', 'to_ord', 'gmv', 'gmv_search', 'gmv_cat', 'searches'))},
  search_to_cart AS c_s2c, search_to_ord AS c_s2o, cat_to_cart AS c_c2c, cat_to_ord AS c_c2o, age / 365 AS t_norm, exp(-age / 30.0) AS t_decay,
  sin(2 * pi() * {DOY} / 365.25) AS t_sin, cos(2 * pi() * {DOY} / 365.25) AS t_cos, exp(-abs(age - 15) / 30.0) AS t_season_prox, isodow(event_date) / 7 AS t_dow,
  {', '.join(f'{flag_sql(f"age <= {d}")} AS {k}' for k, d in Q.AGE_FLAGS.items())} FROM ev"""
-query("event_sequence", sql=ctes(LOG, QUARTER_CTE, HIST, events_sql(20)) + SEQ_SQL)(lambda t: Q.sequence_rows(Q.event_sequence(t.log, t.quarters, max_events=20)))
-query("event_sequence_events", sql=ctes(CLICKS, EVENT_CTE, HIST, events_sql(20)) + SEQ_SQL)(lambda t: Q.sequence_rows(Q.event_sequence(t.clicks, t.event_anchors, max_events=20)))
+query("event_sequence", sql=ctes(LOG, QUARTER_CTE, HIST, events_sql(180)) + SEQ_SQL)(lambda t: Q.sequence_rows(Q.event_sequence(t.log, t.quarters)))
+query("event_sequence_events", sql=ctes(CLICKS, EVENT_CTE, HIST, events_sql(180)) + SEQ_SQL)(lambda t: Q.sequence_rows(Q.event_sequence(t.clicks, t.event_anchors)))
 DELTA = "CASE WHEN rank = 1 THEN 0 ELSE event_date - prev END"
 MID = "dayofyear(CAST(anchor_date + 15 AS DATE))"
 PAIRS = ("search_to_cart", "search_to_ord", "cat_to_cart", "cat_to_ord")
-query("event_sequence_delta", sql=ctes(CLICKS, EVENT_CTE, HIST, events_sql(16)) + f"""SELECT anchor_date, user_id, 16 - kept + rank - 1 AS position, kept - rank AS rank_from_end,
+query("event_sequence_delta", sql=ctes(CLICKS, EVENT_CTE, HIST, events_sql(128)) + f"""SELECT anchor_date, user_id, 128 - kept + rank - 1 AS position, kept - rank AS rank_from_end,
  searches AS c_search, cat AS c_cat, {', '.join(f"{flag_sql(c + ' > 0')} AS c_has_{c}, {LN(c)} AS c_log_{c}" for c in PAIRS)}, {LN('gmv')} AS c_log_gmv, {flag_sql('to_ord > 0')} AS c_is_purchase_day,
  age / 365 AS age_norm, {LN('age')} / ln(366) AS log_age_norm, {DELTA} / 365 AS delta_norm, {LN(DELTA)} / ln(366) AS log_delta_norm,
  sin(2 * pi() * (isodow(event_date) - 1) / 7) AS dow_sin, cos(2 * pi() * (isodow(event_date) - 1) / 7) AS dow_cos, sin(2 * pi() * {DOY} / 365.25) AS doy_sin, cos(2 * pi() * {DOY} / 365.25) AS doy_cos,
  sin(2 * pi() * ({DOY} - {MID}) / 365.25) AS target_phase_sin, cos(2 * pi() * ({DOY} - {MID}) / 365.25) AS target_phase_cos, {flag_sql('rank = 1')} AS is_first_event FROM ev""")(
-    lambda t: Q.sequence_rows(Q.event_sequence_delta(t.clicks, t.event_anchors, max_events=16)))
-query("split_views", ("anchor_date", "user_id", "view_name"), ctes(CLICKS, EVENT_CTE, HIST, events_sql(24)) + """, v AS (SELECT *, CASE WHEN rank <= kept // 2 THEN 'early' ELSE 'late' END AS view_name,
- CASE WHEN rank <= kept // 2 THEN kept // 2 ELSE kept - kept // 2 END AS size, CASE WHEN rank <= kept // 2 THEN rank ELSE rank - kept // 2 END AS r FROM ev WHERE kept >= 4)
- SELECT anchor_date, user_id, view_name, r - 1 - greatest(size - 8, 0) AS slot, ln(1 + gmv) AS c_gmv FROM v WHERE r > size - 8""")(
-    lambda t: (lambda v: v.select("anchor_date", "user_id", F.lit("early").alias("view_name"), "n_events", F.posexplode("view_early").alias("slot", "e")).unionByName(
-        v.select("anchor_date", "user_id", F.lit("late").alias("view_name"), "n_events", F.posexplode("view_late").alias("slot", "e"))).where(
-        F.col("e").isNotNull() & (F.col("n_events") >= 4)).select("anchor_date", "user_id", "view_name", "slot", F.col("e.c_gmv").alias("c_gmv")))(
-        Q.split_views(Q.event_sequence(t.clicks, t.event_anchors, max_events=24), 8)))
-LENGTHS_SQL = """len AS (SELECT anchor_date, user_id, count(age) AS n_events_raw, least(count(age), 16) AS n_events_retained, CASE WHEN count(age) > 16 THEN 1 ELSE 0 END AS was_truncated,
- coalesce(list_sort(list(age) FILTER (WHERE age IS NOT NULL))[least(count(age), 16)], 0) AS retained_history_span_days
+    lambda t: Q.sequence_rows(Q.event_sequence_delta(t.clicks, t.event_anchors)))
+# users of fewer than four events have the first and the last slots of the padded sequence as views
+query("split_views", ("anchor_date", "user_id", "view_name"), ctes(CLICKS, EVENT_CTE, HIST, events_sql(180)) + """, v AS (SELECT *, CASE WHEN rank <= kept // 2 THEN 'early' ELSE 'late' END AS view_name,
+ CASE WHEN rank <= kept // 2 THEN kept // 2 ELSE kept - kept // 2 END AS size, CASE WHEN rank <= kept // 2 THEN rank ELSE rank - kept // 2 END AS r FROM ev WHERE kept >= 4),
+ few AS (SELECT anchor_date, user_id, count(rank) AS k FROM (SELECT DISTINCT anchor_date, user_id FROM h) LEFT JOIN ev USING (anchor_date, user_id) GROUP BY 1, 2 HAVING count(rank) < 4),
+ slots AS (SELECT anchor_date, user_id, view_name, slot, CASE WHEN view_name = 'late' THEN slot - 31 + k END AS rank FROM few, (VALUES ('early'), ('late')) AS w(view_name), range(32) AS t(slot))
+ SELECT anchor_date, user_id, view_name, r - 1 - greatest(size - 32, 0) AS slot, ln(1 + gmv) AS c_gmv FROM v WHERE r > size - 32
+ UNION ALL SELECT s.anchor_date, s.user_id, view_name, slot, ln(1 + coalesce(gmv, 0)) FROM slots s LEFT JOIN ev ON ev.anchor_date = s.anchor_date AND ev.user_id = s.user_id AND ev.rank = s.rank""")(
+    lambda t: (lambda v: v.select("anchor_date", "user_id", F.lit("early").alias("view_name"), F.posexplode("view_early").alias("slot", "e")).unionByName(
+        v.select("anchor_date", "user_id", F.lit("late").alias("view_name"), F.posexplode("view_late").alias("slot", "e"))).where(
+        F.col("e").isNotNull()).select("anchor_date", "user_id", "view_name", "slot", F.col("e.c_gmv").alias("c_gmv")))(
+        Q.split_views(Q.event_sequence(t.clicks, t.event_anchors))))
+LENGTHS_SQL = """len AS (SELECT anchor_date, user_id, count(age) AS n_events_raw, least(count(age), 128) AS n_events_retained, CASE WHEN count(age) > 128 THEN 1 ELSE 0 END AS was_truncated,
+ coalesce(list_sort(list(age) FILTER (WHERE age IS NOT NULL))[least(count(age), 128)], 0) AS retained_history_span_days
  FROM (SELECT anchor_date, user_id, CASE WHEN age BETWEEN 0 AND 364 THEN age END AS age FROM h) GROUP BY 1, 2)"""
-query("sequence_lengths", sql=ctes(CLICKS, EVENT_CTE, HIST, LENGTHS_SQL) + "SELECT * FROM len")(lambda t: Q.sequence_lengths(t.clicks, t.event_anchors, max_events=16))
-query("sequence_length_audit", ("anchor_date", "transition_state"), ctes(LOG, QUARTER_CTE, HIST, LENGTHS_SQL.replace("16", "4"), LABELS_SQL) + f"""SELECT anchor_date, was_active || '' || will_buy AS transition_state, count(*) AS n_samples,
+query("sequence_lengths", sql=ctes(CLICKS, EVENT_CTE, HIST, LENGTHS_SQL) + "SELECT * FROM len")(lambda t: Q.sequence_lengths(t.clicks, t.event_anchors))
+query("sequence_length_audit", ("anchor_date", "transition_state"), ctes(LOG, QUARTER_CTE, HIST, LENGTHS_SQL, LABELS_SQL) + f"""SELECT anchor_date, was_active || '' || will_buy AS transition_state, count(*) AS n_samples,
  avg(n_events_raw) AS mean_events, stddev_pop(n_events_raw) AS std_events, min(n_events_raw) AS min_events, max(n_events_raw) AS max_events,
  avg({flag_sql('n_events_raw = 0')}) AS fraction_zero_events, {', '.join(f"avg({flag_sql(f'n_events_raw <= {k}')}) AS fraction_le_{k}" for k in (16, 32, 64))},
  {', '.join(f"avg({flag_sql(f'n_events_raw > {k}')}) AS fraction_gt_{k}" for k in (128, 192, 256))},
  coalesce(avg(retained_history_span_days) FILTER (WHERE n_events_raw > 0), 0) AS mean_retained_span_days,
- {', '.join(f"coalesce(avg({flag_sql(f'retained_history_span_days < {k}')}) FILTER (WHERE n_events_raw > 4), 0) AS fraction_span_lt_{k}d_when_truncated" for k in (180, 90))},
+ {', '.join(f"coalesce(avg({flag_sql(f'retained_history_span_days < {k}')}) FILTER (WHERE n_events_raw > 128), 0) AS fraction_span_lt_{k}d_when_truncated" for k in (180, 90))},
  {', '.join(f"quantile_cont(n_events_raw, {q / 100}) AS p{q:02d}_events" for q in (1, 10, 25, 50, 75, 90, 95, 99))},
  {', '.join(f"quantile_cont(retained_history_span_days, {q / 100}) FILTER (WHERE n_events_raw > 0) AS p{q}_span" for q in (10, 50, 90))}
  FROM len JOIN lab USING (anchor_date, user_id) GROUP BY 1, 2""")(
-    lambda t: Q.sequence_length_audit(Q.sequence_lengths(t.log, t.quarters, max_events=4).join(
+    lambda t: Q.sequence_length_audit(Q.sequence_lengths(t.log, t.quarters).join(
         L.transition_labels(L.state_labels(t.log, t.quarters)).select("anchor_date", "user_id", "transition_state"), ["anchor_date", "user_id"]),
-        ["anchor_date", "transition_state"], 4))
+        ["anchor_date", "transition_state"]))
