@@ -181,7 +181,8 @@ def split_views(sequences: DataFrame, length: int = 32) -> DataFrame:
         "_v1": F.when(few, F.slice("events", 1, length)).otherwise(newest(F.slice("_real", 1, half))),
         "_v2": F.when(few, newest(F.col("events"))).otherwise(newest(F.slice("_real", half + 1, F.size("_real")))),
     })
-    pad_to = lambda v: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.get(v, k))
+    # a one-element array binds the view, else it is built anew for every slot
+    pad_to = lambda v: F.get(F.transform(F.array(v), lambda one: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.get(one, k))), 0)
     return df.select(*KEYS, "n_events", pad_to(F.col("_v1")).alias("view_early"), pad_to(F.col("_v2")).alias("view_late"))
 
 

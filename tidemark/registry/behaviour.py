@@ -106,11 +106,11 @@ BEHAVIOUR_SQL = ", ".join(f"{x} AS {k}" for k, x in BEHAVIOUR.items())
 
 
 def sparse_base(t):
-    hist = W.history(t.log, t.last, columns=list(W.SPARSE_METRICS))
+    hist = W.history(t.log, t.quarters, columns=list(W.SPARSE_METRICS))
     return W.fill(W.aggregate(hist, W.sparse_window_exprs() + W.sparse_lifetime_exprs() + W.ewma_exprs()), recency_names=["customer_age_days"])
 
 
-query("behaviour_features", sql=ctes(LOG, LAST_CTE, HIST, SPARSE_BASE) + f"SELECT anchor_date, user_id, mean_order_interval_365d, {BEHAVIOUR_SQL} FROM f")(
+query("behaviour_features", sql=ctes(LOG, QUARTER_CTE, HIST, SPARSE_BASE) + f"SELECT anchor_date, user_id, mean_order_interval_365d, {BEHAVIOUR_SQL} FROM f")(
     lambda t: D.behaviour_features(sparse_base(t)).select("anchor_date", "user_id", "mean_order_interval_365d", *BEHAVIOUR))
 
 INTENT = {
@@ -219,9 +219,9 @@ LIFE_SQL = f"""lf AS (SELECT *, {INTENT_SQL} FROM (SELECT anchor_date, user_id,
  coalesce(max(age) FILTER (WHERE {span(0, 364)}), 0) AS user_tenure_days, {n(0, 29)} AS active_days_30d, {n(0, 89)} AS active_days_90d,
  {n(0, 29, 'to_ord > 0')} AS purchase_days_30d, {n(0, 89, 'to_ord > 0')} AS purchase_days_90d {PER_USER}))"""
 query("lifecycle_features", sql=ctes(LOG, QUARTER_CTE, HIST, LIFE_SQL) + "SELECT * FROM lf")(lambda t: C.lifecycle_features(t.log, t.quarters))
-query("transition_feature_set", sql=ctes(LOG, LAST_CTE, HIST, LIFE_SQL, LY_SQL, PUBLIC_SQL, CONTEXT_SQL) +
+query("transition_feature_set", sql=ctes(LOG, QUARTER_CTE, HIST, LIFE_SQL, LY_SQL, PUBLIC_SQL, CONTEXT_SQL) +
       "SELECT lf.*, lyc.* EXCLUDE (anchor_date, user_id), ctx.* EXCLUDE (anchor_date) FROM lf JOIN lyc USING (anchor_date, user_id) JOIN ctx USING (anchor_date)")(
-    lambda t: C.transition_feature_set(t.log, t.last))
+    lambda t: C.transition_feature_set(t.log, t.quarters))
 query("activity_window_report", ("anchor_date", "window_days"), ctes(LOG, QUARTER_CTE, HIST) + f""", x AS (SELECT anchor_date, {flag_sql(s('gmv', 0, 29) + ' > 0')} AS a30,
  {flag_sql(s('gmv', 0, 59) + ' > 0')} AS a60, {flag_sql(s('gmv', 0, 89) + ' > 0')} AS a90, {s('gmv', -30, -1)} AS f {PER_USER}),
  y AS (SELECT anchor_date, f, 30 AS window_days, a30 AS act, 0 AS inner_act FROM x UNION ALL SELECT anchor_date, f, 60, a60, a30 FROM x UNION ALL SELECT anchor_date, f, 90, a90, a60 FROM x)
@@ -261,21 +261,21 @@ def expected_sql(x: str, t: str, T: str, h: int, m: B.BgNbd = MODEL) -> str:
 
 ALIVE_SQL = f"CASE WHEN x > 0 THEN 1 / (1 + {odds_sql('x', 't', 'life')}) ELSE 1 END"
 PREDICT_SQL = f"""tri AS (SELECT DISTINCT x, t, life FROM r), sc AS (SELECT x, t, life, {clip_sql(ALIVE_SQL, 0, 1)} AS p, {', '.join(f"{expected_sql('x', 't', 'life', h)} AS e{h}" for h in (7, 14, 30))} FROM tri)"""
-query("bgnbd_predict", sql=ctes(LOG, LAST_CTE, HIST, RFM_FULL_SQL,
+query("bgnbd_predict", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_FULL_SQL,
       "r AS (SELECT *, CAST(btyd_frequency AS DOUBLE) AS x, CAST(coalesce(btyd_recency, 0) AS DOUBLE) AS t, CAST(coalesce(btyd_T, 0) AS DOUBLE) AS life FROM rf)", PREDICT_SQL) + f"""
  SELECT r.* EXCLUDE (x, t, life), CASE WHEN btyd_available = 1 THEN p ELSE 0 END AS btyd_p_alive,
  CASE WHEN btyd_available = 1 THEN ln({clip_sql('p', 1e-7, '1 - 1e-7')} / (1 - {clip_sql('p', 1e-7, '1 - 1e-7')})) ELSE -15 END AS btyd_logit_p_alive,
  {', '.join(f"CASE WHEN btyd_available = 1 THEN e{h} ELSE 0 END AS btyd_expected_purchases_{h}d, CASE WHEN btyd_available = 1 THEN 1 - exp(-{clip_sql(f'e{h}', 0, 50)}) ELSE 0 END AS btyd_p_buy_{h}d, CASE WHEN btyd_available = 1 THEN exp(-{clip_sql(f'e{h}', 0, 50)}) ELSE 1 END AS btyd_p_zero_{h}d" for h in (7, 14, 30))}
- FROM r JOIN sc ON r.x = sc.x AND r.t = sc.t AND r.life = sc.life""")(lambda t: B.bgnbd_predict(B.rfm_full(t.log, t.last), MODEL))
+ FROM r JOIN sc ON r.x = sc.x AND r.t = sc.t AND r.life = sc.life""")(lambda t: B.bgnbd_predict(B.rfm_full(t.log, t.quarters), MODEL))
 MONEY_SQL = """fit AS (SELECT CASE WHEN n < 50 THEN 1.5 ELSE 2 END AS p, 3 AS q, CASE WHEN n < 50 THEN 1500 ELSE m END AS v FROM
  (SELECT count(*) AS n, avg(btyd_monetary_avg) AS m FROM rw WHERE btyd_frequency > 0 AND btyd_monetary_avg > 0))"""
-query("gamma_gamma", sql=ctes(LOG, LAST_CTE, HIST, RFM_WINDOW_SQL, MONEY_SQL) + """SELECT rw.*, CASE WHEN btyd_frequency > 0
+query("gamma_gamma", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_WINDOW_SQL, MONEY_SQL) + """SELECT rw.*, CASE WHEN btyd_frequency > 0
  THEN p * btyd_frequency / (p * btyd_frequency + q - 1) * btyd_monetary_avg + (1 - p * btyd_frequency / (p * btyd_frequency + q - 1)) * (v * p / (q - 1))
- ELSE v * p / (q - 1) END AS btyd_expected_monetary_value FROM rw, fit""")(lambda t: B.gamma_gamma(B.rfm_window(t.log, t.last)))
-query("money_with_fallback", sql=ctes(LOG, LAST_CTE, HIST, RFM_FULL_SQL) + """, f AS (SELECT coalesce(avg(btyd_monetary_value) FILTER (WHERE btyd_frequency > 0), 50) AS fb FROM rf)
+ ELSE v * p / (q - 1) END AS btyd_expected_monetary_value FROM rw, fit""")(lambda t: B.gamma_gamma(B.rfm_window(t.log, t.quarters)))
+query("money_with_fallback", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_FULL_SQL) + """, f AS (SELECT coalesce(avg(btyd_monetary_value) FILTER (WHERE btyd_frequency > 0), 50) AS fb FROM rf)
  SELECT rf.*, CASE WHEN btyd_frequency > 0 THEN 1 ELSE 0 END AS gamma_gamma_available, CASE WHEN btyd_frequency > 0
  THEN 1.5 * btyd_frequency / (1.5 * btyd_frequency + 2) * btyd_monetary_value + (1 - 1.5 * btyd_frequency / (1.5 * btyd_frequency + 2)) * 1125
- WHEN btyd_available = 1 THEN btyd_monetary_value ELSE fb END AS btyd_expected_monetary_value FROM rf, f""")(lambda t: B.money_with_fallback(B.rfm_full(t.log, t.last)))
+ WHEN btyd_available = 1 THEN btyd_monetary_value ELSE fb END AS btyd_expected_monetary_value FROM rf, f""")(lambda t: B.money_with_fallback(B.rfm_full(t.log, t.quarters)))
 BTYD_SQL = f"""r AS (SELECT *, CAST(btyd_frequency AS DOUBLE) AS x, CAST(btyd_recency_days AS DOUBLE) AS t, CAST(btyd_T_days AS DOUBLE) AS life FROM rw), {PREDICT_SQL},
  bt AS (SELECT anchor_date, user_id, btyd_frequency, btyd_recency_days, btyd_T_days, btyd_monetary_avg, p AS btyd_p_alive,
  ln({clip_sql('p', 1e-7, '1 - 1e-7')} / (1 - {clip_sql('p', 1e-7, '1 - 1e-7')})) AS btyd_logit_p_alive, e30 AS btyd_expected_purchases_30d,
@@ -283,10 +283,10 @@ BTYD_SQL = f"""r AS (SELECT *, CAST(btyd_frequency AS DOUBLE) AS x, CAST(btyd_re
  e30 * worth AS btyd_expected_gmv_30d, ln(1 + e30 * worth) AS btyd_log_expected_gmv_30d FROM
  (SELECT r.*, p, e30, CASE WHEN r.x > 0 THEN 1.5 * r.x / (1.5 * r.x + 2) * btyd_monetary_avg + (1 - 1.5 * r.x / (1.5 * r.x + 2)) * 1125 ELSE 1125 END AS worth
   FROM r JOIN sc ON r.x = sc.x AND r.t = sc.t AND r.life = sc.life))"""
-query("btyd_features", sql=ctes(LOG, LAST_CTE, HIST, RFM_WINDOW_SQL, BTYD_SQL) + "SELECT * FROM bt")(lambda t: B.btyd_features(t.log, t.last, MODEL, B.GammaGamma()))
-query("btyd_classifier_features", sql=ctes(LOG, LAST_CTE, HIST, RFM_WINDOW_SQL, BTYD_SQL) +
+query("btyd_features", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_WINDOW_SQL, BTYD_SQL) + "SELECT * FROM bt")(lambda t: B.btyd_features(t.log, t.quarters, MODEL, B.GammaGamma()))
+query("btyd_classifier_features", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_WINDOW_SQL, BTYD_SQL) +
       "SELECT anchor_date, user_id, btyd_p_at_least_one_purchase_30d AS btyd_p_buy_30d, btyd_expected_purchases_30d, btyd_p_alive FROM bt")(
-    lambda t: B.btyd_features(t.log, t.last, MODEL, B.GammaGamma(), classifier_only=True))
+    lambda t: B.btyd_features(t.log, t.quarters, MODEL, B.GammaGamma(), classifier_only=True))
 
 
 @query("fit_bgnbd", ("parameter",))
@@ -367,16 +367,23 @@ query("event_sequence_delta", sql=ctes(CLICKS, EVENT_CTE, HIST, events_sql(128))
  sin(2 * pi() * ({DOY} - {MID}) / 365.25) AS target_phase_sin, cos(2 * pi() * ({DOY} - {MID}) / 365.25) AS target_phase_cos, {flag_sql('rank = 1')} AS is_first_event FROM ev""")(
     lambda t: Q.sequence_rows(Q.event_sequence_delta(t.clicks, t.event_anchors)))
 # users of fewer than four events have the first and the last slots of the padded sequence as views
-query("split_views", ("anchor_date", "user_id", "view_name"), ctes(CLICKS, EVENT_CTE, HIST, events_sql(180)) + """, v AS (SELECT *, CASE WHEN rank <= kept // 2 THEN 'early' ELSE 'late' END AS view_name,
+VIEWS_SQL = """, v AS (SELECT *, CASE WHEN rank <= kept // 2 THEN 'early' ELSE 'late' END AS view_name,
  CASE WHEN rank <= kept // 2 THEN kept // 2 ELSE kept - kept // 2 END AS size, CASE WHEN rank <= kept // 2 THEN rank ELSE rank - kept // 2 END AS r FROM ev WHERE kept >= 4),
  few AS (SELECT anchor_date, user_id, count(rank) AS k FROM (SELECT DISTINCT anchor_date, user_id FROM h) LEFT JOIN ev USING (anchor_date, user_id) GROUP BY 1, 2 HAVING count(rank) < 4),
  slots AS (SELECT anchor_date, user_id, view_name, slot, CASE WHEN view_name = 'late' THEN slot - 31 + k END AS rank FROM few, (VALUES ('early'), ('late')) AS w(view_name), range(32) AS t(slot))
  SELECT anchor_date, user_id, view_name, r - 1 - greatest(size - 32, 0) AS slot, ln(1 + gmv) AS c_gmv FROM v WHERE r > size - 32
- UNION ALL SELECT s.anchor_date, s.user_id, view_name, slot, ln(1 + coalesce(gmv, 0)) FROM slots s LEFT JOIN ev ON ev.anchor_date = s.anchor_date AND ev.user_id = s.user_id AND ev.rank = s.rank""")(
-    lambda t: (lambda v: v.select("anchor_date", "user_id", F.lit("early").alias("view_name"), F.posexplode("view_early").alias("slot", "e")).unionByName(
-        v.select("anchor_date", "user_id", F.lit("late").alias("view_name"), F.posexplode("view_late").alias("slot", "e"))).where(
-        F.col("e").isNotNull()).select("anchor_date", "user_id", "view_name", "slot", F.col("e.c_gmv").alias("c_gmv")))(
-        Q.split_views(Q.event_sequence(t.clicks, t.event_anchors))))
+ UNION ALL SELECT s.anchor_date, s.user_id, view_name, slot, ln(1 + coalesce(gmv, 0)) FROM slots s LEFT JOIN ev ON ev.anchor_date = s.anchor_date AND ev.user_id = s.user_id AND ev.rank = s.rank"""
+
+
+def view_rows(sequences):
+    views = Q.split_views(sequences)
+    side = lambda name: views.select("anchor_date", "user_id", F.lit(name).alias("view_name"), F.posexplode(f"view_{name}").alias("slot", "e"))
+    return side("early").unionByName(side("late")).where(F.col("e").isNotNull()).select("anchor_date", "user_id", "view_name", "slot", F.col("e.c_gmv").alias("c_gmv"))
+
+
+VIEW_KEYS = ("anchor_date", "user_id", "view_name")
+query("split_views", VIEW_KEYS, ctes(LOG, CV, HIST, events_sql(180)) + VIEWS_SQL)(lambda t: view_rows(Q.event_sequence(t.log, t.cv)))
+query("split_views_events", VIEW_KEYS, ctes(CLICKS, EVENT_CTE, HIST, events_sql(180)) + VIEWS_SQL)(lambda t: view_rows(Q.event_sequence(t.clicks, t.event_anchors)))
 LENGTHS_SQL = """len AS (SELECT anchor_date, user_id, count(age) AS n_events_raw, least(count(age), 128) AS n_events_retained, CASE WHEN count(age) > 128 THEN 1 ELSE 0 END AS was_truncated,
  coalesce(list_sort(list(age) FILTER (WHERE age IS NOT NULL))[least(count(age), 128)], 0) AS retained_history_span_days
  FROM (SELECT anchor_date, user_id, CASE WHEN age BETWEEN 0 AND 364 THEN age END AS age FROM h) GROUP BY 1, 2)"""

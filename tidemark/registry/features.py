@@ -268,9 +268,9 @@ query("technical_columns", ("anchor_date", "history_start", "history_end", "targ
 
 query("anchor_user_index", sql=ctes(LOG, CV) + "SELECT anchor_date, user_id FROM a, (SELECT DISTINCT user_id FROM log)")(
     lambda t: I.anchor_user_index(t.cv, t.users))
-query("align_to_index", sql=ctes(LOG, LAST_CTE, HIST) + f"SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS gmv_sum, {since('true', 29, '999')} AS days_since_last_activity {PER_USER}")(
-    lambda t: I.align_to_index(I.anchor_user_index(t.last, t.users), t.log.join(
-        F.broadcast(t.last), F.date_diff("anchor_date", "event_date").between(0, 29)).groupBy("anchor_date", "user_id").agg(
+query("align_to_index", sql=ctes(LOG, QUARTER_CTE, HIST) + f"SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS gmv_sum, {since('true', 29, '999')} AS days_since_last_activity {PER_USER}")(
+    lambda t: I.align_to_index(I.anchor_user_index(t.quarters, t.users), t.log.join(
+        F.broadcast(t.quarters), F.date_diff("anchor_date", "event_date").between(0, 29)).groupBy("anchor_date", "user_id").agg(
         F.sum("gmv").alias("gmv_sum"), F.min(F.date_diff("anchor_date", "event_date")).alias("days_since_last_activity"))))
 query("filter_users", DAY, ctes(LOG) + "SELECT user_id, event_date, gmv FROM log WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")(
     lambda t: I.filter_users(t.log, t.read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))).select(
@@ -335,10 +335,10 @@ def _(t):
 
 query("join_template_ordered", USER, ctes(LOG) + "SELECT user_id, row_number() OVER (ORDER BY user_id) AS position, sum(gmv) AS predict FROM log GROUP BY user_id")(
     lambda t: I.join_template_ordered(template(t), t.log.groupBy("user_id").agg(F.sum("gmv").alias("predict")), "predict"))
-query("append_channel", sql=ctes(LOG, LAST_CTE, HIST) + f"SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS base_z, {s('gmv', 0, 89)} AS new_a, {s('to_ord', 0, 89)} AS new_b {PER_USER}")(
+query("append_channel", sql=ctes(LOG, QUARTER_CTE, HIST) + f"SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS base_z, {s('gmv', 0, 89)} AS new_a, {s('to_ord', 0, 89)} AS new_b {PER_USER}")(
     lambda t: I.append_channel(
-        W.window_aggs(t.log, t.last).select("anchor_date", "user_id", F.col("gmv_sum_30d").alias("base_z"), F.lit(0.0).alias("new_a"), F.lit(0.0).alias("new_b")),
-        W.window_aggs(t.log, t.last).select("anchor_date", "user_id", F.col("gmv_sum_90d").alias("new_a"), F.col("to_ord_sum_90d").alias("new_b")),
+        W.window_aggs(t.log, t.quarters).select("anchor_date", "user_id", F.col("gmv_sum_30d").alias("base_z"), F.lit(0.0).alias("new_a"), F.lit(0.0).alias("new_b")),
+        W.window_aggs(t.log, t.quarters).select("anchor_date", "user_id", F.col("gmv_sum_90d").alias("new_a"), F.col("to_ord_sum_90d").alias("new_b")),
         ["new_a", "new_b"]))
 query("union_panel", ("source", "user_id"), ctes(LOG) + "SELECT 'amount' AS source, user_id, sum(gmv) AS gmv, NULL AS orders FROM log GROUP BY user_id "
       "UNION ALL SELECT 'count', user_id, NULL, sum(to_ord) FROM log GROUP BY user_id")(
@@ -414,14 +414,14 @@ query("window_activity_events", sql=ctes(CLICKS, EVENT_CTE, HIST) + f"SELECT anc
 SPARSE_SQL = ", ".join(
     ", ".join([f"{n(0, d - 1, c)} AS {k}_days_{d}d" for k, c in {"active": ACT_CAT, "order": BUY, "cart": "to_cart > 0", "cat": "cat > 0"}.items()]
               + [f"{s(m, 0, d - 1)} AS {name}_sum_{d}d" for m, name in W.SPARSE_METRICS.items()]) for d in W.SPARSE_DAYS)
-query("sparse_window_sums", sql=ctes(LOG, LAST_CTE, HIST) + f"SELECT anchor_date, user_id, {SPARSE_SQL} {PER_USER}")(lambda t: W.sparse_window_sums(t.log, t.last))
+query("sparse_window_sums", sql=ctes(LOG, QUARTER_CTE, HIST) + f"SELECT anchor_date, user_id, {SPARSE_SQL} {PER_USER}")(lambda t: W.sparse_window_sums(t.log, t.quarters))
 DIRECT_SQL = ", ".join(
     ", ".join([f"{s(m, 0, d - 1)} AS direct_{m}_sum_{d}d" for m in W.DIRECT_METRICS]
               + [f"{n(0, d - 1, c)} AS direct_{k}_days_{d}d" for k, c in {"active": ACT, "order": "to_ord > 0", "cart": "to_cart > 0", "search": "searches > 0"}.items()])
     for d in W.SPARSE_DAYS) + f""", coalesce(max(age) FILTER (WHERE {span(0, 364)}), 366) AS direct_history_age_days, {n(0, 364, ACT)} AS direct_lifetime_active_days,
  {since('true', 364, '366')} AS direct_days_since_activity, {since('to_ord > 0', 364, '366')} AS direct_days_since_order,
  {since('gmv > 0', 364, '366')} AS direct_days_since_positive_gmv"""
-query("direct_window_sums", sql=ctes(LOG, LAST_CTE, HIST) + f"SELECT anchor_date, user_id, {DIRECT_SQL} {PER_USER}")(lambda t: W.direct_window_sums(t.log, t.last))
+query("direct_window_sums", sql=ctes(LOG, QUARTER_CTE, HIST) + f"SELECT anchor_date, user_id, {DIRECT_SQL} {PER_USER}")(lambda t: W.direct_window_sums(t.log, t.quarters))
 
 
 def recency_sql(hi: int, other: str = "999") -> str:
