@@ -7,6 +7,7 @@ from tests.conftest import days_before
 from tidemark.operators import anchors as A
 from tidemark.operators import cadence as C
 from tidemark.operators import labels as L
+from tidemark.operators import sequences as Q
 from tidemark.operators import snapshot as S
 from tidemark.operators import windows as W
 
@@ -153,3 +154,20 @@ def test_anchor_grids(make_log, spark):
     pairs = A.purged_train_anchors(A.panel_anchors(log))
     assert A.check_fold_safety(pairs).count() == 0
     assert A.purged_train_anchors(A.panel_anchors(log), newest=3).groupBy("valid_anchor").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_sequences_are_cut_to_the_newest_events(personas, anchor):
+    kept = by_user(Q.event_sequence(personas, anchor, max_events=2))
+    assert [e["position"] for e in kept[1]["events"]] == [0, 1] and kept[1]["n_events_raw"] == 3
+    assert [round(e["t_norm"] * 365) for e in kept[1]["events"]] == [56, 42]
+    lengths = by_user(Q.sequence_lengths(personas, anchor, max_events=2))
+    assert (lengths[1]["n_events_retained"], lengths[1]["was_truncated"], lengths[1]["retained_history_span_days"]) == (2, 1, 56)
+    assert (lengths[7]["n_events_raw"], lengths[7]["was_truncated"]) == (0, 0)
+
+
+def test_split_views_cut_and_pad(make_log, anchor):
+    log = make_log([buy(1, ago, float(ago)) for ago in range(1, 8)] + [buy(2, 4, 4.0)])
+    views = by_user(Q.split_views(Q.event_sequence(log, anchor, max_events=8), 3))
+    ages = lambda view: [e and round(e["t_norm"] * 365) for e in view]
+    assert ages(views[1]["view_early"]) == [7, 6, 5] and ages(views[1]["view_late"]) == [3, 2, 1]
+    assert [e["is_pad"] for e in views[2]["view_early"]] == [True] * 3 and [e["is_pad"] for e in views[2]["view_late"]] == [True, True, False]
