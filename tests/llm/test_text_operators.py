@@ -1,6 +1,7 @@
 """Line dedup, decontamination, toxicity, quality, secrets: brute force, held-out accuracy, awkward input."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -10,7 +11,7 @@ from tests.llm.conftest import awkward, noisy_copies
 from tidemark.llm.co_training import quality
 from tidemark.llm.decontamination import contaminated, subsequence
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.secrets import secrets
+from tidemark.llm.secrets import CANDIDATE, secrets
 from tidemark.llm.toxicity import toxicity
 
 FOLDER = "/root/testdata/sf0.01"
@@ -143,6 +144,15 @@ def test_secrets_on_texts_of_known_kind(make_docs):
     assert secrets(make_docs([])).collect() == []
 
 
+def test_secrets_at_every_place(make_docs):
+    """Repeats of a string, also inside a longer run before it, against the matches of Python's ``re``."""
+    key = "0a1b2c3d4e5f6a7b"
+    rows = [(1, f'token = "{key}" and token = "{key}" again'), (2, f"é🦄 https://x.org/{key}/page 日本 {key} {key}"), (3, f"{key}{key} {key}"), (4, key), (5, "none"), (6, "")]
+    got = sorted((x.doc_id, x.place, x.length) for x in secrets(make_docs(rows)).collect())
+    assert got == sorted((i, m.start(), len(m[0])) for i, text in rows for m in re.finditer(CANDIDATE, text))
+    assert sum(i == 1 for i, _, _ in got) == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

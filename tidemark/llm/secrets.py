@@ -31,13 +31,21 @@ def share(text: str, chars: str) -> Column:
     return 1 - F.length(F.regexp_replace(text, f"[{chars}]", "")) / F.length(text)
 
 
+def places(matches: str, parts: str) -> Column:
+    """Where each of ``matches`` starts (code points from 0); ``parts`` are what stands between the matches, in order."""
+    steps = F.zip_with(F.slice(F.col(parts), F.lit(1), F.size(matches)), F.col(matches), lambda part, match: F.struct(F.length(part).alias("gap"), F.length(match).alias("own")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(steps, start, lambda so_far, x: F.struct((so_far["end"] + x["gap"] + x["own"]).alias("end"), F.concat(so_far["starts"], F.array(so_far["end"] + x["gap"])).alias("starts")), lambda x: x["starts"])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, place (code points from 0), candidate and its features; a candidate string once per text, at its first place."""
+    """doc_id, place (code points from 0), candidate and its features; a row for every match of every text."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    found = text.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
-    at = F.instr("text", F.col("candidate"))
+    found = text.withColumn("matches", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("matches") > 0)
+    found = found.withColumn("parts", F.split("text", CANDIDATE, -1)).withColumn("starts", places("matches", "parts"))
+    found = found.select("doc_id", "text", F.inline(F.arrays_zip(F.col("starts").alias("place"), F.col("matches").alias("candidate"))))
     before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("place") + 1 - BESIDE), F.least(F.lit(BESIDE), F.col("place")))
-    found = found.withColumn("place", at - 1).withColumn("before", before).withColumn("after", F.substring(F.col("text"), F.col("place") + F.length("candidate") + 1, F.lit(BESIDE)))
+    found = found.withColumn("before", before).withColumn("after", F.substring(F.col("text"), F.col("place") + F.length("candidate") + 1, F.lit(BESIDE)))
     # kinds of characters as letters a, A, 0, -; runs of a kind shrink to one, so their number is that of changes
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^aA0]+", "-")
     letters = F.split(F.col("candidate"), "")
