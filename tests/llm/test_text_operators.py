@@ -63,6 +63,17 @@ def test_decontamination_recall_and_clean_documents(spark, make_docs):
     assert all(not got[d][1] for d, w in want.items() if not w)
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_decontamination_of_a_passage_in_many_documents(make_docs, every):
+    """A passage that stands in a third of the documents, and in all of them, beside one that stands in one document."""
+    r = random.Random(5)
+    lexicon = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+    items = [(i, " ".join(r.choices(lexicon, k=40))) for i in range(20)]
+    rows = [(i, " ".join([*r.choices(lexicon, k=100), *([items[7][1]] if i % every == 0 else []), *([items[3][1]] if i == 50 else []), *r.choices(lexicon, k=100)])) for i in range(150)]
+    got = {x.doc_id: x["items"] for x in contaminated(make_docs(rows), make_docs(items, "item_id long, text string")).collect()}
+    assert got == {i: [3] * (i == 50) + [7] * (i % every == 0) for i, _ in rows}
+
+
 def test_decontamination_awkward(make_docs):
     rows, items = awkward(), [(1, None), (None, "x y z"), (2, ""), (3, "the only words of this item stand in no text at all"), (3, "a second passage")]
     got = contaminated(make_docs(rows), make_docs(items, "item_id long, text string")).collect()

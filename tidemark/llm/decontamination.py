@@ -1,7 +1,7 @@
 """Finds benchmark passages in documents: latent semantic retrieval, then word-level checks.
 
-1. Document frequencies of hashed terms over all documents give idf weights; terms in more than a
-   fifth of the documents carry none.
+1. Document frequencies of hashed terms over all documents give idf weights; they are smoothed, so that
+   a term of all documents still has weight 1 and a passage that leaked everywhere is searched.
 2. Benchmark texts are cut into passages; a distributed randomised SVD (subspace iteration on a Gaussian
    sketch, the sums over passages made in the tasks) of their TF-IDF rows gives a latent vector
    for each term.
@@ -31,7 +31,6 @@ BLOCK = 8  # windows start at multiples of so many words
 COSINE = 0.45
 PROJECTION = 0.35  # of a passage's own length
 WHOLE, HALF, ANSWER = 0.75, 0.5, 0.75  # shares in order: of the passage alone; of the passage and of its answer
-COMMON = 0.2
 GROUP = 4096  # passages compared with a slice of text at once
 
 
@@ -53,12 +52,12 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def idf_of(docs: DataFrame) -> np.ndarray:
-    """idf by bucket; its size is fixed, whatever the corpus."""
+    """Smoothed idf by bucket, 1 at least; its size is fixed, whatever the corpus."""
     rows = docs.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(BUCKETS), int(rows.loc[rows["bucket"] < 0, "n"].sum())
     own = rows[rows["bucket"] >= 0]
     df[own["bucket"]] = own["n"]
-    return np.where(df > max(3, COMMON * total), 0, np.log((total + 2) / (df + 1))).clip(0)
+    return 1 + np.log((total + 1) / (df + 1))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +75,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rows_of(batch: pa.RecordBatch, place: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse TF-IDF rows of length 1: (columns, values); passages without weighted words are skipped."""
+    """Sparse TF-IDF rows of length 1: (columns, values); passages without words are skipped."""
     out = []
     for coded in batch.column(1).to_pylist():
         column = place[(np.frombuffer(coded, np.uint64) >> np.uint64(48)).astype(np.int64)]
@@ -213,12 +212,9 @@ def with_items(docs: DataFrame, benchmark: DataFrame, kept: list[str]) -> DataFr
         return out.withColumn("_items", F.array().cast("array<long>"))
     idf = idf_of(docs)
     bucket = np.unique(np.concatenate([np.frombuffer(w, np.uint64) >> np.uint64(48) for w in held["words"]]).astype(np.int64))
-    used = bucket[idf[bucket] > 0]  # weighted terms of the benchmark
-    if not len(used):
-        return out.withColumn("_items", F.array().cast("array<long>"))
     place = np.full(BUCKETS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    weighted = latent_terms(passages, place, idf[used].astype(np.float32)) * idf[used][:, None].astype(np.float32)
+    place[bucket] = np.arange(len(bucket))
+    weighted = latent_terms(passages, place, idf[bucket].astype(np.float32)) * idf[bucket][:, None].astype(np.float32)
     term = place + 1
     vectors = np.concatenate([np.zeros((1, weighted.shape[1]), np.float32), weighted])
     shared = docs.sparkSession.sparkContext.broadcast((term, vectors, held["item_id"].tolist(), held["words"].tolist()))
@@ -231,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``items`` lists the item_ids of which a passage is in the text, ascending; ``leaked`` says there are some. Words are
     runs of letters, digits and non-ASCII signs, A-Z lower-cased. Null and empty texts hold nothing; benchmark texts without
-    words, or made of words only that a fifth of the documents have, are not searched. Benchmark rows with equal item_id are passages of one
+    words are not searched. Benchmark rows with equal item_id are passages of one
     item. Other columns are ignored. No documents give no rows, no benchmark rows give empty lists. The
     benchmark's passages (at most ``PASSAGE`` words each) are held in the tasks and on the driver, and
     compared ``GROUP`` at a time; the documents are read twice.
