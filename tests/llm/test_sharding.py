@@ -34,6 +34,14 @@ def test_group_larger_than_a_shard(make_docs):
     assert sum(n == 100 for n in Counter(r.shard for r in got if r.doc_id < 300).values()) >= 2  # two or three full shards
 
 
+def test_group_of_a_third_of_all_rows_fills_as_few_shards_as_it_needs(make_docs):
+    rows = [(i, "the same") for i in range(4000)] + [(10_000 + i, f"own {i}") for i in range(8000)]
+    got = balanced_shards(make_docs(rows), 40).collect()
+    check(rows, got, 40)
+    own = sorted(Counter(r.shard for r in got if r.doc_id < 10_000).values(), reverse=True)
+    assert sum(own[:14]) >= 0.97 * 4000 and sum(n == 300 for n in own) >= 12  # 4000 rows are 13.3 shards of 300
+
+
 def test_awkward_and_few_rows(make_docs):
     rows = awkward()
     check(rows, balanced_shards(make_docs(rows), 4).collect(), 4)

@@ -10,6 +10,7 @@ quota hand surplus rows to those below, so that row counts differ by one at most
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import saved
 
 SHARDS = 40
-ROUNDS = 8
+ROUNDS = 200  # a bound that is reported when it is hit; rounds end when they have settled
 SETTLED = 0.001  # a round that moves a smaller share of the linked rows is the last
 CHUNK = 20_000  # rows ranked in one sort, about
 
@@ -28,7 +29,7 @@ def kept_share(choice: str, taken: list[float], shards: int) -> Column:
 
 
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """Move rows (hub, linked, unit, shard) between shards; ``unit`` is a hash in [0, 1) of the row."""
+    """Move rows (hub, linked, key, shard) between shards until a round has next to nothing to move; ``key`` is a hash of the row."""
     quota = None
     for turn in range(rounds):
         linked = rows.filter("linked")
@@ -52,9 +53,12 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
         taken = [min(1.0, free[j] / asked[j]) if asked.get(j) else 0.0 for j in range(shards)]
         moves = plan.select("hub", "shard", "best")
         moved = linked.join(moves, ["hub", "shard"], "left")
-        go = F.col("best").isNotNull() & (F.pmod(F.col("unit") * 997 + turn * 0.618, F.lit(1.0)) < kept_share("best", taken, shards))
+        draw = F.shiftrightunsigned(F.xxhash64("key", F.lit(turn)), 11) / float(1 << 53)  # anew each round, also of those that stayed
+        go = F.col("best").isNotNull() & (draw < kept_share("best", taken, shards))
         moved = moved.withColumn("shard", F.when(go, F.col("best")).otherwise(F.col("shard"))).select(*rows.columns)
         rows = saved(moved.unionByName(rows.filter("not linked")))
+    else:
+        warnings.warn(f"shards have not settled after {rounds} rounds", stacklevel=2)
     return rows
 
 
