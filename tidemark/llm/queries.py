@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode
+from tidemark.llm.clustering import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, clusters
 from tidemark.llm.co_training import quality
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.filter_audit import filter_interactions
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.secrets import secrets
@@ -78,11 +81,43 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(table(spark, folder, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_benchmark_decontamination, op5_document_fingerprints, op6_url_filters, op7_bpe, op8_quality_classifier, op9_secret_scans,
-                              op10_sharding)
+                              op10_sharding, op11_filter_interactions, op12_centroid_clustering, op13_exact_dedup)
 }
 
+def clustering_sql() -> str:
+    """The rounds one after the other as tables of (centroid, dimension, value)."""
+    floored = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    near = lambda i: f"""a{i} AS MATERIALIZED (SELECT r, arg_min(c, d::HUGEINT * {CLUSTERS} + c) AS c, min(d) AS distance FROM
+  (SELECT x.r, k.c, sum((x.v - k.v) * (x.v - k.v))::BIGINT AS d FROM x JOIN c{i} k ON k.i = x.i GROUP BY ALL) AS t(r, c, d) GROUP BY r)"""
+    means = lambda i: f"""m{i} AS (SELECT a.c, x.i, sum(x.v) AS s, count(*) AS n FROM x JOIN a{i} a ON a.r = x.r GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT k.c, k.i, CASE WHEN n IS NULL THEN k.v ELSE {floored} END AS v FROM c{i} k LEFT JOIN m{i} m ON m.c = k.c AND m.i = k.i)"""
+    parts = [f"""e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor({SCALE} * y::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {DIMENSIONS})""",
+             "x AS MATERIALIZED (SELECT r, unnest(range(len(v))) AS i, unnest(v) AS v FROM e)",
+             f"s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) - 1 AS c FROM e ORDER BY c LIMIT {CLUSTERS})",
+             "c0 AS MATERIALIZED (SELECT s.c, x.i, x.v FROM s JOIN x ON x.r = s.r)"]
+    for i in range(ROUNDS):
+        parts += [near(i), means(i)]
+    parts += [near(ROUNDS), f"h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS h FROM c{ROUNDS} GROUP BY c)"]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT e.vec_id, a.c::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia, h.h AS centroid_sha256
+FROM a{ROUNDS} a JOIN e ON e.r = a.r JOIN h ON h.c = a.c"""
+
+
 RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 SQL: dict[str, str] = {
@@ -104,4 +139,21 @@ hits AS (SELECT k.host, k.path, arg_max(r.host || r.path, length(r.host || r.pat
   FROM keys k JOIN r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path) GROUP BY ALL)
 SELECT u.page_id, u.host, u.path, hits.rule, coalesce(hits.verdict, 'allow') AS verdict
 FROM u LEFT JOIN hits ON hits.host = u.host AND hits.path = u.path""",
+    "op11_filter_interactions": r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+f AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS C,
+  regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+r AS (SELECT f.part, (CASE WHEN A THEN 'A' ELSE '' END) || (CASE WHEN B THEN 'B' ELSE '' END) || (CASE WHEN C THEN 'C' ELSE '' END) || (CASE WHEN D THEN 'D' ELSE '' END) || (CASE WHEN E THEN 'E' ELSE '' END) AS fails,
+  coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+k(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+p AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, filter_order, step, x, CASE WHEN before = '' THEN true ELSE translate(fails, before, '') = fails END AS here, contains(fails, x) AS bad, fails = x AS alone, good, toxic FROM r, p),
+q AS (SELECT part, filter_order, step, any_value(x) AS x, count(*) FILTER (WHERE here AND NOT bad) AS kept, count(*) FILTER (WHERE here AND bad) AS removed, count(*) FILTER (WHERE bad AND NOT here) AS redundant,
+  count(*) FILTER (WHERE alone) AS unique_fails, count(*) FILTER (WHERE here AND bad AND good) AS good_lost, count(*) FILTER (WHERE here AND bad AND toxic) AS toxic_lost FROM g GROUP BY 1, 2, 3)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM q""",
+    "op12_centroid_clustering": clustering_sql(),
+    "op13_exact_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM t""",
 }

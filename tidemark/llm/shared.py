@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from tidemark.functions.lineage import checkpoint_folder
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back.
+def saved(df: DataFrame, *folders: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back; the values of ``folders`` get a folder each.
 
     Cuts the lineage: a lost executor costs a read of the table. The folder is the
     checkpoint folder of the session, so all executors see it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their class; ``classes`` is a written table with one row per ``key`` and its number of rows, ``size``.
+
+    Classes with more than a ``share``-th of all rows are fewer than ``share``, so these are
+    broadcast; the others meet their rows by a shuffle in which no key has more rows than that.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    large = F.broadcast(classes.filter(F.col(size) * share > total))
+    small = classes.filter(F.col(size) * share <= total)
+    rest = rows.join(large.select(key), key, "left_anti")
+    return rows.join(large, key).unionByName(rest.join(small, key))
+
+
 def state_of(edges: DataFrame) -> Row:
     return edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"),
                      F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
