@@ -1,21 +1,23 @@
 """Buy-till-you-die features: RFM, BG/NBD and gamma-gamma as Spark expressions.
 
 Published model forms. The purchase count ``x`` is a whole number, so ratios of
-gamma functions are finite products, and the hypergeometric function is a series
-whose length follows its argument.
+gamma functions are finite products, and the hypergeometric function is a series of
+a bounded number of terms.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import clip, count_where, flag, ln_rising, log_amount, logit, sum_where
+from tidemark.functions.exprs import clip, count_where, flag, ln_rising, log_amount, logit, sum_where, total
 from tidemark.functions.lineage import cut_lineage
 from tidemark.operators.history import KEYS, aggregate, history, past
 from tidemark.operators.windows import positive
@@ -92,73 +94,123 @@ def log_likelihood(x: Column, t: Column, T: Column, r, alpha, a, b) -> Column:
     )
 
 
+#: first and second derivatives that a pass sums, as index pairs of (r, alpha, a, b)
+PAIRS = list(itertools.combinations_with_replacement(range(4), 2))
+
+
+def _curvature(parameters: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over counted users (x, t, life, n): users, log likelihood, its 4 first and 10 second derivatives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, alpha, a, b = parameters
+        for batch in batches:
+            x, t, life, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "t", "life", "n"))
+            if not len(x):
+                continue
+            k = np.arange(int(x.max()))
+            # sums over k < x of log(c + k) and of its first two derivatives, looked up by x
+            rising = lambda c: [np.append(0.0, np.cumsum(v))[x.astype(int)] for v in (np.log(c + k), 1 / (c + k), -1 / (c + k) ** 2)]
+            (r0, r1, r2), (b0, b1, b2), (s0, s1, s2) = rising(r), rising(b), rising(a + b)
+            whole, seen = alpha + life, alpha + t
+            ll = r0 + r * np.log(alpha) + b0 - s0 - (r + x) * np.log(whole)
+            first = [r1 + np.log(alpha / whole), r / alpha - (r + x) / whole, -s1, b1 - s1]
+            second = dict.fromkeys(PAIRS, 0.0) | {(0, 0): r2, (0, 1): 1 / alpha - 1 / whole, (1, 1): -r / alpha ** 2 + (r + x) / whole ** 2, (2, 2): -s2, (2, 3): -s2, (3, 3): b2 - s2}
+            # repeat buyers: log(1 + odds), odds = exp(q)
+            again, last = x > 0, b + np.maximum(x - 1, 0)
+            q = np.log(a / last) + (r + x) * np.log(whole / seen)
+            share = np.where(again, 1 / (1 + np.exp(-q)), 0.0)
+            ll = ll + np.where(again, np.logaddexp(0, q), 0.0)
+            dq = [np.log(whole / seen), (r + x) * (1 / whole - 1 / seen), 1 / a, -1 / last]
+            d2q = {(0, 1): 1 / whole - 1 / seen, (1, 1): (r + x) * (1 / seen ** 2 - 1 / whole ** 2), (2, 2): -1 / a ** 2, (3, 3): 1 / last ** 2}
+            values = [np.ones(len(x)), ll, *[f + share * d for f, d in zip(first, dq)],
+                      *[second[i, j] + share * (1 - share) * dq[i] * dq[j] + share * d2q.get((i, j), 0.0) for i, j in PAIRS]]
+            yield pa.RecordBatch.from_pydict({f"s{i}": [float(np.dot(np.broadcast_to(v, len(x)), n))] for i, v in enumerate(values)})
+    return run
+
+
+@dataclass(frozen=True)
+class BgNbdFit:
+    model: BgNbd
+    cost: float  # penalty less mean log likelihood
+    slope: float  # largest derivative of the cost by the logs of the parameters
+    users: int
+    passes: int
+
+
 def fit_bgnbd(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str = "btyd_recency_days", age: str = "btyd_T_days",
-              penalty: float = 0.0, tolerance: float = 1e-4, start: BgNbd | None = None, most: int = 400) -> BgNbd:
-    """Maximum likelihood over all users.
-
-    Users are reduced to counts of equal (x, t, T). Each round scores a grid of
-    81 parameter sets around the best one, on the logs of the parameters, in a single
-    aggregate; only the scores come to the driver. The best set moves there, or to the
-    vertex of the quadratic through the grid, or the grid shrinks. The fit ends when no
-    neighbour at ``tolerance`` is better by 1e-12. Where all customers drop out at the same
-    rate, ``a`` and ``b`` grow at a fixed ratio until that holds. It fails when the optimum runs out of
-    ``exp(-40) ... exp(40)`` (the data has none: set ``penalty``) or after ``most`` rounds.
+              penalty: float = 0.0, tolerance: float = 1e-8, start: BgNbd | None = None, most: int = 200) -> BgNbd:
+    """Maximum likelihood over all users, see :func:`fit_bgnbd_report`."""
+    return fit_bgnbd_report(rfm, frequency, recency, age, penalty, tolerance, start, most).model
+
+
+def fit_bgnbd_report(rfm: DataFrame, frequency: str = "btyd_frequency", recency: str = "btyd_recency_days", age: str = "btyd_T_days",
+                     penalty: float = 0.0, tolerance: float = 1e-8, start: BgNbd | None = None, most: int = 200) -> BgNbdFit:
+    """Least cost (``penalty`` times the squared parameters, less the mean log likelihood) over all users.
+
+    Users are reduced to counts of equal (x, t, T). Newton steps on the logs of the parameters: each pass is
+    one aggregate that sums the likelihood with its first and second derivatives, 16 numbers for the driver. Directions
+    of negative curvature are walked downhill, steps are halved until the cost falls. The fit ends when no derivative of the cost is above
+    ``tolerance``. It fails when the optimum runs out of ``exp(-40) ... exp(40)`` (the data has none: set ``penalty``), or after ``most`` passes.
     """
-    spark = rfm.sparkSession
     counts = cut_lineage(
         rfm.where(F.col(frequency).isNotNull() & F.col(recency).isNotNull() & F.col(age).isNotNull())
-        .groupBy(F.col(frequency).alias("x"), F.col(recency).alias("t"), F.col(age).alias("life"))
+        .groupBy(F.col(frequency).cast("double").alias("x"), F.col(recency).cast("double").alias("t"), F.col(age).cast("double").alias("life"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    w = F.col("n")
-    mean_age = counts.agg((F.sum(F.col("life") * w) / F.sum(w)).alias("age")).first()["age"]
-    if mean_age is None:
-        raise ValueError("no users to fit on")
-    ll = log_likelihood(*(F.col(c) for c in ("x", "t", "life", "r", "alpha", "a", "b")))
-
-    def costs(points: list[list[float]]) -> list[float]:
-        table = spark.createDataFrame([(i, *map(math.exp, p)) for i, p in enumerate(points)],
-                                      "candidate int, r double, alpha double, a double, b double")
-        rows = counts.crossJoin(F.broadcast(table)).groupBy("candidate").agg((F.sum(ll * w) / F.sum(w)).alias("ll")).collect()
-        found = {row["candidate"]: row["ll"] for row in rows}
-        known = [found[i] if found[i] is not None and math.isfinite(found[i]) else -math.inf for i in range(len(points))]
-        return [penalty * sum(math.exp(v) ** 2 for v in p) - k for p, k in zip(points, known)]
-
-    moves = list(itertools.product((-1, 0, 1), repeat=4))
-    best = [math.log(v) for v in vars(start).values()] if start else [0.0, math.log(max(mean_age, 1.0)), 0.0, 0.0]
-    step, vertex = 2.0, None
-    for _ in range(most):
-        points = [best, *[[c + step * d for c, d in zip(best, move)] for move in moves], *([vertex] if vertex else [])]
-        cost = costs(points)
-        winner = min(range(len(points)), key=lambda i: (cost[i], i))
-        towards = _vertex(moves, cost[1:1 + len(moves)])
-        vertex = [c + step * d for c, d in zip(best, towards)] if towards else None
-        if cost[winner] < cost[0] - 1e-12:
-            best = points[winner]
-            if max(map(abs, best)) > 40.0:
+    names = [f"s{i}" for i in range(2 + 4 + len(PAIRS))]
+    schema = ", ".join(f"{c} double" for c in names)
+    passes = 0
+
+    def look(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
+        nonlocal passes
+        passes += 1
+        p = np.exp(point)
+        row = counts.mapInArrow(_curvature(tuple(p.tolist())), schema).agg(*[F.sum(c).alias(c) for c in names]).first()
+        if not row["s0"]:
+            raise ValueError("no users to fit on")
+        sums = np.array([row[c] for c in names]) / row["s0"]
+        g, h = sums[2:6], np.zeros((4, 4))
+        for (i, j), v in zip(PAIRS, sums[6:]):
+            h[i, j] = h[j, i] = v
+        # by the logs of the parameters, and with the penalty
+        slope = -p * g + 2 * penalty * p * p
+        curve = -h * np.outer(p, p) + np.diag(-p * g + 4 * penalty * p * p)
+        return penalty * float((p * p).sum()) - sums[1], slope, curve, int(row["s0"])
+
+    if start is None:
+        mean_age = counts.agg((F.sum(F.col("life") * F.col("n")) / F.sum("n")).alias("age")).first()["age"]
+        if mean_age is None:
+            raise ValueError("no users to fit on")
+        start = BgNbd(1.0, max(mean_age, 1.0), 1.0, 1.0)
+    point = np.log([start.r, start.alpha, start.a, start.b])
+    cost, slope, curve, users = look(point)
+    while passes < most:
+        if np.abs(slope).max() <= tolerance:
+            return BgNbdFit(BgNbd(*np.exp(point).tolist()), cost, float(np.abs(slope).max()), users, passes)
+        size, turn = np.linalg.eigh(curve)
+        step = -turn @ ((turn.T @ slope) / np.maximum(np.abs(size), 1e-12))
+        step *= min(1.0, 4.0 / np.abs(step).max())
+        while passes < most:
+            trial = point + step
+            if np.abs(trial).max() > 40.0:
                 raise ValueError("the likelihood has no maximum inside the allowed range; set a penalty")
-        elif step <= tolerance:
-            return BgNbd(*map(math.exp, best))
-        else:
-            step = max(step / 2, tolerance)
-    raise RuntimeError(f"fit_bgnbd did not settle within {most} rounds")
-
-
-def _vertex(moves: list[tuple[int, ...]], cost: list[float], reach: float = 4.0) -> list[float] | None:
-    """Lowest point, in steps from the middle, of the quadratic fitted to costs on a grid; None where it has none."""
-    if not all(map(math.isfinite, cost)):
-        return None
-    x = np.array(moves, dtype=float)
-    pairs = list(itertools.combinations_with_replacement(range(x.shape[1]), 2))
-    terms = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in pairs]])
-    beta = np.linalg.lstsq(terms, np.array(cost) - min(cost), rcond=None)[0]
-    curve = np.zeros((x.shape[1], x.shape[1]))
-    for (i, j), v in zip(pairs, beta[1 + x.shape[1]:]):
-        curve[i, j] += v
-        curve[j, i] += v
-    if np.linalg.eigvalsh(curve)[0] <= 0:
-        return None
-    return list(np.clip(np.linalg.solve(curve, -beta[1:1 + x.shape[1]]), -reach, reach))
+            found = look(trial)
+            if np.isfinite(found[0]) and found[0] <= cost + 1e-13:
+                break
+            step = step / 2
+        point, (cost, slope, curve, users) = trial, found
+    raise RuntimeError(f"fit_bgnbd did not settle within {most} passes")
+
+
+def pooled_btyd(log: DataFrame, train: DataFrame, anchors: DataFrame, users: DataFrame | None = None, penalty: float = 0.01,
+                horizon: int = 30) -> DataFrame:
+    """Purchase-model columns at ``anchors`` from one penalised fit over the buyers of all ``train`` anchors.
+
+    The fit sees full histories up to the train anchors only, so anchors after them are scored without a look ahead.
+    """
+    rfm = rfm_full(log, train, users).where("btyd_available > 0")
+    model = fit_bgnbd(rfm, recency="btyd_recency", age="btyd_T", penalty=penalty)
+    scored = bgnbd_predict(rfm_full(log, anchors, users), model, (horizon,))
+    return scored.select(*KEYS, F.col(f"btyd_p_buy_{horizon}d"), F.col(f"btyd_expected_purchases_{horizon}d"), "btyd_p_alive")
 
 
 def p_alive(x: Column, t: Column, T: Column, m: BgNbd) -> Column:
@@ -166,20 +218,45 @@ def p_alive(x: Column, t: Column, T: Column, m: BgNbd) -> Column:
     return F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + odds)).otherwise(F.lit(1.0))
 
 
-def hypergeometric(a: Column, b: Column, c: Column, z: Column, digits: float = 36.0, most: int = 5_000_000) -> Column:
-    """2F1 for 0 <= z < 1; the series runs until ``z**n`` is below ``exp(-digits)``.
-
-    Where that takes more than ``most`` terms (z above 1 - 7e-6) the query fails; the series is never cut short.
-    """
-    needed = F.ceil(F.lit(digits) / -F.log(z)) + 50
-    length = F.when(needed > most, F.raise_error(F.lit(f"2F1 does not converge in {most} terms"))).otherwise(needed).cast("int")
+def series(a: Column, b: Column, c: Column, z: Column, length: Column) -> Column:
+    """The first ``length`` terms of 2F1 and one more."""
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def add(acc, k):
         term = acc["term"] * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(0), length), start, add, lambda acc: acc["sum"])
+    return F.aggregate(F.sequence(F.lit(0), length.cast("int")), start, add, lambda acc: acc["sum"])
+
+
+DIGITS = 36.0  # terms run until z**n is below exp(-DIGITS)
+NEAR = 0.9  # of z; above it the argument is 1 - z
+APART = 1e-3  # of a - r from a whole number, where both halves of the transformed series grow
+
+
+def hypergeometric(r: float, a: float, b: float, x: Column, z: Column) -> Column:
+    """2F1(r + x, b + x; a + b - 1 + x; z) for 0 <= z < 1 and whole x >= 0, in at most some 400 terms (plus x above z = 0.9).
+
+    Below ``NEAR`` the series itself, above it the linear transformation to 1 - z. The gamma functions in that are
+    constants for x = 0 and finite products beyond. Where a - r is all but a whole number both halves of the sum have a
+    pole that cancels; the value is then the cubic through four values of a - r around it, ``APART`` from one another.
+    """
+    gap = a - r - round(a - r)
+    if abs(gap) < APART / 2:
+        around = [k * APART for k in (-2, -1, 1, 2)]
+        shares = [math.prod((gap - q) / (p - q) for q in around if q != p) for p in around]
+        return total([hypergeometric(r, r + round(a - r) + p, b, x, z) * F.lit(share) for p, share in zip(around, shares)])
+    x = x.cast("double")
+    plain = series(F.lit(r) + x, F.lit(b) + x, F.lit(a + b - 1) + x, z, F.ceil(F.lit(DIGITS) / -F.log(z)) + 50)
+    rest = F.lit(1.0) - z
+    length = F.ceil(F.lit(DIGITS) / -F.log(rest)) + x + 50
+    product = lambda c: F.aggregate(F.slice(F.sequence(F.lit(0), x.cast("int")), F.lit(1), x.cast("int")), F.lit(1.0), lambda acc, k: acc * c(k))
+    g = math.gamma
+    one = F.lit(g(a + b - 1) * g(a - 1 - r) / (g(a + b - 1 - r) * g(a - 1))) * product(lambda k: (F.lit(a + b - 1) + k) / (F.lit(a - 2 - r) - k))
+    two = F.lit(g(a + b - 1) * g(r + 1 - a) / (g(r) * g(b))) * product(lambda k: (F.lit(a + b - 1) + k) * (F.lit(r + 1 - a) + k) / ((F.lit(r) + k) * (F.lit(b) + k)))
+    near = one * series(F.lit(r) + x, F.lit(b) + x, F.lit(r + 2 - a) + x, rest, length) + two * F.pow(rest, F.lit(a - 1 - r) - x) * series(
+        F.lit(a + b - 1 - r), F.lit(a - 1), F.lit(a - r) - x, rest, length)
+    return F.when(z <= NEAR, plain).otherwise(near)
 
 
 def expected_purchases(x: Column, t: Column, T: Column, m: BgNbd, horizon: float, exact: bool = True) -> Column:
@@ -191,7 +268,7 @@ def expected_purchases(x: Column, t: Column, T: Column, m: BgNbd, horizon: float
         approx = lead / F.lit(max(1e-4, m.a - 1.0)) * (F.lit(1.0) - shrink)
         return clip(p_alive(x, t, T, m) * approx, 0, horizon)
     z = F.lit(float(horizon)) / (F.lit(m.alpha) + T + F.lit(float(horizon)))
-    h = hypergeometric(F.lit(m.r) + x, F.lit(m.b) + x, lead, z)
+    h = hypergeometric(m.r, a, m.b, x, z)
     return clip(lead / F.lit(a - 1.0) * (F.lit(1.0) - shrink * h) * p_alive(x, t, T, m), 0, 2.0 * horizon)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import count_where, flag, log_amount, nearest_quantile, ratio, sum_where
 from tidemark.operators.anchors import calendar_context
 from tidemark.operators.derived import decay_intent, missing_flags
-from tidemark.operators.history import KEYS, aggregate, by_user, fill, history, past, within
+from tidemark.operators.history import KEYS, aggregate, days_from, fill, history, past, with_index, within
 from tidemark.operators.labels import transition_state
 from tidemark.operators.windows import SHORT_METRICS, positive, purchase, recency_exprs, short_window_exprs
 
@@ -143,23 +143,22 @@ def personal_propensity(log: DataFrame, anchors: DataFrame, past_anchors: DataFr
     """Buy rates of a user over the target windows that ended by the anchor.
 
     Each past window is summed once per user; the windows then meet the anchors,
-    so the log is read once whatever the number of anchor pairs.
+    so the log is read once whatever the number of anchor pairs. Only the days of some window
+    are read, and all steps keep the one shuffle by user.
     """
     past_anchors = anchors if past_anchors is None else past_anchors
     windows = past_anchors.select(F.col("anchor_date").alias("_w")).distinct()
-    legal = anchors.select("anchor_date").distinct().join(
-        F.broadcast(windows), F.date_add("_w", horizon) <= F.col("anchor_date"), "left"
-    )
-    n_windows = legal.groupBy("anchor_date").agg(F.count("_w").alias("_n"))
-    log = log.select("user_id", "event_date", "gmv")
-    index = (log if users is None else users).select("user_id").distinct().withColumn("_index", F.lit(True))
-    in_window = (F.col("event_date") > F.col("_w")) & (F.col("event_date") <= F.date_add("_w", horizon))
-    sums = by_user(log).join(F.broadcast(windows), in_window).groupBy("user_id", "_w").agg(F.sum("gmv").alias("_g"))
-    per_anchor = sums.join(F.broadcast(legal.where(F.col("_w").isNotNull())), "_w")
-    counted = per_anchor.groupBy("user_id", "anchor_date").agg(
-        count_where(F.col("_g") > 0).alias("_k"), F.sum(F.log1p("_g")).alias("_z")
-    )
-    full = index.drop("_index").join(F.broadcast(n_windows)).join(counted, ["user_id", "anchor_date"], "left")
+    dates = anchors.select("anchor_date").distinct()
+    known = F.date_add("_w", horizon) <= F.col("anchor_date")
+    # anchors with their windows, and with a null window for the index rows
+    legal = dates.join(F.broadcast(windows), known, "left").withColumn("_n", F.count("_w").over(Window.partitionBy("anchor_date")))
+    pairs = legal.where("_w IS NOT NULL").unionByName(legal.groupBy("anchor_date").agg(F.lit(None).cast("date").alias("_w"), F.first("_n").alias("_n")))
+    rows = with_index(log, log if users is None else users, ["gmv"], days_from(windows.select(F.col("_w").alias("anchor_date")), 1, horizon))
+    sums = rows.groupBy("user_id", F.col("anchor_date").alias("_w")).agg(F.sum("gmv").alias("_g"), F.max("_index").alias("_index"))
+    own = F.broadcast(pairs.withColumnRenamed("_w", "_window"))
+    counted = sums.join(own, F.col("_w").eqNullSafe(F.col("_window"))).groupBy("user_id", "anchor_date").agg(
+        count_where(F.col("_g") > 0).alias("_k"), F.sum(F.log1p("_g")).alias("_z"), F.max("_n").alias("_n"), F.max("_index").alias("_index"))
+    full = counted.where("_index")
     n, k = F.col("_n").cast("double"), F.coalesce(F.col("_k"), F.lit(0)).cast("double")
     some = F.col("_n") > 0
     smooth = lambda hits, prior, m: (hits + F.lit(m * prior)) / (n + F.lit(m))
@@ -175,31 +174,22 @@ def personal_propensity(log: DataFrame, anchors: DataFrame, past_anchors: DataFr
     )
 
 
-def _window_sums(log: DataFrame, shifted: DataFrame, users: DataFrame | None, exprs: list[Column], horizon: int) -> DataFrame:
-    """Aggregate the log over ``[_from, _from + horizon - 1]`` of each anchor, on the full index."""
-    cols = ["gmv", "to_ord", "searches", "to_cart"]
-    index = (log if users is None else users).select("user_id").distinct().withColumn("_index", F.lit(True))
-    rows = log.select("user_id", "event_date", *cols).withColumn("_index", F.lit(False))
-    both = by_user(rows.unionByName(index, allowMissingColumns=True))
-    inside = (F.col("event_date") >= F.col("_from")) & (F.col("event_date") <= F.date_add("_from", horizon - 1))
-    joined = both.join(F.broadcast(shifted), F.col("_index") | inside)
-    return joined.groupBy(*KEYS).agg(F.max("_index").alias("_index"), F.max("_available").alias("_available"), *exprs).where(
-        "_index"
-    ).drop("_index")
-
+def _window_sums(log: DataFrame, starts: DataFrame, users: DataFrame | None, exprs: list[Column], horizon: int) -> DataFrame:
+    """Aggregate the log over ``[_from, _from + horizon - 1]`` of each anchor, on the full index.
 
-def _first_day(log: DataFrame) -> DataFrame:
-    return log.agg(F.min("event_date").alias("_first"))
+    ``starts`` (anchor_date, _from) meet the log by day; days of no window are not read. ``_available`` says that the log reaches back to the window.
+    """
+    rows = with_index(log, log if users is None else users, ["gmv", "to_ord", "searches", "to_cart"], days_from(starts, 0, horizon - 1, "_from"))
+    found = rows.groupBy(*KEYS).agg(F.max("_index").alias("_index"), *exprs).where("_index").drop("_index")
+    known = starts.select("anchor_date", flag(F.col("_from") >= log.agg(F.min("event_date")).scalar(), "double").alias("_available"))
+    return found.join(F.broadcast(known), "anchor_date")
 
 
 def last_year_exact(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, horizon: int = 30, shift: int = 365) -> DataFrame:
     """What the user did in the target window 365 days earlier."""
-    start = F.date_add("anchor_date", 1 - shift)
-    shifted = anchors.select("anchor_date").crossJoin(F.broadcast(_first_day(log))).select(
-        "anchor_date", start.alias("_from"), flag(start >= F.col("_first"), "double").alias("_available")
-    )
+    starts = anchors.select("anchor_date", F.date_add("anchor_date", 1 - shift).alias("_from"))
     real = ~F.col("_index")
-    sums = _window_sums(log, shifted, users, [
+    sums = _window_sums(log, starts, users, [
         sum_where(real, "gmv").alias("_gmv"),
         count_where(real & purchase()).alias("purchase_days"),
         sum_where(real, "to_ord").alias("orders"),
@@ -221,13 +211,10 @@ def last_year_exact(log: DataFrame, anchors: DataFrame, users: DataFrame | None
 
 def last_year_calendar(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, horizon: int = 30) -> DataFrame:
     """The same for the anchor moved by a calendar year (29 Feb becomes 28 Feb)."""
-    start = F.date_add(F.add_months("anchor_date", -12), 1)
-    shifted = anchors.select("anchor_date").crossJoin(F.broadcast(_first_day(log))).select(
-        "anchor_date", start.alias("_from"), flag(start >= F.col("_first"), "double").alias("_available")
-    )
+    starts = anchors.select("anchor_date", F.date_add(F.add_months("anchor_date", -12), 1).alias("_from"))
     real = ~F.col("_index")
     p = "ly_target_window_"
-    sums = _window_sums(log, shifted, users, [
+    sums = _window_sums(log, starts, users, [
         flag(sum_where(real, "gmv") > 0, "double").alias(p + "buyer"),
         sum_where(real, "gmv").alias(p + "gmv"),
         sum_where(real, "to_ord").alias(p + "orders"),

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, flag, ratio
@@ -180,10 +184,54 @@ def feature_group(name: str) -> str:
     return next((group for group, rule in CATALOG_RULES if re.search(rule, name)), "other")
 
 
-def feature_catalog(spark: SparkSession, names: list[str]) -> DataFrame:
-    """One row per feature name with its group (as long as the schema is wide)."""
-    return spark.createDataFrame([(i, n, feature_group(n)) for i, n in enumerate(names)],
-                                 "position int, feature string, feature_group string")
+SKETCH = 256  # smallest hashes kept to count distinct values
+
+
+def column_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: rows, missing, zeros, range, sum, and distinct values, in one pass.
+
+    A task keeps one mergeable state per column (counts, range, the ``SKETCH`` smallest hashes of its values) and gives it out at its end,
+    so neither the rows nor an aggregate is as wide as the table times the measures. ``n_distinct`` is exact below ``SKETCH``
+    values and an estimate (some 6 % off) from there. NaN counts as missing.
+    """
+    names = list(columns)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), 4))  # rows, missing, zeros, sum
+        low, high, seen = np.full(len(names), np.inf), np.full(len(names), -np.inf), [np.zeros(0, np.uint64)] * len(names)
+        for batch in batches:
+            for i in range(len(names)):
+                x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                real = x[~np.isnan(x)] + 0.0
+                total[i] += len(x), len(x) - len(real), (real == 0).sum(), real.sum()
+                if len(real):
+                    low[i], high[i] = min(low[i], real.min()), max(high[i], real.max())
+                    bits = np.unique(real).view(np.uint64)
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # mixes all bits into all others
+                        bits = (bits ^ (bits >> np.uint64(shift))) * np.uint64(factor)
+                    seen[i] = np.unique(np.concatenate([seen[i], bits]))[:SKETCH]
+        yield pa.RecordBatch.from_pydict({
+            "feature": names, "n": total[:, 0], "missing": total[:, 1], "zeros": total[:, 2], "total": total[:, 3],
+            "low": pa.array(low, mask=np.isinf(low)), "high": pa.array(high, mask=np.isinf(high)),
+            "seen": pa.array([(h >> np.uint64(1)).astype(np.int64).tolist() for h in seen], pa.list_(pa.int64()))})
+
+    found = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        states, "feature string, n double, missing double, zeros double, total double, low double, high double, seen array<long>")
+    merged = found.groupBy("feature").agg(
+        *[F.sum(c).alias(c) for c in ("n", "missing", "zeros", "total")], F.min("low").alias("low"), F.max("high").alias("high"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, SKETCH).alias("seen"))
+    known = F.col("n") - F.col("missing")
+    estimate = F.when(F.size("seen") < SKETCH, F.size("seen").cast("double")).otherwise(F.lit(float(SKETCH - 1)) * F.lit(2.0 ** 63) / F.element_at("seen", -1))
+    return merged.select("feature", F.col("n").cast("long").alias("n_rows"), F.col("missing").cast("long").alias("n_missing"), F.col("zeros").cast("long").alias("n_zero"),
+                         F.col("low").alias("least"), F.col("high").alias("greatest"), F.when(known > 0, F.col("total") / known).alias("mean"), estimate.alias("n_distinct"))
+
+
+def feature_catalog(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every feature of a wide table with its group and what its values are; ``varies`` says that a model can learn from it."""
+    names = feature_columns(df) if columns is None else list(columns)
+    group = reduce(lambda rest, rule: F.when(F.col("feature").rlike(rule[1]), rule[0]).otherwise(rest), reversed(CATALOG_RULES), F.lit("other"))
+    return column_summaries(df, names).select("feature", group.alias("feature_group"), "n_rows", "n_missing", "n_zero", "least", "greatest", "mean", "n_distinct",
+                                              flag(F.col("least") < F.col("greatest")).alias("varies"))
 
 
 def finite(c) -> Column:

@@ -24,31 +24,45 @@ def history(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None,
     age; conditions on ``age`` skip it by themselves. Users outside the index are left out.
     """
     columns = [c for c in log.columns if c not in ("user_id", "event_date")] if columns is None else columns
-    index = (log if users is None else users).select("user_id").distinct()
     dates = anchors.select("anchor_date")
-    rows = in_reach(log.select("user_id", "event_date", *columns), dates, back, ahead)
-    if users is not None:
-        rows = rows.join(index, "user_id", "left_semi")
-    both = by_user(rows.withColumn("_index", F.lit(False)).unionByName(
-        index.withColumn("_index", F.lit(True)), allowMissingColumns=True))
+    index = log if users is None else users
     age = F.date_diff("anchor_date", "event_date")
-    if back is None:
-        joined = both.join(F.broadcast(dates), F.col("_index") | (age >= -ahead))
+    if back is not None:
+        joined = with_index(log, index, columns, days_from(dates, 1 - back, ahead), users is not None)
     else:
-        pairs = F.broadcast(visible_days(dates, back, ahead))
-        joined = both.join(pairs, F.col("event_date").eqNullSafe(F.col("_day"))).drop("_day")
+        rows = in_reach(log.select("user_id", "event_date", *columns), dates, None, ahead)
+        both = indexed(rows, index, users is not None)
+        joined = both.join(F.broadcast(dates), F.col("_index") | (age >= -ahead))
     return joined.withColumn("age", age)
 
 
-def visible_days(anchors: DataFrame, back: int, ahead: int) -> DataFrame:
-    """(anchor_date, _day) for every day an anchor sees, and one null day per anchor for the index rows.
+def days_from(anchors: DataFrame, first: int, last: int, origin: str = "anchor_date") -> DataFrame:
+    """(anchor_date, _day) for the days ``first`` to ``last`` after ``origin`` of every anchor, and one null day per anchor for the index rows.
 
     An equality join on the day replaces a comparison of each row with each anchor; the table
-    has ``back + ahead + 1`` rows per anchor whatever the size of the log.
+    has ``last - first + 2`` rows per anchor whatever the size of the log.
     """
-    first, last = F.date_sub("anchor_date", back - 1), F.date_add("anchor_date", ahead)
     return anchors.select("anchor_date", F.explode(
-        F.array_append(F.sequence(first, last), F.lit(None).cast("date"))).alias("_day"))
+        F.array_append(F.sequence(F.date_add(origin, first), F.date_add(origin, last)), F.lit(None).cast("date"))).alias("_day"))
+
+
+def with_index(log: DataFrame, index: DataFrame, columns: list[str], days: DataFrame, only_index: bool = False) -> DataFrame:
+    """Log rows beside every anchor that sees their day, and index rows beside all anchors, shuffled by user.
+
+    ``days`` is a table of :func:`days_from`. Its first and last day are scalar subqueries, which the scan takes as filters.
+    """
+    day = F.col("event_date")
+    rows = log.select("user_id", "event_date", *columns).where(
+        (day >= days.select(F.min("_day")).scalar()) & (day <= days.select(F.max("_day")).scalar()))
+    return indexed(rows, index, only_index).join(F.broadcast(days), day.eqNullSafe(F.col("_day"))).drop("_day")
+
+
+def indexed(rows: DataFrame, index: DataFrame, only_index: bool = False) -> DataFrame:
+    """``rows`` and one row ``_index`` without a date for every user of the index, in one shuffle by user."""
+    index = index.select("user_id").distinct()
+    if only_index:
+        rows = rows.join(index, "user_id", "left_semi")
+    return by_user(rows.withColumn("_index", F.lit(False)).unionByName(index.withColumn("_index", F.lit(True)), allowMissingColumns=True))
 
 
 def by_user(rows: DataFrame) -> DataFrame:
@@ -74,10 +88,11 @@ def aggregate(hist: DataFrame, exprs: list[Column]) -> DataFrame:
     Only users with rows in the window go through the aggregates, which may be
     hundreds of columns wide. All the others have the same values, those of the
     aggregates over nothing (null unless an expression says otherwise); a narrow
-    count finds them.
+    count finds them. Both branches read all columns of ``hist``, so that they share its scan and its shuffle.
     """
     busy = hist.where(~F.col("_index")).groupBy(*KEYS).agg(*exprs)
-    idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n")).where(F.col("_n") == 0).select(*KEYS)
+    whole = F.struct(*[c for c in hist.columns if c not in KEYS])  # never null
+    idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n"), F.bit_and(F.hash(whole)).alias("_used")).where("_n = 0 and _used is not null").select(*KEYS)
     nothing = hist.where(F.lit(False)).agg(*exprs)
     return busy.unionByName(idle.crossJoin(F.broadcast(nothing)))
 

@@ -9,11 +9,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Matrices
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, log_amount, logit, sigmoid
+from tidemark.functions.isotonic import interpolated, isotonic_blocks
 from tidemark.functions.lineage import cut_lineage
 from tidemark.operators.scoring import Z_MAX, assemble_probability, factorised_z
 
@@ -27,11 +28,12 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 @dataclass
 class Scorer:
-    """A fitted learner with the features it needs; ``probability`` picks the class-1 probability."""
+    """A fitted learner with the features it needs; ``probability`` picks the class-1 probability, ``bounds`` clip what comes out."""
 
     model: Model
     features: list[str]
     probability: bool = False
+    bounds: tuple[float, float] | None = None
 
     def add(self, df: DataFrame, name: str) -> DataFrame:
         # the learner writes to columns of its own; columns of those names wait under another one
@@ -39,6 +41,8 @@ class Scorer:
         held = df.withColumnsRenamed({c: f"_held_{c}" for c in own})
         out = self.model.transform(assemble(held, self.features))
         value = vector_to_array("probability")[1] if self.probability else F.col("prediction")
+        if self.bounds:
+            value = clip(value, *self.bounds)
         kept = [F.col(f"_held_{c}").alias(c) if c in own else F.col(c) for c in df.columns if c != name]
         return out.select(*kept, value.cast("double").alias(name))
 
@@ -48,14 +52,23 @@ def _narrow(df: DataFrame, features: list[str], label: Column, weight: str | Non
     return df.select(*cols, label.cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
 
 
-def fit_regressor(train: DataFrame, features: list[str], label: Column, weight: str | None = None, **trees) -> Scorer:
-    learner = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", **{**TREES, **trees})
-    return Scorer(learner.fit(assemble(_narrow(train, features, label, weight), features)), features)
+def least_squares() -> LinearRegression:
+    return LinearRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=0.0, solver="normal")
 
 
-def fit_classifier(train: DataFrame, features: list[str], label: Column, weight: str | None = None, **trees) -> Scorer:
+def fit_regressor(train: DataFrame, features: list[str], label: Column, weight: str | None = None, learner: str = "trees", **trees) -> Scorer:
+    """Boosted trees, or weighted least squares with ``learner="line"``."""
+    fit = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", **{**TREES, **trees}) if learner == "trees" else least_squares()
+    return Scorer(fit.fit(assemble(_narrow(train, features, label, weight), features)), features)
+
+
+def fit_classifier(train: DataFrame, features: list[str], label: Column, weight: str | None = None, learner: str = "trees", **trees) -> Scorer:
+    """Boosted trees, or with ``learner="line"`` weighted least squares on 0 and 1, clipped to that range."""
+    rows = assemble(_narrow(train, features, label, weight), features)
+    if learner == "line":
+        return Scorer(least_squares().fit(rows), features, bounds=(0.0, 1.0))
     learner = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", **{**TREES, **trees})
-    return Scorer(learner.fit(assemble(_narrow(train, features, label, weight), features)), features, probability=True)
+    return Scorer(learner.fit(rows), features, probability=True)
 
 
 def direct_regressor(train: DataFrame, features: list[str], target: str = "target", weight: str | None = None, **trees) -> Scorer:
@@ -122,12 +135,12 @@ class Specialists:
         return out.withColumn("prediction_z", factorised_z(F.col("p_buy"), F.greatest("amount_z", F.lit(0.0)), alpha))
 
 
-def transition_specialists(train: DataFrame, features: list[str], **trees) -> Specialists:
+def transition_specialists(train: DataFrame, features: list[str], weight: str | None = None, **trees) -> Specialists:
     """Return on inactive users, leaving on active users, amount on buyers."""
     return Specialists(
-        fit_classifier(train.where("was_active = 0"), features, F.col("will_buy"), **trees),
-        fit_classifier(train.where("was_active = 1"), features, 1 - F.col("will_buy"), **trees),
-        fit_regressor(train.where("will_buy = 1"), features, F.col("z_target"), **trees),
+        fit_classifier(train.where("was_active = 0"), features, F.col("will_buy"), weight, **trees),
+        fit_classifier(train.where("was_active = 1"), features, 1 - F.col("will_buy"), weight, **trees),
+        fit_regressor(train.where("will_buy = 1"), features, F.col("z_target"), weight, **trees),
     )
 
 
@@ -172,13 +185,18 @@ def tweedie(train: DataFrame, valid: DataFrame, features: list[str], target: str
 # --- calibration ----------------------------------------------------------------------------
 
 def calibrate(train: DataFrame, df: DataFrame, score: str = "p", label: str = "will_buy", method: str = "isotonic", name: str = "p_calibrated") -> DataFrame:
-    """Isotonic (constant outside the range seen) or Platt calibration. Equal scores are one weighted row of the fit."""
-    counts = train.groupBy(F.col(score).cast("double").alias("_s")).agg(
-        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    rows = df.withColumn("_s", F.col(score).cast("double"))
+    """Isotonic (linear between its blocks, constant outside the range seen) or Platt calibration. Equal scores are one weighted row of the fit.
+
+    A null or NaN score has no isotonic value, and teaches nothing.
+    """
+    plain = F.col(score).cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one score
+    rows = df.withColumn("_s", plain)
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w").fit(counts)
-        return model.transform(rows).withColumn(name, clip("prediction", 0, 1)).select(*df.columns, name)
+        known = ~F.isnan("value") & F.col("value").isNotNull()
+        points = train.groupBy(plain.alias("value")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")).where(known)
+        fitted = interpolated(rows.select(F.col("_s").alias("value")).where(known).distinct(), isotonic_blocks(points))
+        out = rows.join(fitted.select(F.col("value").alias("_s"), F.col("fitted").alias("_fitted")), "_s", "left")
+        return out.withColumn(name, F.when(F.col("_fitted").isNotNull(), clip("_fitted", 0, 1))).select(*[c for c in df.columns if c != name], name)
     if method != "platt":
         raise ValueError(f"unknown calibration method: {method}")
     by_label = train.groupBy(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_w"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import log_amount
+from tidemark.functions.exprs import clip, count_where, log_amount
 from tidemark.functions.lineage import cut_lineage
 from tidemark.operators.anchors import anchor_table
 from tidemark.operators.derived import feature_group
@@ -97,6 +97,32 @@ def promotion_gate(base_m: DataFrame, base_v: DataFrame, candidate_m: DataFrame,
     return paired_bootstrap(pairs, "before", "after", repeats=repeats)
 
 
+def gate_report(before: DataFrame, after: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Error of two scored banks over all rows, by transition state and by part (return, leaving, amount), in one aggregate.
+
+    Banks come from ``apply_meta``, with the same labels. Rows ``(section, part, n, before, after, delta)``: squared log errors, for
+    return and leaving the log loss of the users they are for.
+    """
+    names = ["p_react", "p_churn", "conditional_z", "prediction_z"]
+    both = before.select(*keys, "was_active", "will_buy", "z_target", *[F.col(c).alias(f"{c}_before") for c in names]).join(
+        after.select(*keys, *[F.col(c).alias(f"{c}_after") for c in names]), keys)
+    active, buys, z = F.col("was_active") == 1, F.col("will_buy") == 1, F.col("z_target")
+    square = lambda c: lambda side: (F.col(f"{c}_{side}") - z) * (F.col(f"{c}_{side}") - z)
+
+    def loss(c: str, y: Column) -> Callable[[str], Column]:
+        p = lambda side: clip(F.col(f"{c}_{side}"), 1e-6, 1 - 1e-6)
+        return lambda side: -F.when(y, F.log(p(side))).otherwise(F.log(F.lit(1.0) - p(side)))
+
+    states = {f"{a}{b}": (F.col("was_active") == a) & (F.col("will_buy") == b) for a in (0, 1) for b in (0, 1)}
+    parts = [("all", "all", F.lit(True), square("prediction_z")), *[("state", s, cond, square("prediction_z")) for s, cond in states.items()],
+             ("part", "react", ~active, loss("p_react", buys)), ("part", "churn", active, loss("p_churn", ~buys)), ("part", "amount", buys, square("conditional_z"))]
+    sums = both.agg(*[x for i, (_, _, cond, e) in enumerate(parts) for x in (
+        count_where(cond).alias(f"n{i}"), F.avg(F.when(cond, e("before"))).alias(f"b{i}"), F.avg(F.when(cond, e("after"))).alias(f"a{i}"))])
+    rows = F.inline(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("before"), F.col(f"a{i}").alias("after"))
+                              for i, (section, part, _, _) in enumerate(parts)]))
+    return sums.select(rows).withColumn("delta", F.col("after") - F.col("before"))
+
+
 def group_ablation(model: Scorer, df: DataFrame, groups: dict[str, list[str]] | None = None, target: str = "target") -> DataFrame:
     """RMSLE with the features of one group set to zero, against all features."""
     if groups is None:

@@ -47,10 +47,6 @@ class Tables:
     def quarters(self) -> DataFrame:
         return A.anchor_table(self.spark, QUARTERS)
 
-    @cached_property
-    def last(self) -> DataFrame:
-        return A.anchor_table(self.spark, QUARTERS[-2:])
-
     @cached_property
     def event_anchors(self) -> DataFrame:
         return A.anchor_table(self.spark, EVENT_ANCHORS)
@@ -116,7 +112,6 @@ def dates_cte(dates: list[str], name: str = "a") -> str:
 
 
 QUARTER_CTE = dates_cte(QUARTERS)
-LAST_CTE = dates_cte(QUARTERS[-2:])
 EVENT_CTE = dates_cte(EVENT_ANCHORS)
 PANEL_CTE = """a AS (SELECT DISTINCT anchor_date FROM (
   SELECT CAST(first + 89 + 91 * CAST(i AS INT) AS DATE) AS anchor_date, last FROM

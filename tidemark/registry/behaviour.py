@@ -13,7 +13,7 @@ from tidemark.operators import sequences as Q
 from tidemark.operators import snapshot as S
 from tidemark.operators import windows as W
 from tidemark.registry.base import (
-    CLICKS, CV, EVENT_CTE, HIST, LAST_CTE, LOG, PER_USER, QUARTER_CTE, clip_sql, ctes, flag_sql, n, query, s, since, span,
+    CLICKS, CV, EVENT_CTE, HIST, QUARTER_CTE, LOG, PER_USER, clip_sql, ctes, flag_sql, n, query, s, since, span,
 )
 from tidemark.registry.features import (
     ACTIVITY_SQL, AT_ANCHOR_SQL, BUY, CALENDAR_SQL, CONTEXT_SQL, DYNAMICS_SQL, EWMA_SQL, FILLED, HOLIDAY_SQL, LABELS_SQL, PLATFORM_SQL,
@@ -131,20 +131,6 @@ query("missing_flags", sql=ctes(LOG, QUARTER_CTE, HIST) + f"SELECT anchor_date,
     lambda t: D.missing_flags(W.aggregate(W.history(t.log, t.quarters, back=365), W.recency_exprs())))
 
 
-@query("feature_catalog", ("feature", "feature_group", "table_name"), ctes(LOG) + """, c AS (SELECT * FROM (VALUES ('gmv_sum_30d', 'monetary'), ('gmv_max_30d', 'monetary'),
- ('to_ord_sum_30d', 'orders'), ('to_ord_max_30d', 'orders'), ('days_since_last_order', 'recency'), ('sin_doy', 'calendar')) AS v(feature, feature_group))
- SELECT feature, feature_group, 'log' AS table_name, (SELECT count(*) FROM log) AS n_rows FROM c""")
-def _(t):
-    wide = W.window_aggs(t.log, t.last, windows={"30d": (29, 0)}, metrics=["gmv", "to_ord"], aggs=["sum", "max"])
-    names = D.feature_columns(wide) + ["days_since_last_order", "sin_doy"]
-    rows = t.log.agg(F.count(F.lit(1)).alias("n_rows"))
-    return D.feature_catalog(t.spark, names).drop("position").crossJoin(F.broadcast(rows)).withColumn("table_name", F.lit("log"))
-
-
-query("feature_columns", ("feature",), ctes(LOG) + "SELECT feature, (SELECT count(DISTINCT user_id) FROM log) AS n_users FROM (VALUES ('gmv_sum_30d'), ('to_ord_sum_30d')) AS v(feature)")(
-    lambda t: W.user_totals(t.log).agg(F.count(F.lit(1)).alias("n_users")).crossJoin(F.broadcast(D.feature_catalog(t.spark, D.feature_columns(
-        L.binary_target(W.window_aggs(t.log, t.last, windows={"30d": (29, 0)}, metrics=["gmv", "to_ord"], aggs=["sum"]).withColumn("target", F.lit(0.0)))))
-        .select("feature"))))
 SCALED = ["gmv_sum_30d", "to_ord_sum_90d", "days_since_last_order"]
 query("standardise_features", sql=ctes(LOG, QUARTER_CTE, HIST) + f""", f AS (SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS gmv_sum_30d, {s('to_ord', 0, 89)} AS to_ord_sum_90d,
  {since('to_ord > 0', 89, '999')} AS days_since_last_order {PER_USER}), st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, greatest(stddev_pop({c}), 1e-6) AS s_{c}' for c in SCALED)} FROM f WHERE anchor_date < DATE '2001-01-01')
@@ -291,7 +277,7 @@ query("btyd_classifier_features", sql=ctes(LOG, QUARTER_CTE, HIST, RFM_WINDOW_SQ
 
 @query("fit_bgnbd", ("parameter",))
 def _(t):
-    rfm = B.rfm_window(t.log, t.last)
+    rfm = B.rfm_window(t.log, t.quarters)
     fitted = B.fit_bgnbd(rfm)
     score = B.log_likelihood(F.col("btyd_frequency"), F.col("btyd_recency_days"), F.col("btyd_T_days"), *(F.lit(v) for v in (fitted.r, fitted.alpha, fitted.a, fitted.b)))
     rows = F.inline(F.array(*[F.struct(F.lit(k).alias("parameter"), F.lit(v).alias("value")) for k, v in vars(fitted).items()]))
@@ -304,21 +290,28 @@ SNAP_SQL = f"""sn0 AS (SELECT anchor_date, user_id, {ACTIVITY_SQL}, {lifetime_sq
  sn AS (SELECT sn0.*, pa.* EXCLUDE (anchor_date), cal.* EXCLUDE (anchor_date), CAST(sn0.anchor_date - 89 AS DATE) AS history_start, sn0.anchor_date AS history_end,
  CAST(sn0.anchor_date + 1 AS DATE) AS target_start, CAST(sn0.anchor_date + 30 AS DATE) AS target_end, 90 AS available_history_days,
  {', '.join(RATE_SQL)}, {VS_SQL}, {SEGMENT_SQL}, {flag_sql('target > 0')} AS will_buy_30d FROM sn0 JOIN pa USING (anchor_date) JOIN cal USING (anchor_date))"""
-SNAP_CTES = (LOG, LAST_CTE, HIST, SPIKE, PLATFORM_SQL, AT_ANCHOR_SQL, HOLIDAY_SQL, CALENDAR_SQL, SNAP_SQL)
+SNAP_CTES = (LOG, QUARTER_CTE, HIST, SPIKE, PLATFORM_SQL, AT_ANCHOR_SQL, HOLIDAY_SQL, CALENDAR_SQL, SNAP_SQL)
 TECH = ("history_start", "history_end", "target_start", "target_end")
-query("snapshot", ("anchor_date", "user_id", *TECH), ctes(*SNAP_CTES) + "SELECT * FROM sn")(lambda t: S.snapshot(t.log, t.last))
-query("sparse_snapshot", sql=ctes(LOG, LAST_CTE, HIST, SPARSE_BASE, RFM_WINDOW_SQL, BTYD_SQL) +
-      f"SELECT f.*, {BEHAVIOUR_SQL}, bt.* EXCLUDE (anchor_date, user_id) FROM f JOIN bt USING (anchor_date, user_id)")(lambda t: S.sparse_snapshot(t.log, t.last))
+query("snapshot", ("anchor_date", "user_id", *TECH), ctes(*SNAP_CTES) + "SELECT * FROM sn")(lambda t: S.snapshot(t.log, t.quarters))
+query("sparse_snapshot", sql=ctes(LOG, QUARTER_CTE, HIST, SPARSE_BASE, RFM_WINDOW_SQL, BTYD_SQL) +
+      f"SELECT f.*, {BEHAVIOUR_SQL}, bt.* EXCLUDE (anchor_date, user_id) FROM f JOIN bt USING (anchor_date, user_id)")(lambda t: S.sparse_snapshot(t.log, t.quarters))
 query("feature_store", sql=ctes(*SNAP_CTES, LABELS_SQL) +
       "SELECT sn.* EXCLUDE (history_start, history_end, target_start, target_end, available_history_days, target, will_buy_30d), lab.* EXCLUDE (anchor_date, user_id) FROM sn JOIN lab USING (anchor_date, user_id)")(
-    lambda t: S.feature_store(t.log, t.last))
-query("join_feature_blocks", sql=ctes(LOG, LAST_CTE, HIST, GAPS_SQL, CADENCE_SQL, CADENCE_FINAL, PROPENSITY_SQL, EXACT_SQL, RFM_WINDOW_SQL, BTYD_SQL) + f""",
+    lambda t: S.feature_store(t.log, t.quarters))
+query("join_feature_blocks", sql=ctes(LOG, QUARTER_CTE, HIST, GAPS_SQL, CADENCE_SQL, CADENCE_FINAL, PROPENSITY_SQL, EXACT_SQL, RFM_WINDOW_SQL, BTYD_SQL) + f""",
  base AS (SELECT anchor_date, user_id, {s('gmv', 0, 29)} AS gmv_sum_30d {PER_USER})
  SELECT base.*, cf.* EXCLUDE (anchor_date, user_id), pp.* EXCLUDE (anchor_date, user_id), ly.* EXCLUDE (anchor_date, user_id), bt.* EXCLUDE (anchor_date, user_id)
  FROM base JOIN cf USING (anchor_date, user_id) JOIN pp USING (anchor_date, user_id) JOIN ly USING (anchor_date, user_id) JOIN bt USING (anchor_date, user_id)""")(
     lambda t: S.join_feature_blocks(
-        W.window_aggs(t.log, t.last, windows={"30d": (29, 0)}, metrics=["gmv"], aggs=["sum"]), C.cadence_features(t.log, t.last),
-        C.personal_propensity(t.log, t.last), C.last_year_exact(t.log, t.last), B.btyd_features(t.log, t.last, MODEL, B.GammaGamma())))
+        W.window_aggs(t.log, t.quarters, windows={"30d": (29, 0)}, metrics=["gmv"], aggs=["sum"]), C.cadence_features(t.log, t.quarters),
+        C.personal_propensity(t.log, t.quarters), C.last_year_exact(t.log, t.quarters), B.btyd_features(t.log, t.quarters, MODEL, B.GammaGamma())))
+
+CATALOG_SQL = f"""SELECT feature, CASE {' '.join(f"WHEN regexp_matches(feature, '{rule}') THEN '{group}'" for group, rule in D.CATALOG_RULES)} ELSE 'other' END AS feature_group, count(*) AS n_rows,
+ count(*) FILTER (WHERE x IS NULL) AS n_missing, count(*) FILTER (WHERE x = 0) AS n_zero, min(x) AS least, max(x) AS greatest, avg(x) AS mean, CASE WHEN min(x) < max(x) THEN 1 ELSE 0 END AS varies
+ FROM (UNPIVOT INCLUDE NULLS (SELECT COLUMNS(* EXCLUDE ({', '.join(c for c in D.TECHNICAL)}, target, will_buy_30d))::DOUBLE FROM sn) ON * INTO NAME feature VALUE x) GROUP BY 1"""
+query("feature_catalog", ("feature", "feature_group"), ctes(*SNAP_CTES) + CATALOG_SQL)(lambda t: D.feature_catalog(S.snapshot(t.log, t.quarters)).drop("n_distinct"))
+query("feature_columns", ("feature",), ctes(*SNAP_CTES) + f"SELECT feature, n_rows FROM ({CATALOG_SQL}) WHERE varies = 1 AND NOT starts_with(feature, 'global_')")(
+    lambda t: (lambda wide: D.feature_catalog(wide, D.feature_columns(wide, drop_noisy=True)).where("varies = 1").select("feature", "n_rows"))(S.snapshot(t.log, t.quarters)))
 
 # --- sequences ------------------------------------------------------------------------------
 
@@ -333,13 +326,13 @@ def panel_sql(days: int, extra: str = "") -> str:
 
 
 PANEL_KEYS = ("anchor_date", "user_id", "day")
-query("dense_daily_panel", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + panel_sql(30))(lambda t: Q.dense_daily_panel(t.clicks, t.event_anchors, days=30))
-query("observed_flag", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + f""", p AS ({panel_sql(30)}) SELECT anchor_date, user_id, day, day_index,
+query("dense_daily_panel", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + panel_sql(180))(lambda t: Q.dense_daily_panel(t.clicks, t.event_anchors, days=180))
+query("observed_flag", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + f""", p AS ({panel_sql(180)}) SELECT anchor_date, user_id, day, day_index,
  {', '.join(f"CASE WHEN day >= DATE '2024-01-01' THEN {c} ELSE 0 END AS {c}" for c in [*Q.PANEL_METRICS, 'is_active', 'is_purchase_day', 'sin_dow', 'cos_dow', 'normalized_position'])},
  CASE WHEN day >= DATE '2024-01-01' THEN 1 ELSE 0 END AS is_observed FROM p""")(
-    lambda t: Q.observed_flag(Q.dense_daily_panel(t.clicks, t.event_anchors, days=30), F.lit("2024-01-01").cast("date")))
-query("history_slice", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + f", p AS ({panel_sql(30)}) SELECT anchor_date, user_id, day, gmv, is_active FROM p WHERE day_index >= 23")(
-    lambda t: Q.history_slice(Q.panel_arrays(Q.dense_daily_panel(t.clicks, t.event_anchors, days=30)), 7).select(
+    lambda t: Q.observed_flag(Q.dense_daily_panel(t.clicks, t.event_anchors, days=180), F.lit("2024-01-01").cast("date")))
+query("history_slice", PANEL_KEYS, ctes(CLICKS, EVENT_CTE, HIST) + f", p AS ({panel_sql(180)}) SELECT anchor_date, user_id, day, gmv, is_active FROM p WHERE day_index >= 173")(
+    lambda t: Q.history_slice(Q.panel_arrays(Q.dense_daily_panel(t.clicks, t.event_anchors, days=180)), 7).select(
         "anchor_date", "user_id", F.inline("days")).select("anchor_date", "user_id", "day", "gmv", "is_active"))
 
 

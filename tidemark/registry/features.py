@@ -13,7 +13,7 @@ from tidemark.operators import index as I
 from tidemark.operators import labels as L
 from tidemark.operators import windows as W
 from tidemark.registry.base import (
-    CLICKS, CV, EVENT_CTE, HIST, LAST_CTE, LOG, PANEL_CTE, PER_USER, QUARTER_CTE, QUARTERS, clip_sql, ctes, flag_sql, n,
+    CLICKS, CV, EVENT_CTE, HIST, LOG, PANEL_CTE, PER_USER, QUARTER_CTE, QUARTERS, clip_sql, ctes, flag_sql, n,
     query, s, since, span,
 )
 from tidemark.sources import activity, sinks

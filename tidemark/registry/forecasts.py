@@ -123,7 +123,7 @@ def _(t):
 
 @query("buy_classifier_oof", MODEL_KEYS)
 def _(t):
-    return G.classifier_oof(cut_lineage(z_frame(t)), QUARTERS[-2:], INPUTS)
+    return G.classifier_oof(cut_lineage(z_frame(t)), QUARTERS[-4:], INPUTS)
 
 
 @query("hurdle", MODEL_KEYS)
@@ -224,12 +224,12 @@ def naive_model(train, valid):
 
 @query("cross_validation_run", ("fold", "model", "anchor_date", "user_id"))
 def _(t):
-    return R.cross_validation_run(t.log, QUARTERS[-2:], fold_inputs, {"direct": direct_model, "naive": naive_model})
+    return R.cross_validation_run(t.log, QUARTERS[-4:], fold_inputs, {"direct": direct_model, "naive": naive_model})
 
 
 @query("cross_validation_summary", ("model",))
 def _(t):
-    return R.run_summary(R.cross_validation_run(t.log, QUARTERS[-2:], fold_inputs, {"direct": direct_model, "naive": naive_model}))
+    return R.run_summary(R.cross_validation_run(t.log, QUARTERS[-4:], fold_inputs, {"direct": direct_model, "naive": naive_model}))
 
 
 def specialist_bank(train, valid):
@@ -248,7 +248,7 @@ def _(t):
 
 @query("walk_forward_stack", MODEL_KEYS)
 def _(t):
-    return R.walk_forward_stack(z_frame(t).where(f"anchor_date >= '{QUARTERS[-3]}'"), QUARTERS[-3:], ["p", "p2"], AMOUNT)
+    return R.walk_forward_stack(z_frame(t), QUARTERS, ["p", "p2"], AMOUNT)
 
 
 @query("promotion_gate", ())

@@ -14,7 +14,7 @@ from tidemark.operators.history import aggregate, fill, history, target_window
 from tidemark.operators.index import user_id_index
 from tidemark.operators.labels import transition_state
 from tidemark.registry.base import (
-    CLICKS, CV, HIST, LAST_CTE, LOG, PER_USER, QUARTER_CTE, ctes, flag_sql, n, query, s, since, span,
+    CLICKS, CV, HIST, LOG, PER_USER, QUARTER_CTE, ctes, flag_sql, n, query, s, since, span,
 )
 from tidemark.registry.features import PLATFORM_SQL, TEMPLATE_SQL, template
 

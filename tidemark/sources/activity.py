@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,31 @@ def read_activity_log(spark: SparkSession, path: str, schema: T.StructType = LOG
     return normalise_log(spark.read.parquet(path), schema)
 
 
+# Why a row of a raw log is no row of the log, in the order of the checks.
+REASONS = ("no user", "no date", "not a number", "negative", "duplicate user and day")
+
+
+def checked_log(raw: DataFrame, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
+    """Typed rows with ``reject_reason``, null for those that belong to the log; see ``REASONS``.
+
+    Users, dates (text, timestamps) and numbers are read with ``try_cast``, a missing number is 0. All rows of a user and day that occurs more than
+    once are rejected, as nothing says which one is right (``daily_rollup`` adds them up instead). Keys are
+    counted with map-side combine, and only keys that occur twice are joined back. A column that is absent fails.
+    """
+    require_columns(raw, schema.names)
+    keys, numbers = schema.names[:2], schema.names[2:]
+    typed = {f.name: F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") for f in schema}
+    broken = lambda c: F.col(c).isNotNull() & (typed[c].isNull() | F.isnan(typed[c].cast("double")) | (F.abs(typed[c].cast("double")) == float("inf")))
+    either = lambda conds: reduce(lambda a, b: a | b, conds)
+    user, day, number, below, twice = REASONS
+    reason = (F.when(typed[keys[0]].isNull(), user).when(typed[keys[1]].isNull(), day).when(either([broken(c) for c in numbers]), number)
+              .when(either([F.coalesce(typed[c] < 0, F.lit(False)) for c in numbers]), below))
+    rows = raw.select(*[typed[c].alias(c) for c in keys], *[F.coalesce(typed[c], F.lit(0)).cast(schema[c].dataType).alias(c) for c in numbers], reason.alias("reject_reason"),
+                      F.when(reason.isNull(), F.lit(0)).otherwise(F.xxhash64(*schema.names)).alias("_spread"))  # rows without a key do not meet in one task
+    again = rows.where("reject_reason IS NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(0).cast("long").alias("_spread"), F.lit(twice).alias("_twice"))
+    return rows.join(again, [*keys, "_spread"], "left").select(*schema.names, F.coalesce("reject_reason", "_twice").alias("reject_reason"))
+
+
 def read_users(log: DataFrame) -> DataFrame:
     """The distinct users; only the key column reaches the scan."""
     return log.select("user_id").distinct()
