@@ -1,13 +1,14 @@
 """Finds benchmark passages in documents: latent semantic retrieval, then word-level checks.
 
-1. Document frequencies of hashed terms over all documents give idf weights; they are smoothed, so that
+1. Document frequencies of the benchmark's hashed terms over all documents give idf weights; they are smoothed, so that
    a term of all documents still has weight 1 and a passage that leaked everywhere is searched.
 2. Benchmark texts are cut into passages; a distributed randomised SVD (subspace iteration on a Gaussian
    sketch, the sums over passages made in the tasks) of their TF-IDF rows gives a latent vector
    for each term.
 3. Every text is read once, as overlapping windows of words a little longer than the passages they are held
    against; window and passage vectors whose cosine and projection are high are candidates.
-4. The longest common subsequence of words decides: most of the passage in order, or at least half of it
+4. Candidates that have less than half of a passage's words in any order are out, as no subsequence is longer.
+   For the rest the longest common subsequence of words decides: most of the passage in order, or at least half of it
    with its answer (the last quarter), as paraphrases have.
 """
 
@@ -32,6 +33,8 @@ COSINE = 0.45
 PROJECTION = 0.35  # of a passage's own length
 WHOLE, HALF, ANSWER = 0.75, 0.5, 0.75  # shares in order: of the passage alone; of the passage and of its answer
 GROUP = 4096  # passages compared with a slice of text at once
+WINDOWS = 1 << 14  # windows whose words are counted at once
+MARKS = 1 << 24  # texts times terms that are marked in a table; more are sorted
 
 
 def read_words(flat: Flat) -> tuple[Words, np.ndarray]:
@@ -39,24 +42,33 @@ def read_words(flat: Flat) -> tuple[Words, np.ndarray]:
     return found, (found.hash >> np.uint64(48)).astype(np.int64)
 
 
-def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, documents that hold it) of a task's texts; bucket -1 counts the documents."""
-    df, n = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for part in slices(batch.column(0)):
-            found, bucket = read_words(part)
-            df += np.bincount(np.unique(found.text * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
-            n += len(part)
-    used = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], n))], ["bucket", "n"])
-
-
-def idf_of(docs: DataFrame) -> np.ndarray:
-    """Smoothed idf by bucket, 1 at least; its size is fixed, whatever the corpus."""
-    rows = docs.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df, total = np.zeros(BUCKETS), int(rows.loc[rows["bucket"] < 0, "n"].sum())
-    own = rows[rows["bucket"] >= 0]
-    df[own["bucket"]] = own["n"]
+def frequencies(place: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In how many texts of a task each term with a ``place`` of 0 or more stands; the row -1 counts the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, n = int(place.max()) + 1, 0
+        df = np.zeros(m, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                found, bucket = read_words(part)
+                column = place[bucket]
+                text, column = found.text[column >= 0], column[column >= 0]
+                if len(part) * m <= MARKS:
+                    seen = np.zeros((len(part), m), bool)
+                    seen[text, column] = True
+                    df += seen.sum(axis=0)
+                else:
+                    df += np.bincount(np.unique(text * m + column) % m, minlength=m)
+                n += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(m), -1)), pa.array(np.append(df, n))], ["term", "n"])
+    return run
+
+
+def idf_of(docs: DataFrame, place: np.ndarray) -> np.ndarray:
+    """Smoothed idf, 1 at least, of the benchmark's terms; ``place`` numbers the buckets among them from 0."""
+    rows = docs.select("text").mapInArrow(frequencies(place), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df, total = np.zeros(int(place.max()) + 1), int(rows.loc[rows["term"] < 0, "n"].sum())
+    own = rows[rows["term"] >= 0]
+    df[own["term"]] = own["n"]
     return 1 + np.log((total + 1) / (df + 1))
 
 
@@ -152,8 +164,20 @@ def leaks(passage: list[int], window: list[int]) -> bool:
     return int(subsequence(answer, window)[-1]) >= ANSWER * len(answer)
 
 
-def scanner(shared: Callable, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches with the text in the last column to their first ``kept`` columns and the items found."""
+def common_words(windows: np.ndarray, own: np.ndarray, count: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """How many words of a passage (numbers ``own``, ``count`` times each) every row of ``windows`` has, in any order.
+
+    Counted with multiplicity, so no common subsequence is longer. ``lookup`` is zero for every number and left so.
+    """
+    lookup[own] = np.arange(1, len(own) + 1)
+    place = lookup[windows] + np.arange(len(windows))[:, None] * (len(own) + 1)
+    lookup[own] = 0
+    seen = np.bincount(place.ravel(), minlength=len(windows) * (len(own) + 1)).reshape(len(windows), -1)
+    return np.minimum(seen[:, 1:], count).sum(axis=1)
+
+
+def scanner(shared: Callable, column: int, kept: int, name: str = "items") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches, whose column number ``column`` is the text, to their first ``kept`` columns and the items found."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term, vectors, items, passages = shared.value  # term: bucket to row of vectors, 0 for no weight
         passages = [np.frombuffer(p, np.uint64) for p in passages]
@@ -161,65 +185,88 @@ def scanner(shared: Callable, kept: int) -> Callable[[Iterator[pa.RecordBatch]],
         length = np.linalg.norm(vector, axis=1)
         blocks = np.array([-(-len(p) // BLOCK) + 1 for p in passages])
         plain = [p.tolist() for p in passages]
+        vocabulary = np.unique(np.concatenate(passages))
+        numbered = [np.unique(np.searchsorted(vocabulary, p) + 1, return_counts=True) for p in passages]
+        lookup = np.zeros(len(vocabulary) + 1, np.int64)
+        # the vocabulary is in order of the hashes, so the words of a bucket, which is a hash's start, stand together
+        lowest = np.searchsorted(vocabulary >> np.uint64(48), np.arange(BUCKETS, dtype=np.uint64))
+        most = int(np.bincount((vocabulary >> np.uint64(48)).astype(np.int64)).max())
         for batch in batches:
             found_items: list[list[int]] = []
-            for part in slices(batch.column(batch.num_columns - 1)):
+            for part in slices(batch.column(column)):
                 found, bucket = read_words(part)
                 count = np.bincount(found.text, minlength=len(part))
                 first = np.cumsum(count) - count
                 n_blocks = -(-count // BLOCK)
                 first_block = np.cumsum(n_blocks) - n_blocks
-                row = term[bucket]
-                heavy = np.flatnonzero(row)
-                at = first_block[found.text[heavy]] + (heavy - first[found.text[heavy]]) // BLOCK
-                sums = np.zeros((int(n_blocks.sum()) + 1, vectors.shape[1]), np.float32)
-                if len(heavy):
-                    starts = np.flatnonzero(np.diff(at, prepend=-1))
-                    sums[at[starts] + 1] = np.add.reduceat(vectors[row[heavy]], starts, axis=0)
-                sums = np.cumsum(sums, axis=0, dtype=np.float64)
+                number = np.zeros(len(found.hash), np.int64)  # in the benchmark's vocabulary, from 1
+                for i in range(most):
+                    entry = np.minimum(lowest[bucket] + i, len(vocabulary) - 1)
+                    number = np.where(vocabulary[entry] == found.hash, entry + 1, number)
                 text_of = np.repeat(np.arange(len(part)), n_blocks)
-                last = (first_block + n_blocks)[text_of]
+                at = (first_block[found.text] * BLOCK + np.arange(len(number)) - first[found.text]) if len(number) else np.zeros(0, np.int64)
+                slots = np.zeros(len(text_of) * BLOCK, np.int64)  # words of each block, none beyond a text's end
+                slots[at] = term[bucket]
+                slots = slots.reshape(-1, BLOCK)
+                sums = vectors[slots[:, 0]]
+                for i in range(1, BLOCK):
+                    sums += vectors[slots[:, i]]
+                after = (first_block + n_blocks)[text_of] - np.arange(len(text_of))  # blocks from here to the text's end
                 hits: list[set[int]] = [set() for _ in range(len(part))]
-                start = np.arange(len(text_of))
+                around, width = sums.copy(), 1
                 for size in np.unique(blocks):
+                    for width in range(width, size):  # a window grows by the block behind it, if that is of the same text
+                        ended = np.flatnonzero(after[:-width] <= width)
+                        held = around[ended]
+                        around[:-width] += sums[width:]
+                        around[ended] = held
+                    width = size
                     group = np.flatnonzero((blocks == size) & (length > 0))
-                    window = (sums[np.minimum(start + size, last)] - sums[start]).astype(np.float32)
-                    norm = np.linalg.norm(window, axis=1)
+                    norm = np.sqrt(np.einsum("ij,ij->i", around, around))
                     full = np.flatnonzero(norm > PROJECTION * length[group].min(initial=np.inf))
                     for own in np.array_split(group, -(-len(group) // GROUP) or 1):
-                        dot = window[full] @ vector[own].T
+                        dot = around[full] @ vector[own].T
                         good = (dot >= COSINE * norm[full][:, None] * length[own]) & (dot >= PROJECTION * length[own] ** 2)
-                        for b, k in zip(*np.nonzero(good)):
-                            block, p = full[b], own[k]
+                        b, k = np.nonzero(good)
+                        by_passage = np.argsort(k, kind="stable")
+                        b, k = b[by_passage], k[by_passage]
+                        bounds = [*np.flatnonzero(np.diff(k, prepend=-1)), len(k)]
+                        for i, j in zip(bounds, bounds[1:]):
+                            p, block = own[k[i]], full[b[i:j]]
                             text = text_of[block]
-                            if items[p] not in hits[text]:
-                                a = first[text] + (block - first_block[text]) * BLOCK
-                                z = min(first[text] + count[text], a + (size + 1) * BLOCK)
-                                if leaks(plain[p], found.hash[max(first[text], a - BLOCK): z].tolist()):
-                                    hits[text].add(items[p])
+                            at = first[text] + (block - first_block[text]) * BLOCK
+                            low, high = np.maximum(first[text], at - BLOCK), np.minimum(first[text] + count[text], at + (size + 1) * BLOCK)
+                            for c in range(0, len(text), WINDOWS):
+                                place = low[c:c + WINDOWS, None] + np.arange((size + 2) * BLOCK)
+                                inside = place < high[c:c + WINDOWS, None]
+                                window = np.where(inside, number[np.minimum(place, len(number) - 1)], 0)
+                                for q in c + np.flatnonzero(common_words(window, *numbered[p], lookup) >= HALF * len(plain[p])):
+                                    if items[p] not in hits[text[q]] and leaks(plain[p], found.hash[low[q]: high[q]].tolist()):
+                                        hits[text[q]].add(items[p])
                 found_items += [sorted(h) for h in hits]
             columns = [*batch.columns[:kept], pa.array(found_items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], "_items"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], name])
     return run
 
 
-def with_items(docs: DataFrame, benchmark: DataFrame, kept: list[str]) -> DataFrame:
-    """Columns ``kept`` of ``docs`` and ``_items``; rows stay where they are, no text is shuffled."""
+def with_items(docs: DataFrame, benchmark: DataFrame, kept: list[str], name: str = "_items") -> DataFrame:
+    """Columns ``kept`` of ``docs`` and the items found as a new column ``name``; rows stay where they are, no text is shuffled."""
     out = docs.select(*kept)
     passages = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id long, words binary").distinct()
     held = passages.orderBy("item_id", "words").toPandas()  # the benchmark, not the corpus
     if not len(held):
-        return out.withColumn("_items", F.array().cast("array<long>"))
-    idf = idf_of(docs)
+        return out.withColumn(name, F.array().cast("array<long>"))
     bucket = np.unique(np.concatenate([np.frombuffer(w, np.uint64) >> np.uint64(48) for w in held["words"]]).astype(np.int64))
     place = np.full(BUCKETS, -1, np.int32)
     place[bucket] = np.arange(len(bucket))
-    weighted = latent_terms(passages, place, idf[bucket].astype(np.float32)) * idf[bucket][:, None].astype(np.float32)
+    idf = idf_of(docs, place).astype(np.float32)
+    weighted = latent_terms(passages, place, idf) * idf[:, None]
     term = place + 1
     vectors = np.concatenate([np.zeros((1, weighted.shape[1]), np.float32), weighted])
     shared = docs.sparkSession.sparkContext.broadcast((term, vectors, held["item_id"].tolist(), held["words"].tolist()))
-    schema = StructType([*out.schema.fields, StructField("_items", ArrayType(LongType()))])
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(scanner(shared, len(kept)), schema)
+    schema = StructType([*out.schema.fields, StructField(name, ArrayType(LongType()))])
+    rows = out if "text" in kept else docs.select(*kept, "text")
+    return rows.mapInArrow(scanner(shared, rows.columns.index("text"), len(kept), name), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
