@@ -1,8 +1,11 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tests.llm.conftest import awkward
-from tidemark.llm.sharding import balanced_shards
+from tidemark.llm.sharding import balanced_shards, granted
 
 
 def check(rows, got, shards):
@@ -47,3 +50,48 @@ def test_awkward_and_few_rows(make_docs):
     check(rows, balanced_shards(make_docs(rows), 4).collect(), 4)
     check(rows, balanced_shards(make_docs(rows), 40).collect(), 40)
     assert balanced_shards(make_docs([]), 4).collect() == []
+
+
+def test_pairs_without_ballast_come_together(make_docs):
+    """All rows are linked and no shard has room: documents change places along cycles of shards."""
+    rows = [(i, f"pair {i // 2}") for i in range(4000)]
+    got = balanced_shards(make_docs(rows), 40).collect()
+    check(rows, got, 40)
+    shard = {r.doc_id: r.shard for r in got}
+    assert sum(shard[2 * k] == shard[2 * k + 1] for k in range(2000)) >= 0.95 * 2000
+
+
+def test_cut_links_against_the_optimum(make_docs):
+    """Groups that fit shards exactly could all be whole; nearly all links are inside shards."""
+    rows = [(i, f"group {i // 25}") for i in range(2000)]
+    got = balanced_shards(make_docs(rows), 20).collect()
+    check(rows, got, 20)
+    inside = Counter((r.doc_id // 25, r.shard) for r in got)
+    best = 80 * 25 * 24 // 2
+    assert sum(n * (n - 1) // 2 for n in inside.values()) >= 0.65 * best  # a twentieth by chance
+
+
+def test_repeated_rows_are_dealt_one_by_one(make_docs):
+    rows = [(1, "same")] * 400 + [(i, f"own {i}") for i in range(2, 402)]
+    got = balanced_shards(make_docs(rows), 8).collect()
+    check(rows, got, 8)
+    assert sum(n == 100 for n in Counter(r.shard for r in got if r.doc_id == 1).values()) >= 3
+
+
+def test_quotas_keep_loads_below_capacity():
+    r = random.Random(7)
+    for n in (2, 5, 12):
+        for _ in range(20):
+            wishes = [[0 if i == j else r.choice([0, 0, 1, 5, 30]) for j in range(n)] for i in range(n)]
+            room = [r.choice([0, 0, 3]) for _ in range(n)]
+            found = granted(wishes, room)
+            for j in range(n):
+                came, went = sum(found[i][j] for i in range(n)), sum(found[j])
+                assert came - went <= room[j] and all(0 <= found[i][j] <= wishes[i][j] for i in range(n))
+    assert granted([[0, 3, 0], [0, 0, 3], [2, 0, 0]], [0, 0, 0]) == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+    assert granted([[0, 0], [4, 0]], [3, 0]) == [[0, 0], [3, 0]]
+
+
+def test_rounds_that_do_not_settle_fail(make_docs):
+    with pytest.raises(RuntimeError, match="not settled after 1 rounds"):
+        balanced_shards(make_docs([(i, f"pair {i // 2}") for i in range(400)]), 8, rounds=1).collect()
