@@ -130,7 +130,7 @@ def test_anchors_prune_a_log_partitioned_by_date(orders_log, spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    assert "<= Subquery" in filters and "> Subquery" in filters
+    assert "<= Subquery" in filters and ">= Subquery" in filters
     assert "NestedLoop" not in plan
 
 

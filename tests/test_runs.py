@@ -57,27 +57,22 @@ def test_column_summaries(spark):
 
 # --- plans ----------------------------------------------------------------------------------
 
-def scans_and_shuffles(df, spark):
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    spark_reads = plan.count("FileScan") + plan.count("Scan parquet")
-    return spark_reads, plan.count("REPARTITION_BY_NUM") - plan.count("ReusedExchange"), plan
-
-
 def test_one_log_scan_and_one_shuffle_by_user(orders_log, spark, tmp_path):
     orders_log.write.parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     users = log.select("user_id").distinct()
     users.write.parquet(str(tmp_path / "users"))
     users, anchors = spark.read.parquet(str(tmp_path / "users")), A.anchor_table(spark, ["2000-01-01", "2000-04-01", "2000-07-01"])
-    for build in (lambda: W.window_activity(log, anchors), lambda: C.cadence_features(log, anchors), lambda: C.lifecycle_features(log, anchors), lambda: C.last_year_exact(log, anchors),
-                  lambda: C.last_year_calendar(log, anchors), lambda: C.personal_propensity(log, anchors)):
-        df = build()
+    for build, shared in ((W.window_activity, 1), (C.cadence_features, 1), (C.last_year_exact, 0), (lambda log, days, index: C.personal_propensity(log, days, users=index), 0)):
+        df = build(log, anchors, users)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-        written = [x for x in plan.split("\n") if "REPARTITION_BY_NUM" in x and "Reused" not in x and "Exchange hashpartitioning(user_id" in x]
-        assert len(written) == 1, plan
-        assert "hashpartitioning(anchor_date" not in plan and "hashpartitioning(user_id" in plan
+        final = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0].split("\n")
+        # plans of scalar subqueries stand further right than the tree they are in, and have initial plans of their own
+        shuffles = [x for x in final if "Exchange hashpartitioning(user_id" in x and "REPARTITION_BY_NUM" in x and "Reused" not in x]
+        reused = [x for x in final if "ReusedExchange" in x and "REPARTITION_BY_NUM" in x]
+        scans = [x for x in final if "FileScan" in x and "event_date" in x.split("Batched")[0] and "user_id" in x.split("Batched")[0]]
+        assert len(shuffles) == 1 and len(reused) == shared and len(scans) == 1, "\n".join(final)
+        assert not any("hashpartitioning(anchor_date" in x and "user_id" in x for x in final)
 
 
 def test_last_year_windows_bound_the_scan(orders_log, spark, tmp_path):
@@ -158,3 +153,20 @@ def test_gate_report_adds_up(panel):
     p = off.p_react.clip(1e-6, 1 - 1e-6)
     assert out.loc[("part", "react"), "before"] == pytest.approx(-np.where(off.will_buy == 1, np.log(p), np.log(1 - p)).mean())
     assert out.loc[("part", "churn"), "delta"] == 0 and out.loc[("part", "amount"), "n"] == b.will_buy.sum()
+
+
+def test_store_columns_and_their_order(orders_log, spark, tmp_path):
+    anchors = A.anchor_table(spark, ["2000-01-01", "2000-04-01"])
+    users = orders_log.select("user_id").distinct().limit(30)
+    store = S.feature_store(orders_log, anchors, users)
+    order = [c for c in store.columns if c not in ("anchor_date", "user_id") and c in D.feature_columns(S.snapshot(orders_log, anchors, users, with_target=False))]
+    assert S.feature_store(orders_log, anchors, users, order=order).columns == store.columns
+    with pytest.raises(ValueError, match="order differs"):
+        S.feature_store(orders_log, anchors, users, order=order[::-1])
+    root, rest = str(tmp_path / "store"), [c for c in store.columns if c != "anchor_date"]
+    narrow = store.select("anchor_date", *rest[:5])
+    narrow.where("anchor_date = '2000-01-01'").drop("anchor_date").write.parquet(f"{root}/anchor_date=2000-01-01")
+    narrow.where("anchor_date = '2000-04-01'").select(*rest[:3], rest[4], F.lit(1).alias("more")).write.parquet(f"{root}/anchor_date=2000-04-01")
+    one, two = S.check_store(spark, root, rest[:5]).collect()
+    assert (one.n_columns, one.missing, one.extra, one.same_order) == (5, [], [], 1)
+    assert (two.missing, two.extra, two.same_order) == ([rest[3]], ["more"], 0) and one.fingerprint != two.fingerprint

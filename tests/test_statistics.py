@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -28,12 +30,52 @@ def test_quantiles_match_numpy(skewed):
         assert got.loc[g].tolist() == pytest.approx(np.quantile(part.x, [.1, .5, .99]).tolist())
 
 
-def test_running_totals_read_the_counts_once(spark):
-    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    out = R.quantiles(orders, ["o_orderpriority"], "o_totalprice", {"a": .5})
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_running_totals_do_not_depend_on_the_ranges(spark, keys):
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"g": rng.integers(0, 3, 4000), "x": np.round(rng.normal(size=4000), 2)}).drop_duplicates(["g", "x"] if keys else ["x"])
+    frame["n"] = rng.integers(1, 9, len(frame))
+    counts = spark.createDataFrame(frame)
+    want = frame.sort_values("x")
+    below = (want.groupby("g").n.cumsum() if keys else want.n.cumsum()) - want.n
+    whole = want.groupby("g").n.transform("sum") if keys else want.n.sum()
+    for per_range in (50, 10_000):
+        got = R.running_totals(counts, keys, "x", ["n"], per_range).toPandas().merge(want.assign(below=below, whole=whole), on=["g", "x", "n"])
+        assert len(got) == len(frame) and (got.n_below == got.below).all() and (got.n_all == got.whole).all()
+
+
+def test_ranges_follow_the_rows(spark):
+    counts = spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    plan = R.running_totals(counts, [], "x", ["n"], 100)
+    assert plan.agg(F.max("n_below"), F.max("n_all")).first() == (2999, 3000)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString().split("Window")[1]
+
+
+def test_bootstrap_by_user_equals_brute_force(spark):
+    import hashlib
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"user_id": rng.integers(0, 60, 300), "target": np.round(rng.gamma(1, 50, 300), 2), "one": np.round(rng.gamma(1, 50, 300), 2), "two": np.round(rng.gamma(1, 50, 300), 2)})
+    got = M.paired_bootstrap(spark.createDataFrame(frame), "one", "two", repeats=50).first()
+    sle = lambda c: (np.log1p(frame[c]) - np.log1p(frame.target)) ** 2
+    a, b, n = sle("one").groupby(frame.user_id).sum(), sle("two").groupby(frame.user_id).sum(), frame.groupby("user_id").size()
+    deltas = []
+    for rep in range(50):
+        w = []
+        for user in n.index:
+            digest = hashlib.sha256(f"42|{rep // 8}|{user}".encode()).hexdigest()
+            u = int(digest[8 * (rep % 8): 8 * (rep % 8) + 8], 16) / 2 ** 32
+            k, cdf, term = 0, math.exp(-1), math.exp(-1)
+            while u >= cdf and k < 13:
+                k, term = k + 1, term / (k + 1)
+                cdf += term
+            w.append(k)
+        w = np.array(w)
+        deltas.append((w @ b - w @ a) / (w @ n))
+    assert got["mse_ci_low"] == pytest.approx(np.quantile(deltas, 0.025)) and got["mse_ci_high"] == pytest.approx(np.quantile(deltas, 0.975))
+    assert got["p_candidate_better"] == pytest.approx(np.mean(np.array(deltas) < 0))
+    few = M.paired_bootstrap(spark.createDataFrame(frame), "one", "two", repeats=50, blocks=4).first()
+    assert few["delta_mse"] == pytest.approx(got["delta_mse"]) and few["mse_ci_low"] != got["mse_ci_low"]
+    assert len(M.POISSON_STEPS) >= 11
 
 
 def test_auc_and_precision_by_brute_force(skewed):
@@ -113,9 +155,3 @@ def test_correlation_keeps_rows_with_other_nulls(spark):
     got = {(r.feature_a, r.feature_b): r.correlation for r in E.pearson_pairs(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
     frame = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
     assert got == pytest.approx({(x, y): frame.loc[x, y] for x, y in got}) and len(got) == 3
-
-
-def test_series_is_not_cut_near_one(spark):
-    from tidemark.operators.btyd import hypergeometric
-    row = spark.range(1).select(hypergeometric(*(F.lit(v) for v in (1.5, 2.5, 3.2, 0.9999))).alias("h")).first()
-    assert row.h == pytest.approx(3786.97, rel=1e-4)

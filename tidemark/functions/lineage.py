@@ -24,3 +24,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpointed rows in partitions of the advisory size, since iterative fits read them often."""
     checkpoint_folder(df.sparkSession)
     return df.hint("rebalance").checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Checkpointed rows in the partitions they are in."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

@@ -2,60 +2,48 @@
 
 Everything here works on value counts: rows are reduced to
 ``(keys, value, weights)`` first, so a value shared by a third of all rows is a
-single row afterwards. The distinct values are then cut into ranges at
-approximate quantiles, a window runs inside each range, and the totals of the
-lower ranges are added. The ranges only steer the work; the results are exact.
+single row afterwards. The counts are written once and cut into ranges of bounded size, a window runs inside
+each range, and the totals of the lower ranges are added. The ranges only steer the work; the results are exact.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from tidemark.functions.lineage import cut_lineage, written
+
+RANGE = 50_000  # distinct values that one task ranks, about
 
 
-def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+def running_totals(counts: DataFrame, keys: list[str], value: str, sums: list[str], per_range: int = RANGE) -> DataFrame:
     """Add ``<s>_below`` (sum over smaller values) and ``<s>_all`` for each of ``sums``.
 
-    ``counts`` holds one row per ``(keys, value)``. The table of cut points has
-    ``RANGES`` numbers per key group; key groups are report groups (anchors,
-    states, feature names), so it is broadcast.
+    ``counts`` holds one row per ``(keys, value)``. The number of ranges follows the number of rows, one for ``per_range`` of them;
+    Spark's range shuffle finds their borders over keys and value together. Ranges and their totals are
+    one row per range and key group, and reach no single task that grows with the data beyond that.
     """
     keys = list(keys)
-    grid = [i / RANGES for i in range(1, RANGES)]
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    names = [f"_k{i}" for i in range(len(keys))]
-    renamed = [F.col(k).alias(n) for k, n in zip(keys, names)]
-    same_group = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    cuts = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(g) for g in grid]))).alias("_cuts"),
-        *[F.sum(s).alias(f"{s}_all") for s in sums],
-    ).select(*renamed, "_cuts", *[f"{s}_all" for s in sums])
-    # every branch below reads the same columns of ``ranged``, so its shuffle is run once and reused
-    ranged = (
-        counts.join(F.broadcast(cuts), same_group, "left")
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts", *names)
-    )
-    per_range = ranged.groupBy(*keys, "_range").agg(
-        *[F.sum(s).alias(s) for s in sums], *[F.max(f"{s}_all").alias(f"{s}_all") for s in sums]
-    )
-    lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    from_here = per_range.select(
-        *renamed, F.col("_range").alias("_r"),
-        *[(F.col(f"{s}_all") - F.coalesce(F.sum(s).over(lower), F.lit(0))).alias(f"_rest_{s}") for s in sums],
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut_lineage(counts)
+    ranges = math.ceil(counts.count() / per_range)
+    if ranges <= 1:
+        whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        lower = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("*", *[F.coalesce(F.sum(s).over(lower), F.lit(0)).alias(f"{s}_below") for s in sums], *[F.sum(s).over(whole).alias(f"{s}_all") for s in sums])
+    # written, so that every reader sees the same borders
+    ranged = written(counts.repartitionByRange(ranges, *keys, value).withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(*[F.col(f"_k{i}") for i in range(len(keys))]) if keys else Window.partitionBy(F.lit(0))
+    lower = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    before = ranged.groupBy(*names, F.col("_range").alias("_r")).agg(*[F.sum(s).alias(s) for s in sums]).select(
+        *[f"_k{i}" for i in range(len(keys))], "_r", *[F.coalesce(F.sum(s).over(lower), F.lit(0)).alias(f"_before_{s}") for s in sums], *[F.sum(s).over(group).alias(f"{s}_all") for s in sums])
+    inside = Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums])
-    out = out.join(F.broadcast(from_here), same_group + [F.col("_range") == F.col("_r")])
-    return out.select(
-        *[c for c in counts.columns if c != "_all"],
-        *[(F.col(f"{s}_all") - F.col(f"_rest_{s}") + F.col(f"_in_{s}")).alias(f"{s}_below") for s in sums],
-        *[f"{s}_all" for s in sums],
-    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range") == F.col("_r")]
+    return out.join(before, same).select(
+        *counts.columns, *[(F.col(f"_before_{s}") + F.col(f"_in_{s}")).alias(f"{s}_below") for s in sums], *[f"{s}_all" for s in sums])
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, **weights: Column) -> DataFrame:

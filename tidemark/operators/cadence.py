@@ -153,7 +153,11 @@ def personal_propensity(log: DataFrame, anchors: DataFrame, past_anchors: DataFr
     # anchors with their windows, and with a null window for the index rows
     legal = dates.join(F.broadcast(windows), known, "left").withColumn("_n", F.count("_w").over(Window.partitionBy("anchor_date")))
     pairs = legal.where("_w IS NOT NULL").unionByName(legal.groupBy("anchor_date").agg(F.lit(None).cast("date").alias("_w"), F.first("_n").alias("_n")))
-    rows = with_index(log, log if users is None else users, ["gmv"], days_from(windows.select(F.col("_w").alias("anchor_date")), 1, horizon))
+    # the index rows meet no window but one null row, so anchors without windows have them too
+    nowhere = F.lit(None).cast("date")
+    days = days_from(windows.select(F.col("_w").alias("anchor_date")), 1, horizon).where("_day IS NOT NULL").unionByName(
+        windows.agg(nowhere.alias("anchor_date"), nowhere.alias("_day")))
+    rows = with_index(log, log if users is None else users, ["gmv"], days)
     sums = rows.groupBy("user_id", F.col("anchor_date").alias("_w")).agg(F.sum("gmv").alias("_g"), F.max("_index").alias("_index"))
     own = F.broadcast(pairs.withColumnRenamed("_w", "_window"))
     counted = sums.join(own, F.col("_w").eqNullSafe(F.col("_window"))).groupBy("user_id", "anchor_date").agg(

@@ -192,7 +192,7 @@ def column_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A task keeps one mergeable state per column (counts, range, the ``SKETCH`` smallest hashes of its values) and gives it out at its end,
     so neither the rows nor an aggregate is as wide as the table times the measures. ``n_distinct`` is exact below ``SKETCH``
-    values and an estimate (some 6 % off) from there. NaN counts as missing.
+    values and an estimate (some 6 % off) from there. NaN counts as missing, values below 1e-9 in size as zeros.
     """
     names = list(columns)
 
@@ -203,7 +203,7 @@ def column_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
             for i in range(len(names)):
                 x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
                 real = x[~np.isnan(x)] + 0.0
-                total[i] += len(x), len(x) - len(real), (real == 0).sum(), real.sum()
+                total[i] += len(x), len(x) - len(real), (np.abs(real) < 1e-9).sum(), real.sum()
                 if len(real):
                     low[i], high[i] = min(low[i], real.min()), max(high[i], real.max())
                     bits = np.unique(real).view(np.uint64)

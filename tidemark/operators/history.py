@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["anchor_date", "user_id"]
+NEVER = -(1 << 30)  # below any age
 
 
 def history(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, back: int | None = None,
@@ -62,6 +63,8 @@ def indexed(rows: DataFrame, index: DataFrame, only_index: bool = False) -> Data
     index = index.select("user_id").distinct()
     if only_index:
         rows = rows.join(index, "user_id", "left_semi")
+    # hides that both sides are hashed by user: the planner would leave out the shuffle of their union, whose partitions need not meet at run time
+    index = index.select(F.array_max(F.array("user_id")).alias("user_id"))
     return by_user(rows.withColumn("_index", F.lit(False)).unionByName(index.withColumn("_index", F.lit(True)), allowMissingColumns=True))
 
 
@@ -88,11 +91,13 @@ def aggregate(hist: DataFrame, exprs: list[Column]) -> DataFrame:
     Only users with rows in the window go through the aggregates, which may be
     hundreds of columns wide. All the others have the same values, those of the
     aggregates over nothing (null unless an expression says otherwise); a narrow
-    count finds them. Both branches read all columns of ``hist``, so that they share its scan and its shuffle.
+    count finds them.
     """
-    busy = hist.where(~F.col("_index")).groupBy(*KEYS).agg(*exprs)
-    whole = F.struct(*[c for c in hist.columns if c not in KEYS])  # never null
-    idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n"), F.bit_and(F.hash(whole)).alias("_used")).where("_n = 0 and _used is not null").select(*KEYS)
+    # a condition that always holds and needs every column after the join: both branches then read one shuffle of one scan
+    hist = hist.where(F.hash(*hist.columns) % 2 < 2)
+    # null ages are dropped in a form that cannot move below the shuffle, where it would take the index rows from one branch only
+    busy = hist.where(F.coalesce("age", F.lit(NEVER)) > NEVER).groupBy(*KEYS).agg(*exprs)
+    idle = hist.groupBy(*KEYS).agg(F.count("age").alias("_n")).where(F.col("_n") == 0).select(*KEYS)
     nothing = hist.where(F.lit(False)).agg(*exprs)
     return busy.unionByName(idle.crossJoin(F.broadcast(nothing)))
 

@@ -6,6 +6,9 @@ metrics work on counts of equal scores, see :mod:`tidemark.functions.ranking`.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,30 +182,32 @@ def weighted_delta_by_state(df: DataFrame, base: str, candidate: str, target: st
     return out.withColumn("contribution_share", F.when(F.abs(total) > 1e-12, F.col("weighted_mse_reduction") / total).otherwise(0.0))
 
 
+#: where the distribution function of Poisson(1) steps, as far as 32 bits can tell it from 1
+POISSON_STEPS = [c for c in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(20)) if c < 1 - 2.0 ** -33]
+
+
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number, by its distribution function."""
-    term, cdf, draw = 0.36787944117144233, 0.0, None
-    for k in range(9):
-        cdf += term
-        draw = F.when(u < cdf, k) if draw is None else draw.when(u < cdf, k)
-        term /= k + 1
-    return draw.otherwise(9)
+    """Poisson(1) draw from a uniform number of 32 bits, by its distribution function."""
+    return sum((F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS), F.lit(0))
 
 
-def paired_bootstrap(df: DataFrame, base: str, candidate: str, target: str = "target", repeats: int = 300, seed: int = 42) -> DataFrame:
+def paired_bootstrap(df: DataFrame, base: str, candidate: str, target: str = "target", repeats: int = 300, seed: int = 42, blocks: int | None = None) -> DataFrame:
     """Confidence interval of the MSE and RMSLE difference.
 
-    Users fall into 4096 blocks by hash, and each repeat draws a Poisson weight per
-    block, so the repeats run over the block sums and not over the rows.
+    Rows are summed per user, and each repeat draws a Poisson weight per user from a hash of the user: eight draws
+    per digest. Weighted sums combine before the shuffle, so only a row per repeat and task moves. With ``blocks`` users
+    share their weight with all others of one of so many blocks of a hash, which is coarser and cheaper.
     """
-    blocks = df.groupBy(F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 3).alias("_block")).agg(
+    user = F.col("user_id").cast("string")
+    unit = user if blocks is None else F.pmod(F.conv(F.substring(F.sha2(user, 256), 1, 12), 16, 10).cast("long"), F.lit(blocks)).cast("string")
+    units = df.groupBy(unit.alias("_unit")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(squared_log_error(base, target)).alias("a"), F.sum(squared_log_error(candidate, target)).alias("b")
     )
-    spread = blocks.select("_block", "n", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("repeat").cast("string"), F.col("_block")), 256)
-    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    w = poisson_one(u)
-    draws = spread.withColumn("w", w).groupBy("repeat").agg(
+    spread = units.select("_unit", "n", "a", "b", F.explode(F.sequence(F.lit(0), F.lit((repeats - 1) // 8))).alias("_chunk"))
+    spread = spread.withColumn("_digest", F.sha2(F.concat_ws("|", F.lit(seed), F.col("_chunk").cast("string"), F.col("_unit")), 256))
+    eight = F.inline(F.array(*[F.struct((F.col("_chunk") * 8 + j + 1).alias("repeat"), F.conv(F.substring("_digest", 8 * j + 1, 8), 16, 10).cast("double").alias("_u")) for j in range(8)]))
+    w = poisson_one(F.col("_u") / F.lit(float(1 << 32)))
+    draws = spread.select("n", "a", "b", eight).where(F.col("repeat") <= repeats).withColumn("w", w).where("w > 0").groupBy("repeat").agg(
         (F.sum(F.col("w") * F.col("a")) / F.sum(F.col("w") * F.col("n"))).alias("mse_a"),
         (F.sum(F.col("w") * F.col("b")) / F.sum(F.col("w") * F.col("n"))).alias("mse_b"),
     )
@@ -213,7 +218,7 @@ def paired_bootstrap(df: DataFrame, base: str, candidate: str, target: str = "ta
         at(delta, .025).alias("mse_ci_low"), at(delta, .975).alias("mse_ci_high"), at(dr, .025).alias("rmsle_ci_low"),
         at(dr, .5).alias("rmsle_ci_median"), at(dr, .975).alias("rmsle_ci_high"), F.avg(flag(delta < 0, "double")).alias("p_candidate_better"),
     )
-    seen = blocks.agg(
+    seen = units.agg(
         F.sum("n").alias("n"), ((F.sum("b") - F.sum("a")) / F.sum("n")).alias("delta_mse"),
         (F.sqrt(F.sum("b") / F.sum("n")) - F.sqrt(F.sum("a") / F.sum("n"))).alias("delta_rmsle"),
     )

@@ -127,9 +127,13 @@ def distribution_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return with_quantiles(out, df, keys, value, {f"p{q:02d}": q / 100 for q in (1, 10, 50, 90, 95, 99)})
 
 
-def content_fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Row count and two order-free hashes of the content."""
-    h = F.xxhash64(*columns)
+def content_fingerprint(df: DataFrame, keys: list[str], columns: list[str], portable: bool = False) -> DataFrame:
+    """Row count and two order-free hashes of the content.
+
+    ``portable`` hashes the text of the columns by SHA-256, 32 bits of it, which other engines repeat where they write numbers alike.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") if portable else F.xxhash64(*columns)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_hash"))
 
 

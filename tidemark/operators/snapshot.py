@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import flag, log_amount, sum_where
@@ -11,6 +11,7 @@ from tidemark.operators.anchors import holiday_table, target_calendar, technical
 from tidemark.operators.btyd import BgNbd, GammaGamma, btyd_features
 from tidemark.operators.history import KEYS, aggregate, fill, history, target_window
 from tidemark.operators.labels import binary_target, state_labels
+from tidemark.operators.quality import list_fingerprint
 from tidemark.operators.windows import (
     SNAPSHOT_METRICS, SPARSE_METRICS, dynamics_exprs, ewma_exprs, lifetime_exprs, platform_at_anchor, platform_daily,
     sparse_lifetime_exprs, sparse_window_exprs, window_activity_exprs, with_spike_mean,
@@ -65,14 +66,31 @@ def sparse_snapshot(log: DataFrame, anchors: DataFrame, users: DataFrame | None
 
 
 def feature_store(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, state_days: int = 90, horizon: int = 30,
-                  **options) -> DataFrame:
-    """Snapshot features with the state labels, same columns and order for every anchor."""
+                  order: list[str] | None = None, **options) -> DataFrame:
+    """Snapshot features with the state labels, same columns and order for every anchor.
+
+    ``order`` is the feature list of an earlier store, which the new one must have, in its order.
+    """
     features = snapshot(log, anchors, users, horizon=horizon, with_target=False, **options)
     names = derived.feature_columns(features)
+    if order is not None and list_fingerprint(names) != list_fingerprint(order):
+        raise ValueError(f"the store's features are not those wanted: {sorted(set(names) ^ set(order)) or 'their order differs'}")
     labels = state_labels(log, anchors, users, state_days, horizon)
     return features.select(*KEYS, *names).join(labels, KEYS)
 
 
+def check_store(spark: SparkSession, root: str, order: list[str], part: str = "anchor_date") -> DataFrame:
+    """Columns of every anchor of a written store against the wanted list: ``(anchor, n_columns, fingerprint, missing, extra, same_order)``.
+
+    Only the schemas of the anchors' folders are read, one per anchor. ``order`` has the columns beside the partition's own.
+    """
+    rows = []
+    for r in spark.read.parquet(root).select(part).distinct().orderBy(part).collect():  # a row per anchor
+        names = spark.read.parquet(f"{root.rstrip('/')}/{part}={r[0]}").columns
+        rows.append((str(r[0]), len(names), list_fingerprint(names), sorted(set(order) - set(names)), sorted(set(names) - set(order)), int(names == list(order))))
+    return spark.createDataFrame(rows, "anchor string, n_columns int, fingerprint string, missing array<string>, extra array<string>, same_order int")
+
+
 def join_feature_blocks(base: DataFrame, *blocks: DataFrame) -> DataFrame:
     """Several feature blocks of one index in a wide row; column names must not clash.
 

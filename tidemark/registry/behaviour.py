@@ -307,8 +307,8 @@ query("join_feature_blocks", sql=ctes(LOG, QUARTER_CTE, HIST, GAPS_SQL, CADENCE_
         C.personal_propensity(t.log, t.quarters), C.last_year_exact(t.log, t.quarters), B.btyd_features(t.log, t.quarters, MODEL, B.GammaGamma())))
 
 CATALOG_SQL = f"""SELECT feature, CASE {' '.join(f"WHEN regexp_matches(feature, '{rule}') THEN '{group}'" for group, rule in D.CATALOG_RULES)} ELSE 'other' END AS feature_group, count(*) AS n_rows,
- count(*) FILTER (WHERE x IS NULL) AS n_missing, count(*) FILTER (WHERE x = 0) AS n_zero, min(x) AS least, max(x) AS greatest, avg(x) AS mean, CASE WHEN min(x) < max(x) THEN 1 ELSE 0 END AS varies
- FROM (UNPIVOT INCLUDE NULLS (SELECT COLUMNS(* EXCLUDE ({', '.join(c for c in D.TECHNICAL)}, target, will_buy_30d))::DOUBLE FROM sn) ON * INTO NAME feature VALUE x) GROUP BY 1"""
+ count(*) FILTER (WHERE x IS NULL) AS n_missing, count(*) FILTER (WHERE abs(x) < 1e-9) AS n_zero, min(x) AS least, max(x) AS greatest, avg(x) AS mean, CASE WHEN min(x) < max(x) THEN 1 ELSE 0 END AS varies
+ FROM (SELECT COLUMNS(* EXCLUDE ({', '.join(D.TECHNICAL)}, target, will_buy_30d))::DOUBLE FROM sn) UNPIVOT INCLUDE NULLS (x FOR feature IN (COLUMNS(*))) GROUP BY 1"""
 query("feature_catalog", ("feature", "feature_group"), ctes(*SNAP_CTES) + CATALOG_SQL)(lambda t: D.feature_catalog(S.snapshot(t.log, t.quarters)).drop("n_distinct"))
 query("feature_columns", ("feature",), ctes(*SNAP_CTES) + f"SELECT feature, n_rows FROM ({CATALOG_SQL}) WHERE varies = 1 AND NOT starts_with(feature, 'global_')")(
     lambda t: (lambda wide: D.feature_catalog(wide, D.feature_columns(wide, drop_noisy=True)).where("varies = 1").select("feature", "n_rows"))(S.snapshot(t.log, t.quarters)))

@@ -168,7 +168,7 @@ def _(t):
 
 BROKEN = {"user_id": "CASE WHEN o_orderkey % 97 = 0 THEN 'u' || o_custkey ELSE CAST(o_custkey AS STRING) END",
           "event_date": "CASE WHEN o_orderkey % 89 = 0 THEN '2001-02-30' WHEN o_orderkey % 83 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
-          "gmv": "CASE WHEN o_orderkey % 79 = 0 THEN 'n/a' WHEN o_orderkey % 73 = 0 THEN 'NaN' WHEN o_orderkey % 71 = 0 THEN '-5' ELSE CAST(CAST(o_totalprice AS BIGINT) AS STRING) END",
+          "gmv": "CASE WHEN o_orderkey % 79 = 0 THEN 'n/a' WHEN o_orderkey % 73 = 0 THEN 'NaN' WHEN o_orderkey % 71 = 0 THEN '-5' ELSE CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) END",
           "to_ord": "CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE '1' END"}
 ZEROS = ["searches", "cat", "to_cart", "search_to_cart", "cat_to_cart", "search_to_ord", "cat_to_ord", "gmv_search", "gmv_cat"]
 DUCK = {c: x.replace("STRING", "VARCHAR") for c, x in BROKEN.items()}

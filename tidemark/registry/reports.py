@@ -90,6 +90,9 @@ STATS = """count(*) AS n, avg(prediction) AS mean, stddev_pop(prediction) AS std
     f"quantile_cont(prediction, {q / 100}) AS p{q:02d}" for q in (1, 10, 50, 90, 95, 99))
 query("distribution_stats", ("was_active",), SC + f"SELECT was_active, {STATS} FROM sc GROUP BY 1")(lambda t: V.distribution_stats(scored(t), ["was_active"], "prediction"))
 query("content_fingerprint", ("anchor_date", "xor_hash", "sum_hash"))(lambda t: V.content_fingerprint(scored(t), T, ["user_id", "target"]))
+query("content_fingerprint_portable", A, SC + """, f AS (SELECT anchor_date, CAST('0x' || substr(sha256(user_id || '|' || CAST(to_ord_sum_90d AS BIGINT)), 1, 8) AS BIGINT) AS h FROM sc)
+ SELECT anchor_date, count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h % 2147483648)::BIGINT AS sum_hash FROM f GROUP BY 1""")(
+    lambda t: V.content_fingerprint(scored(t).withColumn("n", F.col("to_ord_sum_90d").cast("long")), T, ["user_id", "n"], portable=True))
 query("leakage_scan", ("feature",), SC + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, corr({c}, will_buy) AS correlation, CASE WHEN abs(corr({c}, will_buy)) > 0.99 THEN 1 ELSE 0 END AS suspicious FROM sc" for c in [*FEATURES, "z_target", "will_buy"]))(
     lambda t: V.leakage_scan(scored(t), [*FEATURES, "z_target", "will_buy"]))
@@ -226,18 +229,9 @@ query("weighted_delta_by_state", ("transition_state",), SC + """SELECT *, weight
     lambda t: M.weighted_delta_by_state(scored(t), "prediction2", "prediction"))
 
 
-def poisson_sql(u: str) -> str:
-    term, cdf, out = 0.36787944117144233, 0.0, "CASE"
-    for k in range(9):
-        cdf += term
-        out += f" WHEN {u} < {cdf!r} THEN {k}"
-        term /= k + 1
-    return out + " ELSE 9 END"
-
-
-query("paired_bootstrap", (), SC + f""", b AS (SELECT substr(sha256(CAST(user_id AS VARCHAR)), 1, 3) AS block, count(*) AS n, sum(sle2) AS a, sum(sle) AS b FROM sc GROUP BY 1),
- d AS (SELECT rep, sum(w * a) / sum(w * n) AS ma, sum(w * b) / sum(w * n) AS mb FROM (SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, CAST(CAST('0x' || substr(sha256('42|' || rep || '|' || block), 1, 12) AS UBIGINT) AS DOUBLE) / {16 ** 12} AS u
-  FROM b, range(1, 301) AS r(rep))) GROUP BY 1)
+U = "CAST(CAST('0x' || substr(sha256('42|' || ((rep - 1) // 8) || '|' || user_id), 8 * ((rep - 1) % 8) + 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296"
+query("paired_bootstrap", (), SC + f""", b AS (SELECT user_id, count(*) AS n, sum(sle2) AS a, sum(sle) AS b FROM sc GROUP BY 1),
+ d AS (SELECT rep, sum(w * a) / sum(w * n) AS ma, sum(w * b) / sum(w * n) AS mb FROM (SELECT *, {' + '.join(f'CASE WHEN u >= {c!r} THEN 1 ELSE 0 END' for c in M.POISSON_STEPS)} AS w FROM (SELECT *, {U} AS u FROM b, range(1, 301) AS r(rep))) GROUP BY 1)
  SELECT * FROM (SELECT sum(n) AS n, (sum(b) - sum(a)) / sum(n) AS delta_mse, sqrt(sum(b) / sum(n)) - sqrt(sum(a) / sum(n)) AS delta_rmsle FROM b),
  (SELECT quantile_cont(mb - ma, .025) AS mse_ci_low, quantile_cont(mb - ma, .975) AS mse_ci_high, quantile_cont(sqrt(mb) - sqrt(ma), .025) AS rmsle_ci_low, quantile_cont(sqrt(mb) - sqrt(ma), .5) AS rmsle_ci_median,
   quantile_cont(sqrt(mb) - sqrt(ma), .975) AS rmsle_ci_high, avg(CASE WHEN mb < ma THEN 1 ELSE 0 END) AS p_candidate_better FROM d)""")(
@@ -275,3 +269,36 @@ query("count_errors", (), SC + f"SELECT avg(abs(p2 - will_buy)) AS mae, sqrt(avg
 query("amount_errors", (), SC + """, f AS (SELECT regr_slope(z_target, ln(1 + prediction)) AS k, regr_intercept(z_target, ln(1 + prediction)) AS b FROM sc WHERE anchor_date < DATE '2001-01-01')
  SELECT sqrt(avg(sle)) AS raw_rmsle, sqrt(avg(pow(greatest(k * ln(1 + prediction) + b, 0) - z_target, 2))) AS calibrated_rmsle, max(k) AS scale, max(b) AS intercept FROM sc, f WHERE anchor_date >= DATE '2001-01-01'""")(
     lambda t: (lambda d: M.amount_errors(d.where("anchor_date < '2001-01-01'"), d.where("anchor_date >= '2001-01-01'"), "prediction"))(scored(t)))
+
+# --- checks on rows with faults -------------------------------------------------------------
+
+def hurt(df, faults, twice: int):
+    """``df`` with columns changed for some users, and every ``twice``-th user's rows once more."""
+    for column, divisor, rest, value in faults:
+        df = df.withColumn(column, F.when(F.col("user_id") % divisor == rest, value).otherwise(F.col(column)))
+    return df.unionByName(df.where(F.col("user_id") % twice == 0))
+
+
+of = lambda divisor, rest: f"count(DISTINCT user_id) FILTER (WHERE user_id % {divisor} = {rest})"
+query("check_bank_faults", A, SC + f"""SELECT anchor_date, count(DISTINCT user_id) AS n_users, {of(50, 0)} AS duplicate_users, count(DISTINCT user_id) FILTER (WHERE user_id % 40 = 1 OR user_id % 41 = 1) AS not_finite,
+ {of(30, 2)} AS negative_targets FROM sc GROUP BY 1""")(
+    lambda t: V.check_bank(hurt(scored(t), [("p", 40, 1, F.lit(float("nan"))), ("prediction", 41, 1, F.lit(None).cast("double")), ("target", 30, 2, F.lit(-1.0))], 50), ["p", "prediction"], "target"))
+query("check_snapshot_faults", A, ctes(LOG, CV) + f"""SELECT anchor_date, count(DISTINCT user_id) AS n_users, (SELECT count(*) FROM customer) - count(DISTINCT user_id) AS missing_users, {of(25, 0)} AS duplicate_users,
+ {of(20, 3)} AS history_after_anchor, count(DISTINCT user_id) FILTER (WHERE user_id % 17 = 5 OR user_id % 19 = 5) AS wrong_target_bounds, {of(13, 4)} AS wrong_target_nulls FROM a, (SELECT DISTINCT user_id FROM log) GROUP BY 1""")(
+    lambda t: V.check_snapshot(hurt(S.technical_columns(W.aggregate(history(t.log, t.cv, back=30, ahead=30, columns=["gmv"]), [sum_where(target_window(30), "gmv").alias("target")])), [
+        ("history_end", 20, 3, F.date_add("anchor_date", 1)), ("target_start", 17, 5, F.col("anchor_date")), ("target_end", 19, 5, F.date_add("anchor_date", 31)),
+        ("target", 13, 4, F.lit(None).cast("double"))], 25), t.read("customer").agg(F.count(F.lit(1))).scalar()))
+query("check_submission_faults", (), ctes(LOG) + """, tpl AS (SELECT DISTINCT user_id FROM log), sub AS (SELECT user_id + CASE WHEN user_id % 29 = 0 THEN 1000000 ELSE 0 END AS user_id, user_id AS own FROM tpl WHERE user_id % 31 <> 0)
+ SELECT count(*) + count(*) FILTER (WHERE own % 23 = 0) AS n_rows, (SELECT count(*) FROM tpl) - count(*) FILTER (WHERE own % 29 <> 0) AS missing_users, count(*) FILTER (WHERE own % 29 = 0) AS extra_users,
+ count(*) FILTER (WHERE own % 23 = 0) AS duplicate_users, count(*) FILTER (WHERE own % 37 = 0) + count(*) FILTER (WHERE own % 37 = 0 AND own % 23 = 0) AS not_finite,
+ count(*) FILTER (WHERE own % 43 = 0 AND own % 37 <> 0) + count(*) FILTER (WHERE own % 43 = 0 AND own % 37 <> 0 AND own % 23 = 0) AS negative FROM sub""")(
+    lambda t: V.check_submission(hurt(t.users.withColumn("predict", F.lit(1.0)).where("user_id % 31 <> 0"), [("predict", 43, 0, F.lit(-1.0)), ("predict", 37, 0, F.lit(float("inf")))], 23).withColumn(
+        "user_id", F.when(F.col("user_id") % 29 == 0, F.col("user_id") + 1_000_000).otherwise(F.col("user_id"))), template(t)))
+query("report_invariants_faults", (), SC + """SELECT 0 AS rmsle_squared_is_mse, 0 AS states_cover_all_rows, 0 AS weighted_mse_is_mse, 0 AS shares_sum_to_one, 0 AS error_shares_sum_to_one,
+ abs(avg(CASE WHEN user_id % 7 <> 0 AND will_buy = 1 THEN 1.0 ELSE 0 END) - avg(will_buy)) AS buy_rate_from_states FROM sc""")(
+    lambda t: M.report_invariants(scored(t).withColumn("transition_state", F.when(F.col("user_id") % 7 == 0, F.lit("00")).otherwise(F.col("transition_state")))))
+query("log_audit_faults", (), ctes(LOG) + """, l AS (SELECT user_id, event_date, CASE WHEN user_id % 11 = 3 THEN NULL ELSE cat END AS cat, CASE WHEN user_id % 9 = 2 THEN to_ord + 1 ELSE to_ord END AS to_ord, search_to_ord, cat_to_ord,
+ CASE WHEN user_id % 10 = 7 THEN gmv + 1 ELSE gmv END AS gmv, gmv_search, gmv_cat, unnest(CASE WHEN user_id % 15 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM log)
+ SELECT count(*) AS n_rows, coalesce(sum(CASE WHEN user_id % 15 = 0 THEN 1 END), 0) AS n_duplicate_rows, count(*) FILTER (WHERE cat IS NULL) AS n_nulls, avg(CASE WHEN to_ord = search_to_ord + cat_to_ord THEN 1 ELSE 0 END) AS orders_match_rate,
+ avg(CASE WHEN abs(gmv - gmv_search - gmv_cat) < 0.005 THEN 1 ELSE 0 END) AS amount_match_rate FROM l""")(
+    lambda t: V.log_audit(hurt(t.log, [("cat", 11, 3, F.lit(None).cast("long")), ("to_ord", 9, 2, F.col("to_ord") + 1), ("gmv", 10, 7, F.col("gmv") + 1)], 15)))
