@@ -1,16 +1,17 @@
 """Quality of documents by co-training two views: what a text says, and what its page's metadata say.
 
-Each view has its own classifier. In every round each one labels the unlabelled documents of a pool that it is
-surest of, for the other one to learn from. At the end both are calibrated together on labelled rows that no
-fit has seen, and the calibrated sum scores every document. Labelled rows and pool are
-bounded samples, as in the method's original form; all rows are scored.
+Each view has its own classifier. In every round each one labels the unlabelled documents that it is
+surest of, for the other one to learn from: all unlabelled documents that are not held out are in the pool. At the end both are calibrated
+together on labelled rows that no fit has seen, and the calibrated sum scores every document.
+
+Documents are coded once, as the places of their terms in two vocabularies that a bounded sample of labelled rows chooses. A fit is a
+logistic regression by L-BFGS whose losses and gradients are summed in the tasks, for both views in one pass; the driver gets a number per term.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,15 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.flat import Flat, mix, slices, words
-from tidemark.llm.terms import Machine, Vocabulary, choose_terms, fit, sigmoid, terms
+from tidemark.llm.shared import saved
+from tidemark.llm.terms import Machine, Vocabulary, choose_terms, sigmoid, terms
 from tidemark.llm.toxicity import held_out
 
-SAMPLE = 4000  # labelled rows, about
-POOL = 4000  # unlabelled documents, about
+SAMPLE = 4000  # labelled rows, about, that choose the vocabularies, and that calibrate
 ROUNDS = 3
-GIVEN = 0.1  # share of the pool that a view labels for the other in a round
+GIVEN = 0.1  # share of the pool that a view labels for the other in a round, at most
 VOCABULARY = 4096
+PASSES = 14  # over the coded rows, in the fits of a round
+PENALTY = 1e-3  # of the squared weights
 SIGNS = b"!?|*#$%&<>{}=_/\\"
+VIEWS = ("text", "page")
 
 
 def bins(kind: int, level: np.ndarray) -> np.ndarray:
@@ -91,30 +95,168 @@ def both_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array([m.tobytes() for m in coded_metadata(meta)], pa.binary())], ["doc_id", "label", "text_terms", "meta_terms"])
 
 
-@dataclass
-class View:
-    """Rows of one view, and the labels it learns from (nan: none)."""
+def chosen_terms(rows: pd.DataFrame, column: str) -> np.ndarray:
+    """The terms of a view that tell the labels of a sample apart best."""
+    term = np.concatenate([np.frombuffer(b, "<u4") for b in rows[column]] or [np.zeros(0, np.uint32)])
+    return choose_terms(np.repeat(np.arange(len(rows)), [len(b) // 4 for b in rows[column]]), term, rows["label"].to_numpy(float), VOCABULARY)
+
 
-    text: np.ndarray
-    term: np.ndarray
-    label: np.ndarray
-    machine: Machine | None = None
+def coder(shared: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, meta, text) batches to doc_id and, for each view, the places of its terms in the vocabulary (16 bits each)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content, page = (Vocabulary(ids) for ids in shared.value)
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                n = len(part)
+                meta = coded_metadata(batch.column(1).slice(part.first, n))
+                views = [content.hits(*text_terms(part)), page.hits(np.repeat(np.arange(n), [len(m) for m in meta]), np.concatenate(meta) if meta else np.zeros(0, np.uint32))]
+                columns = [batch.column(0).slice(part.first, n)]
+                for text, place in views:
+                    bounds, low = np.searchsorted(text, np.arange(n + 1)), place.astype("<u2")
+                    columns.append(pa.array([low[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "page"])
+    return run
 
-    @classmethod
-    def of(cls, coded: pd.Series, label: np.ndarray) -> View:
-        term = np.concatenate([np.frombuffer(b, "<u4") for b in coded] or [np.zeros(0, np.uint32)])
-        return cls(np.repeat(np.arange(len(coded), dtype=np.int32), [len(b) // 4 for b in coded]), term, label.copy())
 
-    def learn(self) -> np.ndarray:
-        """Fit on the labels so far; logits of all rows."""
-        known = np.flatnonzero(~np.isnan(self.label))
-        place = np.full(len(self.label), -1, np.int32)
-        place[known] = np.arange(len(known), dtype=np.int32)
-        own = place[self.text] >= 0
-        text, term = place[self.text[own]], self.term[own]
-        vocabulary = Vocabulary(choose_terms(text, term, self.label[known], VOCABULARY))
-        self.machine = fit(vocabulary, *vocabulary.hits(text, term), self.label[known], factors=0, epochs=20)
-        return self.machine.logits(*vocabulary.hits(self.text, self.term), len(self.label))
+def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of a column of coded terms."""
+    coded = column.to_pylist()
+    return np.repeat(np.arange(len(coded)), [len(b) // 2 for b in coded]), np.frombuffer(b"".join(coded), "<u2").astype(np.int64)
+
+
+def logits(weights: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The bias is the last weight."""
+    return weights[-1] + np.bincount(row, weights=weights[:-1][place], minlength=n)
+
+
+def gradients(weights: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of a task over the rows that each view has labels for: (view, place, value); place -1 is the loss, -2 the number of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(w) + 2) for w in weights]
+        for batch in batches:
+            for w, total, view in zip(weights, sums, VIEWS):
+                label = batch.column(f"{view}_label").to_numpy(zero_copy_only=False).astype(float)
+                known = np.flatnonzero(~np.isnan(label))
+                if not len(known):
+                    continue
+                row, place = places(batch.column(view).take(pa.array(known)))
+                z, y = logits(w, row, place, len(known)), label[known]
+                error = sigmoid(z) - y
+                total[:len(w) - 1] += np.bincount(place, weights=error[row], minlength=len(w) - 1)
+                total[len(w) - 1] += error.sum()
+                total[-2] += float((np.logaddexp(0, z) - y * z).sum())
+                total[-1] += len(known)
+        for i, total in enumerate(sums):
+            at = np.append(np.arange(len(total) - 2), [-1, -2])
+            yield pa.RecordBatch.from_pydict({"view": pa.array(np.full(len(at), i, np.int32)), "place": pa.array(at.astype(np.int32)), "value": pa.array(total)})
+    return run
+
+
+def summed(rows: DataFrame, weights: list[np.ndarray], penalty: float = PENALTY) -> list[tuple[float, np.ndarray]]:
+    """Mean loss with its penalty, and gradient, of each view; a view without labels has none."""
+    found = rows.mapInArrow(gradients(weights), "view int, place int, value double").groupBy("view", "place").agg(F.sum("value").alias("value")).toPandas()  # a row per term
+    out = []
+    for i, w in enumerate(weights):
+        own = found[found["view"] == i].set_index("place")["value"]
+        n = max(1.0, float(own.get(-2, 0.0)))
+        slope = own.reindex(np.arange(len(w)), fill_value=0.0).to_numpy() / n
+        ridge = np.append(w[:-1], 0.0)
+        out.append((float(own.get(-1, 0.0)) / n + penalty / 2 * float(ridge @ ridge), slope + penalty * ridge))
+    return out
+
+
+class Descent:
+    """L-BFGS of one view: proposes weights, takes their loss and gradient, and keeps the best."""
+
+    def __init__(self, start: np.ndarray, memory: int = 6):
+        self.best, self.next, self.loss, self.slope = start, start, np.inf, None
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+        self.memory, self.size, self.direction = memory, 1.0, None
+
+    def take(self, loss: float, slope: np.ndarray) -> None:
+        if loss > self.loss:  # too far: half the step
+            self.size /= 2
+            self.next = self.best + self.size * self.direction
+            return
+        if self.slope is not None:
+            s, y = self.next - self.best, slope - self.slope
+            if s @ y > 1e-12:
+                self.steps = [*self.steps, (s, y)][-self.memory:]
+        self.best, self.loss, self.slope = self.next, loss, slope
+        d, factors = -slope, []
+        for s, y in reversed(self.steps):
+            factors.append((s @ d) / (s @ y))
+            d = d - factors[-1] * y
+        if self.steps:
+            s, y = self.steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), f in zip(self.steps, reversed(factors)):
+            d = d + s * (f - (y @ d) / (s @ y))
+        self.direction, self.size = d, 1.0 if self.steps else min(1.0, 4.0 / max(1e-12, np.abs(d).sum()))
+        self.next = self.best + self.size * d
+
+
+def learned(rows: DataFrame, starts: list[np.ndarray], passes: int = PASSES) -> list[np.ndarray]:
+    """Weights of both views after ``passes`` over the coded rows."""
+    views = [Descent(w) for w in starts]
+    for _ in range(passes):
+        for view, found in zip(views, summed(rows, [v.next for v in views])):
+            view.take(*found)
+    return [v.best for v in views]
+
+
+def judged(weights: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the logits of both views."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [pa.array(logits(w, *places(batch.column(view)), batch.num_rows)) for w, view in zip(weights, VIEWS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *z], [*batch.schema.names, "text_logit", "page_logit"])
+    return run
+
+
+def exchanged(rows: DataFrame, weights: list[np.ndarray], share: float, given: float = GIVEN) -> DataFrame:
+    """``rows`` (see :func:`co_train`) with the labels that each view gives the other in a round.
+
+    Of the pool, the lowest and highest logits get labels 0 and 1, in the proportion ``share`` of ones, ``given`` of the pool in all. Rows
+    at the border of either part are left for later, so equal documents, however many, are labelled together or not at all, and never above that number.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    scored = saved(rows.mapInArrow(judged(weights), f"{schema}, text_logit double, page_logit double"))
+    out = scored
+    for view, other in (VIEWS, VIEWS[::-1]):
+        free = F.col("pool") & F.col(f"{other}_label").isNull()
+        counts = scored.agg(F.count(F.when(F.col("pool"), 1)).alias("pool"), F.count(F.when(free, 1)).alias("free")).first()
+        k = given * counts["pool"]
+        if counts["free"] <= k or not k:
+            continue
+        low, high = k * (1 - share) / counts["free"], 1 - k * share / counts["free"]
+        cuts = scored.filter(free).agg(F.percentile_approx(f"{view}_logit", F.array(F.lit(low), F.lit(high)), 100_000).alias("c")).first()["c"]
+        out = out.withColumn(f"{other}_label", F.when(free & (F.col(f"{view}_logit") < cuts[0]), 0.0).when(free & (F.col(f"{view}_logit") > cuts[1]), 1.0).otherwise(F.col(f"{other}_label")))
+    return out.drop("text_logit", "page_logit")
+
+
+def co_train(rows: DataFrame, sizes: list[int], rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weights of both views, and the weights (bias, text, page) that calibrate their sum.
+
+    ``rows``: doc_id, label (null in the pool), coded terms ``text`` and ``page``. Labelled rows whose doc_id has crc32 mod 5 = 0 calibrate only.
+    """
+    aside = F.col("label").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+    start = F.when(~aside, F.col("label").cast("double"))
+    rows = saved(rows.select("doc_id", "label", "text", "page", aside.alias("aside"), F.col("label").isNull().alias("pool"), start.alias("text_label"), start.alias("page_label")))
+    share = rows.agg(F.avg("text_label")).first()[0]
+    share = 0.5 if share is None else float(share)
+    odds = min(max(share, 1e-3), 1 - 1e-3)
+    weights = [np.append(np.zeros(n), np.log(odds / (1 - odds))) for n in sizes]
+    weights = learned(rows, weights)
+    for _ in range(rounds):
+        rows = exchanged(rows, weights, share)
+        weights = learned(rows, weights)
+    known = rows.filter("aside")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).drop("text_label", "page_label", "pool", "aside")  # labelled rows
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema)
+    found = known.mapInArrow(judged(weights), f"{schema}, text_logit double, page_logit double").select("label", "text_logit", "page_logit").toPandas()
+    x = np.column_stack([np.ones(len(found)), found["text_logit"], found["page_logit"]])
+    return weights, calibrate(x, found["label"].to_numpy(float))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -137,29 +279,6 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         weights = weights - size * step
 
 
-def co_train(rows: pd.DataFrame, rounds: int = ROUNDS) -> tuple[Machine, Machine, np.ndarray]:
-    """Machines of both views, and the weights (bias, text, metadata) that calibrate their sum."""
-    rows = rows.sort_values("doc_id", ignore_index=True)
-    label = rows["label"].to_numpy(float)
-    aside = ~np.isnan(label) & (np.array([zlib.crc32(str(i).encode()) % 5 for i in rows["doc_id"]], int) == 0)
-    pool = np.isnan(label)
-    start = np.where(aside, np.nan, label)
-    views = [View.of(rows[c], start) for c in ("text_terms", "meta_terms")]
-    logits = [v.learn() for v in views]
-    share = np.nanmean(start) if (~np.isnan(start)).any() else 0.5
-    for _ in range(rounds):
-        for view, score, other in ((0, logits[0], views[1]), (1, logits[1], views[0])):
-            open_rows = np.flatnonzero(pool & np.isnan(other.label))
-            k = int(GIVEN * pool.sum())
-            ranked = open_rows[np.argsort(score[open_rows], kind="stable")]
-            low, high = int(round(k * (1 - share))), int(round(k * share))
-            if len(ranked) >= low + high:
-                other.label[ranked[:low]] = 0
-                other.label[ranked[len(ranked) - high:]] = 1
-        logits = [v.learn() for v in views]
-    return views[0].machine, views[1].machine, calibrate(np.stack([np.ones(len(rows)), *logits], axis=1)[aside], label[aside])
-
-
 def scorer(shared: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ids, *first), (meta_ids, *second), weights = shared.value
@@ -177,25 +296,26 @@ def scorer(shared: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, text_score, page_score, score, predicted for every row of ``docs`` (doc_id, text; source, lang, n_chars if there).
 
-    ``labels`` (doc_id, quality 0/1) teach it, but for held-out rows. ``predicted`` is 1 from a score of a half.
+    ``labels`` (doc_id, quality 0/1) teach it, but for held-out rows; every other unlabelled row is in the pool. ``predicted`` is 1 from a score of a half.
     Null and empty texts are scored by their form (none) and metadata. Missing metadata are left out. Several labels of one doc_id: the largest
-    counts; rows without doc_id or label teach nothing. Without labels every score is about a half. Other columns are ignored. No rows give no rows.
-    No text is shuffled: the samples' ids are bounded and broadcast.
+    counts; rows without doc_id teach nothing. Rows that a view scores alike get its labels together. Without labels every score is about a half. Other columns
+    are ignored. No rows give no rows. No text is shuffled: the sample's ids are bounded and broadcast, coded rows meet all labels by doc_id.
     """
+    spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), metadata(docs).alias("meta"), "text")
     wanted = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("label"))
     wanted = wanted.filter(~held_out(F.col("doc_id")))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    n_labels, n_docs = wanted.count(), docs.count()
-    wanted = wanted.filter(unit < int(min(1, sample / max(1, n_labels)) * (1 << 30)))
-    others = named.filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id").filter(unit >= int((1 - min(1, (sample + pool) / max(1, n_docs))) * (1 << 30)))
-    others = others.distinct().join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
-    chosen = named.join(F.broadcast(wanted.unionByName(others)), "doc_id").select("doc_id", "label", "meta", "text")
-    rows = chosen.mapInArrow(both_views, "doc_id long, label int, text_terms binary, meta_terms binary").toPandas()
-    content, page, weights = co_train(rows)
-    shared = docs.sparkSession.sparkContext.broadcast((*[(m.vocabulary.ids, m.bias, m.weights, m.factors) for m in (content, page)], weights))  # VOCABULARY terms each
-    scored = named.select("doc_id", "meta", "text").mapInArrow(scorer(shared), "doc_id long, text_score double, page_score double, score double")
+    few = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, sample / max(1, wanted.count())) * (1 << 30)))
+    chosen = named.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "meta", "text")
+    first = chosen.mapInArrow(both_views, "doc_id long, label int, text_terms binary, meta_terms binary").toPandas().sort_values("doc_id", ignore_index=True)
+    first = first[np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in first["doc_id"]], bool)]
+    terms_of = [chosen_terms(first, c) for c in ("text_terms", "meta_terms")]
+    vocabularies = spark.sparkContext.broadcast(terms_of)  # VOCABULARY terms each
+    coded = named.filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).mapInArrow(coder(vocabularies), "doc_id long, text binary, page binary")
+    weights, sums = co_train(coded.join(wanted, "doc_id", "left"), [len(t) for t in terms_of])
+    shared = spark.sparkContext.broadcast((*[(t, float(w[-1]), w[:-1], np.zeros((len(t), 0))) for t, w in zip(terms_of, weights)], sums))
+    scored = named.mapInArrow(scorer(shared), "doc_id long, text_score double, page_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
