@@ -37,6 +37,7 @@ LONG_SKETCH = 256  # values compared in the blocks of long lists
 SHORT_LIST = 32
 BLOCK = 1024
 SIGMAS = 6.0
+ALIKE = 2  # values of a whole set whose upper halves may be those of others; full sets decide afterwards
 
 
 def sets_of(n_words: int, keep: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -131,7 +132,8 @@ def across(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         enough = shared >= union * share - SIGMAS * np.sqrt(union * share * (1 - share))
         whole = n <= LONG_SKETCH
         exact = whole[:, None] & whole[None, :]
-        enough = np.where(exact, 100 * shared >= percent * (n[:, None] + n[None, :] - shared), enough)
+        most = shared + ALIKE
+        enough = np.where(exact, 100 * most >= percent * (n[:, None] + n[None, :] - most), enough)
         home = (block["own"].to_numpy() == block["i"].to_numpy())
         home = (home[:, None] != home[None, :]) | (block["i"] == block["j"]).to_numpy()[:, None]  # pairs within a block: only in (i, i)
         elsewhere = overlaps(block["lists"].map(lambda x: x[x < value])) > 0

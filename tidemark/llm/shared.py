@@ -22,6 +22,12 @@ def saved(df: DataFrame, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that are taken."""
+    held = {c.lower() for c in taken}
+    return [next("_" * k + name for k in range(len(held) + 1) if ("_" * k + name).lower() not in held) for name in names]
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
     """``rows`` with the columns of their class; ``classes`` is a written table with one row per ``key`` and its number of rows, ``size``.
 

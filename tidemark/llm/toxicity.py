@@ -66,24 +66,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, factors: int
     return fit(vocabulary, *vocabulary.hits(text, term), label, factors)
 
 
-def scorer(model: Callable, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches with the text in the last column to their first ``kept`` columns and the score."""
+def scorer(model: Callable, text: int, kept: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches, whose column ``text`` is the text, to their first ``kept`` columns and the score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, bias, weights, factors = model.value
         machine = Machine(Vocabulary(ids), bias, weights, factors)
         for batch in batches:
-            score = [sigmoid(machine.logits(*machine.vocabulary.hits(*terms(part)), len(part))) for part in slices(batch.column(batch.num_columns - 1))]
+            score = [sigmoid(machine.logits(*machine.vocabulary.hits(*terms(part)), len(part))) for part in slices(batch.column(text))]
             columns = [*batch.columns[:kept], pa.array(np.concatenate(score) if score else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], "_score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], name])
     return run
 
 
-def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``_score``, fitted on ``labels``; rows stay where they are, no text is shuffled."""
+def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "_score") -> DataFrame:
+    """``docs`` with the score in a new column ``name``, fitted on ``labels``; rows stay where they are, no text is shuffled."""
     machine = learn(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((machine.vocabulary.ids, machine.bias, machine.weights, machine.factors))  # at most VOCABULARY terms
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.withColumn("_text", F.col("text")).mapInArrow(scorer(model, len(docs.columns)), schema)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(scorer(model, docs.columns.index("text"), len(docs.columns), name), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
@@ -96,5 +96,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cutoff: f
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     machine = learn(named, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((machine.vocabulary.ids, machine.bias, machine.weights, machine.factors))
-    scored = named.mapInArrow(scorer(model, 1), "doc_id long, _score double")
+    scored = named.mapInArrow(scorer(model, 1, 1, "_score"), "doc_id long, _score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= cutoff).cast("int").alias("predicted"))
