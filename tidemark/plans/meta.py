@@ -121,7 +121,7 @@ def _sums(layout: Layout, candidates: list[Candidate], parts: list[str], train:
     return run
 
 
-def step_of(layout: Layout, c: Candidate, g: np.ndarray, h: np.ndarray, damp: float, rounds: int = 20_000) -> tuple[np.ndarray, float]:
+def step_of(layout: Layout, c: Candidate, g: np.ndarray, h: np.ndarray, damp: float, rounds: int = 2_000) -> tuple[np.ndarray, float]:
     """The weights with the least local model of the cost, and by how much that model falls."""
     curve = 2 * (h + np.diag(c.penalty + damp))
     slope = 2 * (g + c.penalty * c.weights)  # at the present weights

@@ -125,7 +125,7 @@ def _(t):
 
 @query("regularised_meta", ("fold", "anchor_date", "class_penalty", "amount_penalty"))
 def _(t):
-    meta, path, choice = P.regularised_meta(z_frame(t).drop("prediction"), QUARTERS[-4:], REACT, CHURN, AMOUNT, ["direct_z"])
+    meta, path, choice = P.regularised_meta(z_frame(t).drop("prediction"), QUARTERS[-4:], REACT, CHURN, AMOUNT, ["direct_z"], class_penalties=(0.0, 1e-3, 1e-1), amount_penalties=(0.0, 1e-2, 1.0))
     return path.withColumns({"chosen": ((F.col("class_penalty") == choice["class_penalty"]) & (F.col("amount_penalty") == choice["amount_penalty"])).cast("int"),
                              "pooled_cost": F.lit(choice["pooled_cost"]), "intercept": F.lit(meta.intercept)})
 
