@@ -92,19 +92,17 @@ def _right_aligned(kept: DataFrame, max_events: int, encode, empty_at_front: boo
         *[c.alias(name) for name, c in encode(e, i, F.col("_kept")).items()],
     ))
     with_real = kept.withColumns({"_real": real, "is_empty": n == 0})
-    # the padding struct has the same fields, all zero
     fields = with_real.schema["_real"].dataType.elementType.fields
-    pad = lambda p: F.struct(*[
-        p.cast("int").alias(f.name) if f.name == "position"
-        else ((F.lit(True) if not empty_at_front else ~(F.col("is_empty") & (p == 0))).alias(f.name) if f.name == "is_pad"
-              else F.lit(0).cast(f.dataType).alias(f.name))
-        for f in fields
-    ])
-    positions = F.slice(F.sequence(F.lit(0), F.lit(max_events)), 1, pads)
-    return with_real.select(
-        *KEYS, "n_events_raw", n.alias("n_events"), "is_empty",
-        F.concat(F.transform(positions, pad), F.col("_real")).alias("events"),
-    )
+
+    def padding(first_is_pad: bool) -> Column:
+        """All the padding there can be, the fields zero. A constant of the plan, so a row only takes a slice of it."""
+        cell = lambda f, k: str(k) if f.name == "position" else str(k > 0 or first_is_pad).lower() if f.name == "is_pad" else f"cast(0 as {f.dataType.simpleString()})"
+        # SQL text, since thousands of column objects from Python take longer than the job
+        cells = ", ".join(f"struct({', '.join(f'{cell(f, k)} as {f.name}' for f in fields)})" for k in range(max_events))
+        return F.slice(F.expr(f"array({cells})"), F.lit(1), pads)
+
+    front = F.when(F.col("is_empty"), padding(False)).otherwise(padding(True)) if empty_at_front else padding(True)
+    return with_real.select(*KEYS, "n_events_raw", n.alias("n_events"), "is_empty", F.flatten(F.array(front, "_real")).alias("events"))
 
 
 def event_sequence(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, max_events: int = 180, days: int = 365,
@@ -166,24 +164,30 @@ def event_sequence_delta(log: DataFrame, anchors: DataFrame, users: DataFrame |
 
 def sequence_rows(sequences: DataFrame, with_padding: bool = False) -> DataFrame:
     """Sequences as a long table, one row per entry."""
-    rows = sequences.select(*KEYS, F.inline("events"))
-    return rows if with_padding else rows.where(~F.col("is_pad")).drop("is_pad")
+    if with_padding:
+        return sequences.select(*KEYS, F.inline("events"))
+    # padding goes before the entries become rows; the outer form spares the planner's own filter on the size, which would build each sequence once more
+    real = sequences.select(*KEYS, F.filter("events", lambda e: ~e["is_pad"]).alias("events"))
+    return real.select(*KEYS, F.inline_outer("events")).where(~F.col("is_pad")).drop("is_pad")
 
 
 def split_views(sequences: DataFrame, length: int = 32) -> DataFrame:
     """Earlier and later half of the kept events, each cut to the newest ``length`` and padded
     behind. With fewer than four events the views are the first and last slots of the sequence."""
-    real = F.filter("events", lambda e: ~e["is_pad"])
-    half = F.floor(F.size("_real") / 2).cast("int")
-    few = F.size("_real") < 4
     newest = lambda a: F.slice(a, F.greatest(F.size(a) - length + 1, F.lit(1)), length)
-    df = sequences.withColumn("_real", real).withColumns({
-        "_v1": F.when(few, F.slice("events", 1, length)).otherwise(newest(F.slice("_real", 1, half))),
-        "_v2": F.when(few, newest(F.col("events"))).otherwise(newest(F.slice("_real", half + 1, F.size("_real")))),
-    })
-    # a one-element array binds the view, else it is built anew for every slot
-    pad_to = lambda v: F.get(F.transform(F.array(v), lambda one: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.get(one, k))), 0)
-    return df.select(*KEYS, "n_events", pad_to(F.col("_v1")).alias("view_early"), pad_to(F.col("_v2")).alias("view_late"))
+    # a one-element array binds a value, else it is built anew wherever it is used; the long sequence itself is never written to a row
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    pad_to = lambda v: bound(v, lambda one: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.get(one, k)))
+
+    def views(events: Column, real: Column) -> Column:
+        half, few = F.floor(F.size(real) / 2).cast("int"), F.size(real) < 4
+        early = F.when(few, F.slice(events, 1, length)).otherwise(newest(F.slice(real, F.lit(1), half)))
+        late = F.when(few, newest(events)).otherwise(newest(F.slice(real, half + 1, F.size(real))))
+        return F.struct(pad_to(early).alias("early"), pad_to(late).alias("late"))
+
+    both = bound(F.col("events"), lambda events: bound(F.filter(events, lambda e: ~e["is_pad"]), lambda real: views(events, real)))
+    return sequences.select(*KEYS, "n_events", both.alias("_views")).select(
+        *KEYS, "n_events", F.col("_views.early").alias("view_early"), F.col("_views.late").alias("view_late"))
 
 
 def sequence_lengths(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, max_events: int = 128, days: int = 365) -> DataFrame:

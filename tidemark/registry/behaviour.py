@@ -370,8 +370,10 @@ VIEWS_SQL = """, v AS (SELECT *, CASE WHEN rank <= kept // 2 THEN 'early' ELSE '
 
 def view_rows(sequences):
     views = Q.split_views(sequences)
-    side = lambda name: views.select("anchor_date", "user_id", F.lit(name).alias("view_name"), F.posexplode(f"view_{name}").alias("slot", "e"))
-    return side("early").unionByName(side("late")).where(F.col("e").isNotNull()).select("anchor_date", "user_id", "view_name", "slot", F.col("e.c_gmv").alias("c_gmv"))
+    # empty slots stand at the end, so the others keep their numbers
+    amounts = lambda name: F.struct(F.lit(name).alias("view_name"), F.transform(F.filter(f"view_{name}", lambda e: e.isNotNull()), lambda e: e["c_gmv"]).alias("view"))
+    sides = views.select("anchor_date", "user_id", F.inline(F.array(amounts("early"), amounts("late"))))
+    return sides.select("anchor_date", "user_id", "view_name", F.posexplode_outer("view").alias("slot", "c_gmv")).where("slot IS NOT NULL")
 
 
 VIEW_KEYS = ("anchor_date", "user_id", "view_name")
