@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import clip, count_where, flag, ln_rising, log_amount, logit, sum_where, total
+from tidemark.functions.exprs import clip, count_where, flag, ln_rising, log_amount, logit, sum_where
 from tidemark.functions.lineage import cut_lineage
 from tidemark.operators.history import KEYS, aggregate, history, past
 from tidemark.operators.windows import positive
@@ -218,15 +219,13 @@ def p_alive(x: Column, t: Column, T: Column, m: BgNbd) -> Column:
     return F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + odds)).otherwise(F.lit(1.0))
 
 
-def series(a: Column, b: Column, c: Column, z: Column, length: Column) -> Column:
-    """The first ``length`` terms of 2F1 and one more."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def add(acc, k):
-        term = acc["term"] * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    return F.aggregate(F.sequence(F.lit(0), length.cast("int")), start, add, lambda acc: acc["sum"])
+def series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """At least the first ``length`` terms of 2F1 and one more, for whole columns."""
+    term, added = np.ones(len(z)), np.ones(len(z))
+    for k in range(int(length.max(initial=-1)) + 1):
+        term = term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
+        added = added + term
+    return added
 
 
 DIGITS = 36.0  # terms run until z**n is below exp(-DIGITS)
@@ -234,7 +233,7 @@ NEAR = 0.9  # of z; above it the argument is 1 - z
 APART = 1e-3  # of a - r from a whole number, where both halves of the transformed series grow
 
 
-def hypergeometric(r: float, a: float, b: float, x: Column, z: Column) -> Column:
+def hypergeometric_values(r: float, a: float, b: float, x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """2F1(r + x, b + x; a + b - 1 + x; z) for 0 <= z < 1 and whole x >= 0, in at most some 400 terms (plus x above z = 0.9).
 
     Below ``NEAR`` the series itself, above it the linear transformation to 1 - z. The gamma functions in that are
@@ -245,18 +244,30 @@ def hypergeometric(r: float, a: float, b: float, x: Column, z: Column) -> Column
     if abs(gap) < APART / 2:
         around = [k * APART for k in (-2, -1, 1, 2)]
         shares = [math.prod((gap - q) / (p - q) for q in around if q != p) for p in around]
-        return total([hypergeometric(r, r + round(a - r) + p, b, x, z) * F.lit(share) for p, share in zip(around, shares)])
-    x = x.cast("double")
-    plain = series(F.lit(r) + x, F.lit(b) + x, F.lit(a + b - 1) + x, z, F.ceil(F.lit(DIGITS) / -F.log(z)) + 50)
-    rest = F.lit(1.0) - z
-    length = F.ceil(F.lit(DIGITS) / -F.log(rest)) + x + 50
-    product = lambda c: F.aggregate(F.slice(F.sequence(F.lit(0), x.cast("int")), F.lit(1), x.cast("int")), F.lit(1.0), lambda acc, k: acc * c(k))
+        return sum(hypergeometric_values(r, r + round(a - r) + p, b, x, z) * share for p, share in zip(around, shares))
+    out = np.full(len(z), np.nan)
+    low, high = (z >= 0) & (z <= NEAR), (z > NEAR) & (z < 1)
+    with np.errstate(divide="ignore"):  # z = 0 needs no terms
+        u, v = x[low], z[low]
+        out[low] = series(r + u, b + u, a + b - 1 + u, v, np.ceil(DIGITS / -np.log(v)) + 50)
+    u, v = x[high], z[high]
+    rest = 1.0 - v
+    length = np.ceil(DIGITS / -np.log(rest)) + u + 50
+    k = np.arange(int(u.max(initial=0)))
+    product = lambda c: np.append(1.0, np.cumprod(c))[u.astype(int)]
     g = math.gamma
-    one = F.lit(g(a + b - 1) * g(a - 1 - r) / (g(a + b - 1 - r) * g(a - 1))) * product(lambda k: (F.lit(a + b - 1) + k) / (F.lit(a - 2 - r) - k))
-    two = F.lit(g(a + b - 1) * g(r + 1 - a) / (g(r) * g(b))) * product(lambda k: (F.lit(a + b - 1) + k) * (F.lit(r + 1 - a) + k) / ((F.lit(r) + k) * (F.lit(b) + k)))
-    near = one * series(F.lit(r) + x, F.lit(b) + x, F.lit(r + 2 - a) + x, rest, length) + two * F.pow(rest, F.lit(a - 1 - r) - x) * series(
-        F.lit(a + b - 1 - r), F.lit(a - 1), F.lit(a - r) - x, rest, length)
-    return F.when(z <= NEAR, plain).otherwise(near)
+    one = g(a + b - 1) * g(a - 1 - r) / (g(a + b - 1 - r) * g(a - 1)) * product((a + b - 1 + k) / (a - 2 - r - k))
+    two = g(a + b - 1) * g(r + 1 - a) / (g(r) * g(b)) * product((a + b - 1 + k) * (r + 1 - a + k) / ((r + k) * (b + k)))
+    out[high] = one * series(r + u, b + u, r + 2 - a + u, rest, length) + two * rest ** (a - 1 - r - u) * series(a + b - 1 - r + 0 * u, a - 1 + 0 * u, a - r - u, rest, length)
+    return out
+
+
+def hypergeometric(r: float, a: float, b: float, x: Column, z: Column) -> Column:
+    """:func:`hypergeometric_values` of two columns, a batch of rows at a time; null where either is null."""
+    def values(x: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series(hypergeometric_values(r, a, b, x.to_numpy(float), z.to_numpy(float)))
+
+    return F.pandas_udf(values, "double")(x.cast("double"), z.cast("double"))
 
 
 def expected_purchases(x: Column, t: Column, T: Column, m: BgNbd, horizon: float, exact: bool = True) -> Column:
@@ -278,8 +289,9 @@ def bgnbd_predict(rfm: DataFrame, model: BgNbd, horizons=(7, 14, 30), exact: boo
     A projection: no shuffle, although many users share the same history.
     """
     zero = F.lit(0.0)
-    x, t, T = (F.coalesce(c, zero) for c in ("btyd_frequency", "btyd_recency", "btyd_T"))
     available = F.col("btyd_available") > 0
+    # null for users the model says nothing of, since the series is evaluated for whole batches
+    x, t, T = (F.when(available, F.coalesce(c, zero)) for c in ("btyd_frequency", "btyd_recency", "btyd_T"))
     scored = rfm.withColumns({
         "btyd_p_alive": F.when(available, clip(p_alive(x, t, T, model), 0, 1)).otherwise(zero),
         **{f"btyd_expected_purchases_{h}d": F.when(available, expected_purchases(x, t, T, model, h, exact)).otherwise(zero) for h in horizons},
