@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import btyd as B
+from tidemark.operators import scoring as X
 from tidemark.operators import sequences as Q
 from tidemark.operators.anchors import anchor_table
 
@@ -54,3 +55,20 @@ def test_users_without_purchases_may_have_any_age(spark):
                                 "anchor_date date, user_id long, btyd_available double, btyd_frequency double, btyd_recency double, btyd_T double")
     rows = {r.user_id: r for r in B.bgnbd_predict(rfm, B.BgNbd(), (30,)).collect()}
     assert rows[1].btyd_expected_purchases_30d == 0 and rows[2].btyd_expected_purchases_30d > 0
+
+
+def test_weight_sets_are_scored_over_blocks(spark):
+    r = np.random.default_rng(3)
+    rows = [(*(None if r.random() < 0.1 else float(v) for v in r.normal(size=5)), int(r.random() < 0.5) if r.random() < 0.9 else None, float(r.normal()) if r.random() < 0.9 else None) for _ in range(300)]
+    bank = spark.createDataFrame(rows + rows[:100], "r double, c double, m1 double, m2 double, d double, was_active int, z_target double")
+    metas = [X.Meta({"r": 1.0}, {"c": 1.0}, {"m1": w, "m2": 0.5}, {"m1": 0.1, "m2": -0.2}, {"m1": 1.1, "m2": 0.9}, 0.3, 1.1, {"hurdle": 1 - w / 2, "d": w / 2}) for w in (0.2, 0.7)]
+    blocks = X._blocks(bank.where("z_target IS NOT NULL"), ["r", "c", "m1", "m2", "d", "was_active", "z_target"])
+    assert blocks.columns == ["block"] and blocks.count() <= 4  # not a row per user
+    e = F.col("prediction_z") - F.col("z_target")
+    want = [X.apply_meta(bank, m).agg(F.avg(e * e)).first()[0] for m in metas]
+    assert X._score_metas(blocks, metas, 0.0) == pytest.approx(want, rel=1e-12)
+
+
+def test_fits_read_only_what_they_need():
+    from tidemark.registry.forecasts import PANEL
+    assert len(PANEL) == len(set(PANEL)) <= 22

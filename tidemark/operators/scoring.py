@@ -5,14 +5,16 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, count_where, log_amount, sigmoid, total
-from tidemark.functions.lineage import cut_lineage
+from tidemark.functions.lineage import cut_lineage, written
 from tidemark.operators.metrics import probability_losses, squared_log_error
 
 ALPHA = 1.1
@@ -132,21 +134,71 @@ def _further(point: Meta, before: Meta, reach: float) -> Meta:
     return replace(point, **moved, intercept=point.intercept + reach * (point.intercept - before.intercept))
 
 
-def _score_metas(bank: DataFrame, metas: list[Meta], target_z: str, active: str, weight_decay: float) -> list[float]:
-    """Mean squared error of all weight sets in one aggregate; the sets are the broadcast side."""
-    flat = [[*m.react.values(), *m.churn.values(), *m.amount.values(), m.intercept, *m.blend.values()] for m in metas]
-    first, names = metas[0], [f"_w{i}" for i in range(len(flat[0]))]
-    table = bank.sparkSession.createDataFrame([(i, *map(float, row)) for i, row in enumerate(flat)],
-                                              "candidate int, " + ", ".join(f"{n} double" for n in names))
-    it = iter(names)
-    take = lambda d: {c: F.col(next(it)) for c in d}
-    react, churn, amount = take(first.react), take(first.churn), take(first.amount)
-    intercept = F.col(next(it))
-    cols = _meta_columns(react, churn, amount, intercept, first.alpha, first.mean, first.scale, F.col(active), take(first.blend))
-    e = cols["prediction_z"] - F.col(target_z)
-    rows = bank.crossJoin(F.broadcast(table)).groupBy("candidate").agg(F.avg(e * e).alias("mse")).collect()
-    mse = {r["candidate"]: r["mse"] for r in rows}
-    return [mse[i] + weight_decay * sum(w * w for w in metas[i].amount.values()) for i in range(len(metas))]
+def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal rows as one with a weight, and some thousands of those as one row of numbers that a pass reads without taking rows apart."""
+    counted = rows.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).groupBy(*[f"_{i}" for i in range(len(columns))]).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])  # null becomes NaN
+                yield pa.RecordBatch.from_pydict({"block": pa.array([table.tobytes()], pa.binary())})
+
+    return written(counted.mapInArrow(pack, "block binary"))
+
+
+def _errors(metas: list[Meta]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over :func:`_blocks` of react, churn, amount and direct columns, activity and target: rows, and the squared error of every weight set.
+
+    What sets have in common (a power of the probability, an amount) is computed once per block. As in :func:`apply_meta`, a missing
+    input makes its part 0.
+    """
+    first = metas[0]
+    direct = [c for c in first.blend if c != "hurdle"]
+    ends = np.cumsum([len(first.react), len(first.churn), len(first.amount), len(direct), 1, 1])
+    mean, scale = (np.array([d[c] for c in first.amount])[:, None] for d in (first.mean, first.scale))
+    weigh = lambda table, weights: sum((row * w for row, w in zip(table, weights)), np.zeros(table.shape[1]))
+
+    def squared(table: np.ndarray) -> list[float]:
+        react, churn, amount, straight, (active,), (target,), (n,) = np.split(table, ends)
+        away = np.trunc(active) == 0
+        react, churn, amount = react[:, away], churn[:, ~away], (amount - mean) / scale
+        powers, amounts, out = {}, {}, [float(n.sum())]
+
+        def power(kind: str, rows: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+            if (kind, weights) not in powers:
+                p = 1.0 / (1.0 + np.exp(-weigh(rows, weights)))
+                powers[kind, weights] = (p if kind == "react" else 1.0 - p) ** first.alpha
+            return powers[kind, weights]
+
+        for m in metas:
+            level = (*m.amount.values(), m.intercept)
+            if level not in amounts:
+                amounts[level] = np.fmax(weigh(amount, level[:-1]) + m.intercept, 0.0)
+            z = np.empty(len(target))
+            z[away], z[~away] = power("react", react, tuple(m.react.values())), power("churn", churn, tuple(m.churn.values()))
+            z = np.fmax(z * amounts[level], 0.0)
+            if m.blend:
+                z = np.fmax(z * m.blend["hurdle"] + weigh(straight, [m.blend[c] for c in direct]), 0.0)
+            out.append(float(np.dot((z - target) ** 2, n)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = np.zeros(len(metas) + 1)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for block in batch.column(0):
+                    added += squared(np.frombuffer(block.as_py()).reshape(ends[-1] + 1, -1))
+        yield pa.RecordBatch.from_pydict({f"s{i}": [v] for i, v in enumerate(added.tolist())})
+    return run
+
+
+def _score_metas(blocks: DataFrame, metas: list[Meta], weight_decay: float) -> list[float]:
+    """Mean squared error of all weight sets in one pass over the blocks, one number per set and task."""
+    names = [f"s{i}" for i in range(len(metas) + 1)]
+    sums = blocks.mapInArrow(_errors(metas), ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    return [sums[c] / sums["s0"] + weight_decay * sum(w * w for w in m.amount.values()) for c, m in zip(names[1:], metas)]
 
 
 def fit_meta_weights(bank: DataFrame, react: list[str], churn: list[str], amount: list[str], direct: list[str] = (), target_z: str = "z_target",
@@ -166,12 +218,13 @@ def fit_meta_weights(bank: DataFrame, react: list[str], churn: list[str], amount
     start = Meta(even(react), even(churn), {c: 1.0 for c in amount}, mean, scale, 0.0, alpha, blend)
     starts = [start, replace(start, intercept=level), replace(start, intercept=level, amount={c: 1.0 / len(amount) for c in amount})]
     starts += [replace(starts[-1], react={c: float(c == only) for c in react}) for only in react]
-    costs = _score_metas(narrow, starts, target_z, active, weight_decay)
+    blocks = _blocks(narrow.where(F.col(target_z).isNotNull()), [*react, *churn, *amount, *direct, active, target_z])
+    costs = _score_metas(blocks, starts, weight_decay)
     best, cost = min(zip(starts, costs), key=lambda mc: mc[1])
     before = best
     for _ in range(most):
         near = _moves(best, step) + [_further(best, before, reach) for reach in (1.0, 4.0) if before != best]
-        costs = _score_metas(narrow, near, target_z, active, weight_decay)
+        costs = _score_metas(blocks, near, weight_decay)
         i = min(range(len(near)), key=lambda k: costs[k])
         if costs[i] < cost - 1e-12:
             before, best, cost = best, near[i], costs[i]

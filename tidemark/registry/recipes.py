@@ -14,7 +14,7 @@ from tidemark.plans import models as G
 from tidemark.plans import runs as R
 from tidemark.registry.base import QUARTERS, clip_sql, query
 from tidemark.registry.features import scratch, template
-from tidemark.registry.forecasts import AMOUNT, AU, CHURN, FIXED, INPUTS, REACT, SCZ, SIG, VALID, fold_inputs, split, z_frame
+from tidemark.registry.forecasts import AMOUNT, AU, CHURN, FIXED, INPUTS, PANEL, REACT, SCZ, SIG, VALID, fold_inputs, split, z_frame
 from tidemark.sources.activity import checked_log
 
 ORDERS, SINCE = "to_ord_sum_90d", "days_since_last_order"
@@ -108,7 +108,7 @@ def _(t):
 
 def frozen(t):
     """The panel of outputs, and the weights fitted on its rows before the last anchor."""
-    panel = cut_lineage(z_frame(t).drop("prediction"))
+    panel = cut_lineage(z_frame(t).select(*PANEL))
     meta, _ = P.fit_meta(panel.where(TRAIN), ["a_react_logit"], ["a_churn_logit"], ["a_amount_z"])
     # the weights are for the fitted models' columns of the same kind
     return panel, X.Meta({"react_logit": 1.0}, {"churn_logit": 1.0}, {"amount_z": meta.amount["a_amount_z"]}, {"amount_z": meta.mean["a_amount_z"]}, {"amount_z": meta.scale["a_amount_z"]},
