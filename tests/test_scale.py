@@ -69,6 +69,11 @@ def test_weight_sets_are_scored_over_blocks(spark):
     assert X._score_metas(blocks, metas, 0.0) == pytest.approx(want, rel=1e-12)
 
 
-def test_fits_read_only_what_they_need():
-    from tidemark.registry.forecasts import PANEL
-    assert len(PANEL) == len(set(PANEL)) <= 22
+def test_split_checkpoints_only_the_named_columns(monkeypatch, spark):
+    from tidemark.registry import forecasts
+    panel = spark.createDataFrame([("2001-01-01", 1, 2.0, 3.0), ("2001-04-01", 1, 4.0, 5.0)], "anchor_date string, user_id long, target double, other double")
+    monkeypatch.setattr(forecasts, "z_frame", lambda t: panel)
+    train, valid = forecasts.split(None, ["anchor_date", "user_id", "target"])
+    assert train.columns == valid.columns == ["anchor_date", "user_id", "target"]
+    assert [r.target for r in train.collect()] == [2.0] and [r.target for r in valid.collect()] == [4.0]
+    assert "other" in forecasts.split(None)[0].columns
