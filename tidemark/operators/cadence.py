@@ -89,16 +89,53 @@ def activity_weeks(log, anchors, users=None, days: int = 180) -> DataFrame:
     return aggregate(with_gaps(history(log, anchors, users, back=days, columns=["gmv"])), week_exprs())
 
 
+def cadence_lists(df: DataFrame) -> DataFrame:
+    """Arrays of a row's ``_days`` (ascending, age * 2, one more on a purchase day): ages of purchases, their gaps by date and by size, gaps of activity."""
+    steps = lambda c: F.zip_with(F.slice(c, F.lit(2), F.size(c)), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda older, newer: older - newer)
+    half = lambda v: F.shiftright(v, 1)
+    df = df.withColumns({"_ages": F.transform("_days", half), "_buys": F.transform(F.filter("_days", lambda v: v % 2 == 1), half)})
+    return df.withColumns({"_act_gaps": steps("_ages"), "_gaps": steps("_buys")}).withColumn("_sorted", F.sort_array("_gaps"))
+
+
+def cadence_values(df: DataFrame) -> DataFrame:
+    """The columns of :func:`gap_exprs`, :func:`nth_purchase_exprs` and :func:`week_exprs` from the arrays of a row."""
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    n = F.size("_gaps")
+    total = lambda c, of: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + of(v))
+    df = cadence_lists(df).withColumn("_mean", F.when(n > 0, total("_gaps", lambda v: v.cast("double")) / n))
+    middle = lambda k: F.get("_sorted", k).cast("double")
+    at = lambda c, cond: F.size(F.filter(c, cond)).cast("long")
+    return df.select(
+        *KEYS,
+        F.size("_buys").cast("long").alias("purchase_days_180d"), at("_buys", lambda v: v < 90).alias("_buy_days_90"),
+        F.get("_buys", zero).alias("_since_last"), F.get("_buys", F.size("_buys") - 1).alias("days_since_first_purchase"),
+        F.get(F.array_distinct("_buys"), one).alias("days_since_second_last_purchase"), F.get(F.array_distinct("_buys"), two).alias("days_since_third_last_purchase"),
+        n.cast("long").alias("number_of_observed_gaps"),
+        F.get("_gaps", zero).alias("last_interpurchase_gap"), F.get("_gaps", one).alias("previous_interpurchase_gap"),
+        F.col("_mean").alias("mean_interpurchase_gap"),
+        ((middle(F.floor((n - 1) / 2).cast("int")) + middle(F.floor(n / 2).cast("int"))) / 2).alias("median_interpurchase_gap"),
+        F.when(n > 1, F.sqrt(F.aggregate("_gaps", zero.cast("double"), lambda acc, v: acc + (v - F.col("_mean")) * (v - F.col("_mean"))) / (n - 1))).alias("std_interpurchase_gap"),
+        F.get("_sorted", zero).alias("min_interpurchase_gap"), F.get("_sorted", n - 1).alias("max_interpurchase_gap"),
+        nearest_quantile(F.col("_sorted"), 0.25).alias("p25_interpurchase_gap"), nearest_quantile(F.col("_sorted"), 0.75).alias("p75_interpurchase_gap"),
+        F.array_max("_act_gaps").alias("longest_inactivity_streak"),
+        at("_ages", lambda v: v < 28).alias("active_weeks_30d"), at("_ages", lambda v: v < 91).alias("active_weeks_90d"),
+        F.size(F.array_distinct(F.transform("_ages", lambda v: F.floor(v / 7).cast("int")))).alias("active_weeks_180d"),
+        F.get("_ages", F.size("_ages") - 1).alias("history_span"), F.size("_ages").cast("long").alias("history_days"),
+    )
+
+
 def cadence_features(log, anchors, users=None, days: int = 180) -> DataFrame:
-    """The 33 purchase-rhythm features on the full index."""
-    buys = past() & positive("gmv")
-    raw = aggregate(with_gaps(history(log, anchors, users, back=days, columns=["gmv"])), [
-        count_where(buys).alias("purchase_days_180d"),
-        count_where(buys & within(90)).alias("_buy_days_90"),
-        F.min(F.when(buys, F.col("age"))).alias("_since_last"),
-        F.max(F.when(buys, F.col("age"))).alias("days_since_first_purchase"),
-        *nth_purchase_exprs(), *gap_exprs(), *week_exprs(),
-    ])
+    """The 33 purchase-rhythm features on the full index.
+
+    The one list per (user, anchor) has an entry per active day of the bounded history; all else is computed from it,
+    without a sort by day and without lists and quantiles of their own for every feature.
+    """
+    seen = F.when(past(), F.col("age") * 2 + flag(positive("gmv")))
+    hist = history(log, anchors, users, back=days, columns=["gmv"])
+    return aggregate(hist, [F.sort_array(F.collect_list(seen)).alias("_days")], anchors, lambda raw: cadence_columns(cadence_values(raw)))
+
+
+def cadence_columns(raw: DataFrame) -> DataFrame:
     n = F.col("purchase_days_180d")
     c = lambda name, value: F.coalesce(F.col(name).cast("double"), F.lit(value))
     enough = n >= 2

@@ -17,6 +17,8 @@ from tidemark.operators.windows import (
     sparse_lifetime_exprs, sparse_window_exprs, window_activity_exprs, with_spike_mean,
 )
 
+BY_USER = KEYS[::-1]
+
 
 def snapshot(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, n_users: float | None = None, history_days: int = 90,
              horizon: int = 30, data_start: str | None = None, with_target: bool = True) -> DataFrame:
@@ -103,5 +105,6 @@ def join_feature_blocks(base: DataFrame, *blocks: DataFrame) -> DataFrame:
         if clash:
             raise ValueError(f"column in two blocks: {sorted(clash)}")
         taken |= set(block.columns) - set(KEYS)
-        wide = wide.join(block, KEYS, "left")
-    return wide
+        # sorted by user first: few rows share a user, many share an anchor
+        wide = wide.join(block, BY_USER, "left")
+    return wide.select(*base.columns, *[c for block in blocks for c in block.columns if c not in KEYS])
