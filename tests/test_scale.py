@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import btyd as B
+from tidemark.operators import cadence as C
+from tidemark.operators import labels as L
 from tidemark.operators import scoring as X
 from tidemark.operators import sequences as Q
+from tidemark.operators import snapshot as S
 from tidemark.operators.anchors import anchor_table
 
 
@@ -77,3 +80,46 @@ def test_split_checkpoints_only_the_named_columns(monkeypatch, spark):
     assert train.columns == valid.columns == ["anchor_date", "user_id", "target"]
     assert [r.target for r in train.collect()] == [2.0] and [r.target for r in valid.collect()] == [4.0]
     assert "other" in forecasts.split(None)[0].columns
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rhythm_needs_no_window(spark, make_log):
+    day = lambda d, amount: (1, f"2024-01-{d:02d}", {"gmv": amount})
+    log = make_log([day(1, 5.0), day(3, 0.0), day(4, 2.0), day(10, 1.0), (2, "2023-01-01", {"gmv": 1.0})])
+    rhythm = C.cadence_features(log, anchor_table(spark, ["2024-01-12"]))
+    assert "Window" not in executed(rhythm) and executed(rhythm).count("partial_collect_list") <= 2
+    rows = {r.user_id: r for r in rhythm.collect()}
+    one = rows[1]
+    assert (one.last_interpurchase_gap, one.previous_interpurchase_gap, one.median_interpurchase_gap, one.longest_inactivity_streak) == (6, 3, 4.5, 6)
+    assert one.std_interpurchase_gap == pytest.approx(np.std([6, 3], ddof=1)) and one.purchase_days_180d == 3 and one.days_since_third_last_purchase == 11
+    assert rows[2].purchase_days_180d == 0 and rows[2].mean_interpurchase_gap == 180 and rows[2].days_since_first_purchase == 365
+
+
+def test_blocks_are_sorted_by_user_first(spark):
+    block = lambda c: spark.createDataFrame([(date(2024, 1, 1), u, float(u)) for u in range(3)], f"anchor_date date, user_id long, {c} double").hint("merge")
+    wide = S.join_feature_blocks(block("a"), block("b"))
+    assert wide.columns == ["anchor_date", "user_id", "a", "b"] and "Sort [user_id" in executed(wide) and "Sort [anchor_date" not in executed(wide)
+    assert {tuple(r[1:]) for r in wide.collect()} == {(u, float(u), float(u)) for u in range(3)}
+
+
+def test_wide_rows_are_not_joined(spark, make_log):
+    log = make_log([(u, f"2024-01-{d:02d}", {"gmv": 10.0 * d, "to_ord": 1}) for u in (1, 2) for d in (u, 9, 12)] + [(3, "2023-01-01", {"gmv": 4.0, "to_ord": 1})])
+    days = anchor_table(spark, ["2024-01-10"])
+    for wide in (S.feature_store(log, days, n_users=3.0), S.sparse_snapshot(log, days)):
+        assert "SortMergeJoin" not in executed(wide) and "ShuffledHashJoin" not in executed(wide)
+    store = S.feature_store(log, days, n_users=3.0)
+    labels = {r.user_id: r for r in L.state_labels(log, days).collect()}
+    for r in store.collect():
+        assert all(r[c] == labels[r.user_id][c] for c in L.state_names(90, 30))
+    model = {r.user_id: r for r in B.btyd_features(log, days, B.BgNbd(), B.GammaGamma()).collect()}
+    for r in S.sparse_snapshot(log, days).collect():
+        assert all(r[c] == pytest.approx(model[r.user_id][c]) for c in model[1].asDict() if c.startswith("btyd_"))
+
+
+def test_labels_beyond_the_features_are_joined(spark, make_log):
+    log = make_log([(1, "2023-09-01", {"gmv": 10.0, "to_ord": 1}), (1, "2024-01-09", {"gmv": 1.0}), (2, "2024-01-20", {"gmv": 3.0})])
+    rows = {r.user_id: r for r in S.feature_store(log, anchor_table(spark, ["2024-01-10"]), state_days=180).collect()}
+    assert (rows[1].past_gmv_180d, rows[2].future_gmv_30d, rows[1].gmv_sum_90d) == (11, 3, 1)

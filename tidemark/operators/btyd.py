@@ -43,16 +43,20 @@ def _buys() -> Column:
     return past() & positive("gmv")
 
 
-def rfm_window(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, days: int = 180) -> DataFrame:
-    """Repeat purchase days, recency, age and mean daily amount of the last ``days`` days."""
-    age = F.when(_buys(), F.col("age"))
-    raw = aggregate(history(log, anchors, users, back=days, columns=["gmv"]), [
-        count_where(_buys()).alias("_n"), F.min(age).alias("_last"), F.max(age).alias("_first"),
-        F.avg(F.when(_buys(), F.col("gmv"))).alias("_mean"),
-    ])
+RFM_RAW = ["_n", "_last", "_first", "_mean"]
+
+
+def rfm_exprs(days: int) -> list[Column]:
+    buys = _buys() & (F.col("age") < days)
+    age = F.when(buys, F.col("age"))
+    return [e.alias(n) for n, e in zip(RFM_RAW, (count_where(buys), F.min(age), F.max(age), F.avg(F.when(buys, F.col("gmv")))))]
+
+
+def rfm_columns(raw: DataFrame, days: int, others: list[str]) -> DataFrame:
+    """``others`` and the four RFM columns from the aggregates of :func:`rfm_exprs`."""
     some = F.col("_n") > 0
     return raw.select(
-        *KEYS,
+        *others,
         F.greatest(F.col("_n") - 1, F.lit(0)).cast("double").alias("btyd_frequency"),
         F.when(some, F.col("_first") - F.col("_last")).otherwise(0).cast("double").alias("btyd_recency_days"),
         F.when(some, F.col("_first")).otherwise(days).cast("double").alias("btyd_T_days"),
@@ -60,6 +64,11 @@ def rfm_window(log: DataFrame, anchors: DataFrame, users: DataFrame | None = Non
     )
 
 
+def rfm_window(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None, days: int = 180) -> DataFrame:
+    """Repeat purchase days, recency, age and mean daily amount of the last ``days`` days."""
+    return rfm_columns(aggregate(history(log, anchors, users, back=days, columns=["gmv"]), rfm_exprs(days)), days, KEYS)
+
+
 def rfm_full(log: DataFrame, anchors: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """The same over the whole history, with an availability flag; recency and amount
     are null for users who never bought, whose age is the length of the log."""
@@ -350,27 +359,33 @@ def money_with_fallback(rfm: DataFrame, model: GammaGamma | None = None, frequen
     }).drop("_fallback")
 
 
-def btyd_features(log: DataFrame, anchors: DataFrame, model: BgNbd, money: GammaGamma, users: DataFrame | None = None,
-                  days: int = 180, horizon: int = 30, exact: bool = True, classifier_only: bool = False) -> DataFrame:
-    """The twelve RFM and model columns, or only the three a classifier may use."""
-    rfm = rfm_window(log, anchors, users, days)
+def btyd_columns(rfm: DataFrame, model: BgNbd, money: GammaGamma, horizon: int = 30, exact: bool = True) -> DataFrame:
+    """The RFM columns and those of both models, after all other columns."""
+    others = [c for c in rfm.columns if not c.startswith("btyd_")]
     scored = bgnbd_predict(
-        rfm.select(*KEYS, "btyd_frequency", F.col("btyd_recency_days").alias("btyd_recency"), F.col("btyd_T_days").alias("btyd_T"),
+        rfm.select(*others, "btyd_frequency", F.col("btyd_recency_days").alias("btyd_recency"), F.col("btyd_T_days").alias("btyd_T"),
                    "btyd_monetary_avg", F.lit(1.0).alias("btyd_available")),
         model, (horizon,), exact,
     )
     worth = expected_money(F.col("btyd_frequency"), F.col("btyd_monetary_avg"), money)
     h = f"{horizon}d"
     expected = F.col(f"btyd_expected_purchases_{h}")
-    full = scored.select(
-        *KEYS, "btyd_frequency", F.col("btyd_recency").alias("btyd_recency_days"), F.col("btyd_T").alias("btyd_T_days"),
+    return scored.select(
+        *others, "btyd_frequency", F.col("btyd_recency").alias("btyd_recency_days"), F.col("btyd_T").alias("btyd_T_days"),
         "btyd_monetary_avg", "btyd_p_alive", "btyd_logit_p_alive", expected,
         F.col(f"btyd_p_buy_{h}").alias(f"btyd_p_at_least_one_purchase_{h}"),
         F.col(f"btyd_p_zero_{h}").alias(f"btyd_p_zero_purchase_{h}"),
         worth.alias("btyd_expected_monetary_value"),
         (expected * worth).alias(f"btyd_expected_gmv_{h}"), log_amount(expected * worth).alias(f"btyd_log_expected_gmv_{h}"),
     )
+
+
+def btyd_features(log: DataFrame, anchors: DataFrame, model: BgNbd, money: GammaGamma, users: DataFrame | None = None,
+                  days: int = 180, horizon: int = 30, exact: bool = True, classifier_only: bool = False) -> DataFrame:
+    """The twelve RFM and model columns, or only the three a classifier may use."""
+    full = btyd_columns(rfm_window(log, anchors, users, days), model, money, horizon, exact)
     if not classifier_only:
         return full
+    h = f"{horizon}d"
     return full.select(*KEYS, F.col(f"btyd_p_at_least_one_purchase_{h}").alias(f"btyd_p_buy_{h}"),
                        f"btyd_expected_purchases_{h}", "btyd_p_alive")
