@@ -59,9 +59,8 @@ def index_size(users: DataFrame) -> Column:
 
 
 def no_nulls(df: DataFrame) -> DataFrame:
-    """Fail inside the job when a feature is null."""
-    names = [c for c in df.columns if c not in KEYS]
-    any_null = F.array_contains(F.array(*[F.col(c).isNull() for c in names]), True)
+    """Fail inside the job when a feature or a key is null."""
+    any_null = F.array_contains(F.array(*[F.col(c).isNull() for c in df.columns]), True)
     checked = F.when(~any_null, F.col("user_id")).otherwise(F.raise_error(F.lit("null feature value")).cast("long"))
     return df.withColumn("user_id", checked)
 
@@ -98,7 +97,8 @@ def feature_store(log: DataFrame, anchors: DataFrame, users: DataFrame | None =
     if order is not None and list_fingerprint(names) != list_fingerprint(order):
         raise ValueError(f"the store's features are not those wanted: {sorted(set(names) ^ set(order)) or 'their order differs'}")
     if together:
-        return features.select(*KEYS, *names, *labels)
+        # as after a join on the keys, rows without a user have no place in the store
+        return features.where("user_id IS NOT NULL").select(*KEYS, *names, *labels)
     return features.select(*KEYS, *names).join(state_labels(log, anchors, users, state_days, horizon), BY_USER).select(*KEYS, *names, *labels)
 
 
