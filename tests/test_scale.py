@@ -3,6 +3,7 @@
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tidemark.operators import scoring as X
 from tidemark.operators import sequences as Q
 from tidemark.operators import snapshot as S
 from tidemark.operators.anchors import anchor_table
+from tidemark.plans import models as G
 
 
 def optimized(df) -> str:
@@ -123,3 +125,61 @@ def test_labels_beyond_the_features_are_joined(spark, make_log):
     log = make_log([(1, "2023-09-01", {"gmv": 10.0, "to_ord": 1}), (1, "2024-01-09", {"gmv": 1.0}), (2, "2024-01-20", {"gmv": 3.0})])
     rows = {r.user_id: r for r in S.feature_store(log, anchor_table(spark, ["2024-01-10"]), state_days=180).collect()}
     assert (rows[1].past_gmv_180d, rows[2].future_gmv_30d, rows[1].gmv_sum_90d) == (11, 3, 1)
+
+
+def router_rows(n=1500, seed=6):
+    r = np.random.default_rng(seed)
+    active = r.integers(0, 2, n)
+    p, q = r.uniform(0.02, 0.98, n), r.uniform(0.02, 0.98, n)
+    buys = (r.random(n) < 0.2 + 0.3 * active + 0.4 * p).astype(int)
+    z = np.where(buys == 1, r.normal(6, 1, n), 0.0)
+    return pd.DataFrame({"user_id": np.arange(n), "was_active": active, "will_buy": buys, "transition_state": [f"{a}{b}" for a, b in zip(active, buys)],
+                         "z_target": z, "za": z * 0.6 + r.normal(1, 1, n), "zb": z * 0.4 + r.normal(2, 1, n), "p": p, "q": q})
+
+
+def logistic(x, y, penalty):
+    """Penalised log loss by Newton steps, the intercept free."""
+    x = np.column_stack([np.ones(len(x)), x])
+    weights, keep = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+    keep[0, 0] = 0
+    for _ in range(30):
+        s = 1 / (1 + np.exp(-x @ weights))
+        weights -= np.linalg.solve(x.T @ (x * (s * (1 - s))[:, None]) + keep, x.T @ (s - y) + keep @ weights)
+    return weights
+
+
+def test_router_scores_in_one_pass_and_equals_closed_forms(spark):
+    rows = router_rows()
+    df = spark.createDataFrame(rows)
+    out = G.gated_router(df, "za", "zb", "p", "q")
+    plan = optimized(out)
+    assert plan.count("Relation") == 1 and "Union" not in plan  # not a scan per fold and state
+    got = {r.rule: r.mse for r in out.collect()}
+
+    fold = df.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(5)).alias("fold")).toPandas().set_index("user_id").fold[rows.user_id].to_numpy()
+    logits = [np.log(c / (1 - c)) for c in (rows.p, rows.q)]
+    x = np.column_stack([*logits, rows.za, rows.zb, rows.zb - rows.za, rows.was_active])
+    y, a, b = rows.z_target.to_numpy(), rows.za.to_numpy(), rows.zb.to_numpy()
+    line, gate = np.zeros(len(rows)), np.zeros(len(rows))
+    for k in range(5):
+        train, valid = fold != k, fold == k
+        middle, level = x[train].mean(0), y[train].mean()
+        w = np.linalg.solve((x[train] - middle).T @ (x[train] - middle) + 100.0 * np.eye(6), (x[train] - middle).T @ (y[train] - level))
+        line[valid] = (x[valid] - middle) @ w + level
+        for state in (0, 1):
+            of = rows.was_active.to_numpy() == state
+            w = logistic(x[train & of], rows.will_buy.to_numpy()[train & of], 10.0)
+            gate[valid & of] = 1 / (1 + np.exp(-(w[0] + x[valid & of] @ w[1:])))
+    g = np.where(rows.was_active == 1, 1 - rows.p, rows.p)
+    mse = lambda z: np.mean((z - y) ** 2)
+    want = {"model_a": mse(a), "model_b": mse(b), "ridge": mse(np.maximum(line, 0)), "probability_gate": mse(a * (1 - g) + b * g), "hard_gate": mse(np.where(g > 0.5, b, a)),
+            "global_blend": min(mse(a + (b - a) * i / 100) for i in range(101)), "user_oracle": np.mean(np.minimum((a - y) ** 2, (b - y) ** 2))}
+    assert {r: got[r] for r in want} == pytest.approx(want, rel=1e-9)
+    assert got["state_gate"] == pytest.approx(mse(a * (1 - gate) + b * gate), rel=1e-4)
+
+
+def test_router_refuses_what_is_no_number(spark):
+    rows = router_rows(200)
+    rows.loc[7, "z_target"] = np.nan
+    with pytest.raises(ValueError, match="finite"):
+        G.gated_router(spark.createDataFrame(rows), "za", "zb", "p", "q")
